@@ -107,3 +107,23 @@ def n_words(text: Column) -> Column:
 def unit_interval(*parts: Column) -> Column:
     """A number in (0, 1) from a hash of the parts, the same in each run."""
     return (F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") + 0.5) / float(1 << 53)
+
+
+def global_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
+    """Adds each row's place (from 1) in the whole order: ranges sorted apart, then offsets from the ranges' counts.
+
+    Only a count per range meets in one place.
+    """
+    from pyspark.sql import Window
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    held = save(sorted_.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_at")), "rank")
+    counts = held.groupBy("_part").count()
+    offsets = counts.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
+    return held.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
+
+
+def join_small(df: DataFrame, small: DataFrame, on: list[str], how: str = "left", most: int = 200_000) -> DataFrame:
+    """Joins by broadcast if the small side has at most so many rows, which is counted; else by a shuffle that Spark can split."""
+    return df.join(F.broadcast(small) if small.limit(most + 1).count() <= most else small, on, how)

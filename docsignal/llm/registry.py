@@ -1,9 +1,11 @@
 """Queries of this subpackage, by name."""
 
-from . import quality_rules
+from . import length_buckets, mixing, quality_rules
 
 QUERIES = {
+    "op4_length_buckets": length_buckets.op4_length_buckets,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op8_mixing": mixing.op8_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
