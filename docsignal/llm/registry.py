@@ -1,11 +1,13 @@
 """Queries of this subpackage, by name."""
 
-from . import length_buckets, mixing, quality_rules
+from . import length_buckets, main_text, mixing, quality_rules, url_rules
 
 QUERIES = {
     "op4_length_buckets": length_buckets.op4_length_buckets,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op8_mixing": mixing.op8_mixing,
+    "op9_main_text": main_text.op9_main_text,
+    "op10_url_rules": url_rules.op10_url_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}
