@@ -1,8 +1,10 @@
 """Queries of this subpackage, by name."""
 
-from . import length_buckets, main_text, mixing, quality_rules, url_rules
+from . import cross_polytope, length_buckets, main_text, mixing, quality_rules, token_files, url_rules
 
 QUERIES = {
+    "op1_token_counts": token_files.op1_token_counts,
+    "op2_cross_polytope": cross_polytope.op2_cross_polytope,
     "op4_length_buckets": length_buckets.op4_length_buckets,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op8_mixing": mixing.op8_mixing,
