@@ -241,7 +241,9 @@ def fit(pages: DataFrame, sample: int = 2000) -> dict[tuple[str, str], float]:
                 n += counts(page)
         yield from ((*k, v) for k, v in n.items())
 
-    some = pages.select("page_id", "html").orderBy(F.xxhash64("page_id"), "page_id").limit(sample).select("html")
+    # the sample is chosen by ids alone, so that no html meets in one task
+    ids = pages.select("page_id").filter("page_id is not null").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
+    some = pages.select("page_id", "html").join(F.broadcast(ids), "page_id", "left_semi").select("html")
     got = map_rows(some, run, COUNTS).groupBy("kind", "value", "good").agg(F.sum("n").alias("n")).collect()
     n = labelled_counts()
     total = sum(r["n"] for r in got if r["kind"] == "words")
