@@ -1,12 +1,13 @@
 """Queries of this subpackage, by name."""
 
-from . import cross_polytope, jaccard_join, length_buckets, main_text, mixing, quality_rules, token_files, toxicity, url_rules
+from . import cross_polytope, jaccard_join, length_buckets, main_text, mixing, pii, quality_rules, token_files, toxicity, url_rules
 
 QUERIES = {
     "op1_token_counts": token_files.op1_token_counts,
     "op2_cross_polytope": cross_polytope.op2_cross_polytope,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_length_buckets": length_buckets.op4_length_buckets,
+    "op5_pii": pii.op5_pii,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_mixing": mixing.op8_mixing,
