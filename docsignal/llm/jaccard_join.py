@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import save, table
+from .common import join_small, save, table
 from .components import components
 
 WORDS = 5
@@ -498,5 +498,21 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     return known.join(save(by_class, "by_class"), "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def first_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs without those that link to one of smaller doc_id; of rows that repeat a doc_id one stays.
+
+    Rows without a doc_id and rows without words stay.
+    """
+    joined = save(jaccard_join(docs), "joined").filter("doc_id is not null")
+    stays = (F.col("component_id") == F.col("doc_id")) | (F.col("n_shingles") == 0)
+    ids = save(joined.groupBy("doc_id").agg(F.bool_or(stays).alias("stays"), F.count("*").alias("n")).filter("not stays or n > 1"), "ids")
+    kept = join_small(docs, ids.filter("not stays").select("doc_id"), ["doc_id"], "left_anti")
+    again = ids.filter("stays").select("doc_id")
+    if not again.limit(1).count():
+        return kept
+    once = join_small(kept, again, ["doc_id"], "left_semi").dropDuplicates(["doc_id"])
+    return join_small(kept, again, ["doc_id"], "left_anti").unionByName(once)
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))

@@ -46,40 +46,76 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return ranked.select("key", "source_size", F.least(cap.cast("double"), level * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame, seed: int = 8, weight: Column | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """The documents' decisions: doc_id, key, size, source_size, target, copies.
+def keyed(docs: DataFrame, seed: int, weight: Column | None) -> DataFrame:
+    """Adds what a decision rests on, all from the row itself: key, size, u and w."""
+    at = docs.withColumns({"key": source_key(F.col("source").cast("string")), "size": n_words(F.col("text").cast("string")), "u": unit_interval(F.lit(seed), F.col("doc_id").cast("long"))})
+    return at.withColumn("w", weight if weight is not None else F.lit(1.0))
 
-    weight: an expression over size, greater for documents that should be likelier.
-    """
-    w = weight if weight is not None else F.lit(1.0)
-    base = save(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), n_words(F.col("text")).alias("size")).withColumns({"key": source_key(F.col("source")), "u": unit_interval(F.lit(seed), F.col("doc_id"))}).withColumn("w", w), "mix")
-    sizes = base.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("w")).alias("weighted"))
-    per = save(targets(sizes.drop("weighted"), weights, share, most).join(sizes.select("key", "weighted"), "key"), "targets")
-    expected = F.least(F.lit(float(most)), F.coalesce(F.col("target") * F.col("w") / F.nullif(F.col("weighted"), F.lit(0.0)), F.lit(0.0)))
-    known = join_small(base, per, ["key"], "inner").withColumn("expected", expected)
+
+def ranked(rows: DataFrame, per: DataFrame, most: int) -> DataFrame:
+    """Adds sure (certain copies), open (may have one more), rho (the rank) and bin to keyed rows. per: key, source_size, target, weighted."""
+    known = join_small(rows, per, ["key"], "left")
+    known = known.withColumn("expected", F.least(F.lit(float(most)), F.coalesce(F.col("target") * F.col("w") / F.nullif(F.col("weighted"), F.lit(0.0)), F.lit(0.0))))
     known = known.withColumn("sure", F.floor(F.col("expected") + 1e-9).cast("long")).withColumn("p", F.least(F.greatest(F.col("expected") - F.col("sure"), F.lit(1e-9)), F.lit(1 - 1e-9)))
     known = known.withColumn("rho", (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p"))))
-    known = save(known.withColumn("bin", F.least(F.floor(BINS * F.col("rho") / (1 + F.col("rho"))), F.lit(BINS - 1)).cast("int")).withColumn("open", F.col("sure") < most).select("doc_id", "key", "size", "source_size", "target", "sure", "open", "rho", "bin"), "ranked")
+    known = known.withColumns({"bin": F.least(F.floor(BINS * F.col("rho") / (1 + F.col("rho"))), F.lit(BINS - 1)).cast("int"), "open": F.col("sure") < most})
+    return known.drop("u", "w", "weighted", "expected", "p")
+
+
+def chosen() -> Column:
+    """Whether a ranked row lies before its source's cut (columns edge, last)."""
+    inside = (F.col("bin") == F.col("edge")) & (F.col("rho") <= F.coalesce("last", F.lit(-1.0)))
+    return F.col("open") & (F.col("edge").isNull() | (F.col("bin") < F.col("edge")) | inside)
 
+
+def cuts(known: DataFrame) -> DataFrame:
+    """Per source where the ranks are cut: edge (the bin that passes the target), last (the last rank taken in it), extra (the rank of the one more)."""
     left = known.groupBy("key").agg((F.first("target") - F.sum(F.col("sure") * F.col("size"))).alias("left"))
     bins = known.filter("open").groupBy("key", "bin").agg(F.sum("size").alias("words"))
     run = bins.withColumn("upto", F.sum("words").over(Window.partitionBy("key").orderBy("bin"))).join(left, "key")
-    # the first bin that passes the target; bins before it are taken whole
     edge = save(run.filter(F.col("upto") > F.col("left")).groupBy("key").agg(F.min("bin").alias("edge"), F.min_by(F.col("upto") - F.col("words"), F.col("bin")).alias("before"), F.first("left").alias("left")), "edge")
     inside = join_small(known.filter("open"), edge, ["key"], "inner").filter(F.col("bin") == F.col("edge"))
-    inside = inside.groupBy("key", "rho", "before", "left").agg(F.sum("size").alias("words"))  # equal keys stand or fall together
+    inside = inside.groupBy("key", "rho", "before", "left").agg(F.sum("size").alias("words"))  # equal ranks stand or fall together
     inside = inside.withColumn("upto", F.col("before") + F.sum("words").over(Window.partitionBy("key").orderBy("rho")))
     taken = inside.filter(F.col("upto") <= F.col("left")).groupBy("key").agg(F.max("rho").alias("last"), F.max("upto").alias("upto"))
     cut = save(edge.join(taken, "key", "left").select("key", "edge", "last", (F.col("left") - F.coalesce("upto", "before")).alias("gap")), "cut")
+    # the document that leaves the least distance from the target, on either side; equal ranks count as one
+    spare = join_small(known, cut, ["key"], "inner").filter(F.col("open") & ~chosen() & (F.col("size") > 0) & (F.col("size") < 2 * F.col("gap")))
+    spare = spare.groupBy("key", "rho", "gap").agg(F.sum("size").alias("size")).filter(F.col("size") < 2 * F.col("gap"))
+    extra = spare.groupBy("key").agg(F.min_by("rho", F.struct(F.abs(F.col("size") - F.col("gap")), "rho")).alias("extra"))
+    return cut.select("key", "edge", "last").join(extra, "key", "left")
+
+
+def decided(rows: DataFrame, per: DataFrame, cut: DataFrame, most: int) -> DataFrame:
+    """Adds source_size, target and copies to keyed rows."""
+    known = join_small(ranked(rows, per, most), cut, ["key"], "left")
+    more = chosen() | F.coalesce(F.col("open") & (F.col("rho") == F.col("extra")), F.lit(False))
+    return known.withColumn("copies", F.col("sure") + more.cast("long")).drop("sure", "open", "rho", "bin", "edge", "last", "extra")
+
+
+def plan(docs: DataFrame, seed: int, weight: Column | None, weights: tuple[int, ...], share: float, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The keyed rows without texts, the sources' targets and their cuts: the last two hold a row per source."""
+    base = save(keyed(docs.select("doc_id", "source", "text"), seed, weight).select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "key", "size", "u", "w"), "mix")
+    sizes = base.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("w")).alias("weighted"))
+    per = save(targets(sizes.drop("weighted"), weights, share, most).join(sizes.select("key", "weighted"), "key"), "targets")
+    known = save(ranked(base.drop("source"), per, most), "ranked")
+    return base, per, save(cuts(known), "cuts")
+
+
+def mix(docs: DataFrame, seed: int = 8, weight: Column | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """The documents' decisions: doc_id, key, size, source_size, target, copies.
+
+    weight: an expression over size, greater for documents that should be likelier.
+    """
+    base, per, cut = plan(docs, seed, weight, weights, share, most)
+    return decided(base.drop("source"), per, cut, most).select("doc_id", "key", "size", "source_size", "target", "copies")
+
 
-    placed = join_small(known, cut, ["key"], "left")
-    chosen = F.col("open") & (F.col("edge").isNull() | (F.col("bin") < F.col("edge")) | ((F.col("bin") == F.col("edge")) & (F.col("rho") <= F.coalesce("last", F.lit(-1.0)))))
-    placed = placed.withColumn("chosen", chosen)
-    # the document that leaves the least distance from the target, on either side; equal rank keys count as one
-    spare = placed.filter(F.col("open") & ~F.col("chosen") & (F.col("size") > 0) & (F.col("size") < 2 * F.col("gap"))).groupBy("key", "rho", "gap").agg(F.sum("size").alias("size")).filter(F.col("size") < 2 * F.col("gap"))
-    extra = save(spare.groupBy("key").agg(F.min_by("rho", F.struct(F.abs(F.col("size") - F.col("gap")), "rho")).alias("extra")), "extra")
-    done = join_small(placed, extra, ["key"], "left").withColumn("copies", F.col("sure") + (F.col("chosen") | F.coalesce(F.col("open") & (F.col("rho") == F.col("extra")), F.lit(False))).cast("long"))
-    return done.select("doc_id", "key", "size", "source_size", "target", "copies")
+def mixed(docs: DataFrame, seed: int = 8, weight: Column | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it. Decisions follow from the row and its source's cut, so that no text is shuffled."""
+    _, per, cut = plan(docs, seed, weight, weights, share, most)
+    done = decided(keyed(docs, seed, weight), per, cut, most).filter("copies > 0")
+    return done.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
 
 
 #: Long documents get smaller inclusion odds, lest a few of them fill a source's share.

@@ -184,10 +184,9 @@ def probability(span: Column, w: dict[tuple, float]) -> Column:
     return 1 / (1 + F.exp(-odds))
 
 
-def spans(docs: DataFrame, threshold: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: doc_id, counts of base spans, base (its text form), all_spans (array of start, end, kind, added). keep: further columns to carry."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    df = docs.select(F.col("doc_id").cast("long"), text.alias("text"), *(F.col(c).alias(f"kept_{c}") for c in keep))
+def searched(docs: DataFrame) -> DataFrame:
+    """The rows of docs, text never null, with n_<kind>, base and wider: the spans with the labelers' votes."""
+    df = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     digit = F.col("text").rlike("[0-9]")
     df = found(df, BASE, {k: F.contains("text", F.lit(HINT[k])) if k in HINT else digit for k in KINDS}, "b_")
     passing = lambda k: lambda s: valid(k, s["match"])
@@ -199,14 +198,39 @@ def spans(docs: DataFrame, threshold: float = 0.5, keep: tuple[str, ...] = ()) -
     df = df.withColumn("wider", F.array_sort(wider))
     df = df.withColumn("wider", F.filter("wider", lambda s, i: ~F.exists(F.slice("wider", F.lit(1), i), lambda t: touches(s, t))))
     df = df.withColumns({"base": F.transform("base", lambda s: voted(s, F.col("text"), True)), "wider": F.transform("wider", lambda s: voted(s, F.col("text"), False))})
-    counts = [F.size(f"b_{k}").cast("long").alias(f"n_{k}") for k in KINDS]
-    held = save(df.select("doc_id", *counts, "base", "wider", *(f"kept_{c}" for c in keep)), "spans")
+    return df.withColumns({f"n_{k}": F.size(f"b_{k}").cast("long") for k in KINDS}).drop(*(f"{p}_{k}" for p in "bw" for k in KINDS))
+
+
+def classifier(held: DataFrame) -> dict[tuple, float]:
+    """The span classifier's weights from all rows' spans (columns base and wider)."""
     each = held.filter((F.size("base") > 0) | (F.size("wider") > 0)).select(F.explode(F.concat("base", "wider")).alias("s"))
     counted = each.groupBy("s.kind", *(f"s.{n}" for n in LABELERS)).count().collect()
-    _, w = train(sorted((r["kind"], tuple(r[n] for n in LABELERS), r["count"]) for r in counted))
+    return train(sorted((r["kind"], tuple(r[n] for n in LABELERS), r["count"]) for r in counted))[1]
+
+
+def every(w: dict[tuple, float], threshold: float) -> Column:
+    """Base spans and the proposals that the classifier takes, in order."""
     added = F.filter("wider", lambda s: probability(s, w) >= threshold)
-    every = F.transform(F.array_sort(F.concat("base", added)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), (~s["base"]).alias("added")))
-    return held.select("doc_id", *(f"n_{k}" for k in KINDS), text_of(F.col("base")).alias("base"), every.alias("all_spans"), *(F.col(f"kept_{c}").alias(c) for c in keep))
+    return F.transform(F.array_sort(F.concat("base", added)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), (~s["base"]).alias("added")))
+
+
+def spans(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Per row: doc_id, counts of base spans (n_<kind>), base (their text form), all_spans (array of start, end, kind, added)."""
+    counts = [f"n_{k}" for k in KINDS]
+    held = save(searched(docs.select(F.col("doc_id").cast("long"), "text")).select("doc_id", *counts, "base", "wider"), "spans")
+    return held.select("doc_id", *counts, text_of(F.col("base")).alias("base"), every(classifier(held), threshold).alias("all_spans"))
+
+
+def redact(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs with every span replaced in text and n_chars, where there is such a column, counted anew. Null texts stay null."""
+    held = save(searched(docs.select("text")).select("base", "wider").filter((F.size("base") > 0) | (F.size("wider") > 0)), "spans")
+    w = classifier(held)
+    df = searched(docs.withColumn("was_null", F.col("text").isNull())).withColumn("all_spans", every(w, threshold))
+    text = F.when(F.col("was_null"), F.lit(None).cast("string")).when(F.size("all_spans") == 0, F.col("text")).otherwise(redacted(F.col("text"), F.col("all_spans")))
+    df = df.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        df = df.withColumn("n_chars", F.when(F.size("all_spans") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return df.select(*docs.columns)
 
 
 def redacted(text: Column, every: Column) -> Column:
@@ -222,6 +246,5 @@ def redacted(text: Column, every: Column) -> Column:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = spans(table(spark, sf_dir, "documents"))
-    joined = text_of(F.col("all_spans"))
-    return every.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2("base", 256).alias("base_sha256"), joined.alias("spans"))
+    got = spans(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2("base", 256).alias("base_sha256"), text_of(F.col("all_spans")).alias("spans"))

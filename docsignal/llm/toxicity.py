@@ -23,6 +23,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -242,5 +243,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     return map_rows(docs.select(F.col("doc_id").cast("long"), held, F.col("text").cast("string")), run, "doc_id long, held_out boolean, score double, predicted int, nearest array<long>, similarity double")
 
 
+def kept(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs that are not predicted toxic, with all their columns."""
+    model = fit(docs, labels.filter(fold(F.col("doc_id")) != 0), sample)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                piece = b.slice(lo, 256)
+                yield piece.filter(pa.array([shared.value.score(x)[0] < 0.5 for x in piece.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
