@@ -40,18 +40,24 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    _written[:] = [x for x in _written if x[1] != path]
+    _written[:] = [x for x in _written if not path.endswith(x[1].split("/docsignal/")[-1])]
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes df to the shared folder and reads it again. Lives until release() or the driver's end."""
+    """Cuts the lineage: writes df to the shared folder and reads it again. Lives until release(), clean() or the driver's end."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
+def release(df: DataFrame) -> None:
+    """Deletes a table that save() gave, when nothing will read it again."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        drop_path(df.sparkSession, path)
+
+
+def clean() -> None:
     """Deletes the scratch tables of this driver."""
     for spark, path in list(_written):
         try:
@@ -60,7 +66,7 @@ def release() -> None:
             _written[:] = [x for x in _written if x[1] != path]
 
 
-atexit.register(release)
+atexit.register(clean)
 
 
 def arrow_type(schema: str, spark: SparkSession) -> pa.Schema:

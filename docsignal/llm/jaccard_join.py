@@ -18,7 +18,7 @@ similarity reaches 0.8; the result gives each document the smallest doc_id that
    about its size and not its square, and no link between components is missed.
 5. Components of the links, by labels and pointer jumping.
 
-Exact up to 64-bit hash collisions. Sets are always whole. Defined results: null text, or text without
+Exact up to hash collisions (64 bits for classes, 48 for the comparison of two whole sets). Defined results: null text, or text without
 words, has no set (n_shingles 0) and component_id is its own doc_id; with 1 to 4 words the whole
 sequence is the one shingle. Repeated rows are copies of each other. A null doc_id gets the component
 of its class, is never one's id and carries no links for others. An empty table gives an empty result. Columns other than doc_id
@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_small, save, table
+from .common import join_small, release, save, table
 from .components import components
 
 WORDS = 5
@@ -47,7 +47,9 @@ FREQUENT = 1 << 20
 COMBINE_FROM = 6
 #: Bits of the map of shingles that occur more than once, and of the map of documents whose sets are needed.
 MAP_BITS = 27
-BITS = 48
+BITS = 40
+#: Bits of the hashes by which whole sets are compared.
+SET_BITS = 48
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -436,11 +438,11 @@ def whole_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
             for lo in range(0, b.num_rows, 256):
                 piece = b.slice(lo, 256)
                 sets = [shingles(x) for x in piece.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([pack(s >> np.uint64(64 - SET_BITS)) for s in sets], pa.binary())], schema=schema)
 
     found = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")).filter("rep is not null").withColumn("at", at)
     found = found.mapInArrow(run, "rep long, fp long, set binary")
-    return found.join(needed, ["rep", "fp"]).dropDuplicates(["fp"]).select("fp", "set")
+    return join_small(found, needed, ["rep", "fp"], "inner").select("fp", "set")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -451,15 +453,17 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for b in batches:
             good = np.zeros(b.num_rows, bool)
             for i in range(b.num_rows):
-                x, y = np.frombuffer(b.column(2)[i].as_buffer(), "<u8"), np.frombuffer(b.column(3)[i].as_buffer(), "<u8")
+                x, y = unpack(b.column(2)[i].as_py()), unpack(b.column(3)[i].as_py())
                 both = np.concatenate((x, y))
                 both.sort()
                 same = int((both[1:] == both[:-1]).sum())
                 good[i] = DEN * same >= NUM * (len(x) + len(y) - same)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], schema=schema).filter(pa.array(good))
 
-    joined = pairs.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    # the pairs go to the members' sets if they are few, and only the sets of first members move
+    members = join_small(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), pairs, ["b"], "inner")
+    firsts = join_small(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), pairs.select("a").distinct(), ["a"], "left_semi")
+    return members.join(firsts, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
@@ -467,9 +471,10 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     part_bits = _parts(spark)
     seen = save(survey(docs, part_bits), "survey")
-    known = seen.filter("n is not null").select("doc_id", "n", "fp")
+    known = save(seen.filter("n is not null").select("doc_id", "n", "fp"), "known")
     classes = save(known.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     counted = save(count(seen.filter("part is not null").select("part", "hashes", "counts"), part_bits), "counted")
+    release(seen)  # the blocks of hashes, its bulk, are counted
     order = spark.sparkContext.broadcast(order_of(counted, part_bits))
     found = save(stars(index(docs, order, part_bits)), "stars")
 
