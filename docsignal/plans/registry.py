@@ -8,4 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "report_select"
+FLAGSHIP = "signal_digest"
+
+
+def query(sql: str | None = None) -> Callable:
+    """Registers a function (t, spark) -> DataFrame under its name; t(name) reads a table."""
+
+    def add(fn: Callable) -> Callable:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return fn(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark)
+
+        QUERIES[fn.__name__] = run
+        if sql:
+            ORACLE_SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+from . import demo, event_queries, page_queries, text_queries  # noqa: E402, F401
