@@ -187,12 +187,14 @@ def probability(span: Column, w: dict[tuple, float]) -> Column:
 def searched(docs: DataFrame) -> DataFrame:
     """The rows of docs, text never null, with n_<kind>, base and wider: the spans with the labelers' votes."""
     df = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    digit = F.col("text").rlike("[0-9]")
-    df = found(df, BASE, {k: F.contains("text", F.lit(HINT[k])) if k in HINT else digit for k in KINDS}, "b_")
+    df = df.withColumn("digit", F.col("text").rlike("[0-9]"))
+    df = found(df, BASE, {k: F.contains("text", F.lit(HINT[k])) if k in HINT else F.col("digit") for k in KINDS}, "b_")
     passing = lambda k: lambda s: valid(k, s["match"])
     df = df.withColumns({f"b_{k}": F.filter(f"b_{k}", passing(k)) for k in KINDS})
     df = df.withColumn("base", F.array_sort(F.concat(*(F.col(f"b_{k}") for k in KINDS))))
-    df = found(df, WIDER, {k: F.col("text").rlike(WIDER_HINT[k]) for k in KINDS}, "w_")
+    # cheap tests first: most texts hold neither digits nor brackets, and a pattern makes a copy of the text
+    bracket = F.contains("text", F.lit("[")) | F.contains("text", F.lit("("))
+    df = found(df, WIDER, {k: (bracket if k in ("email", "ip") else F.col("digit")) & F.col("text").rlike(WIDER_HINT[k]) for k in KINDS}, "w_").drop("digit")
     touches = lambda s, t: (s["start"] < t["end"]) & (t["start"] < s["end"])
     wider = F.filter(F.concat(*(F.col(f"w_{k}") for k in KINDS)), lambda s: ~F.exists("base", lambda b: touches(s, b)))
     df = df.withColumn("wider", F.array_sort(wider))
