@@ -114,8 +114,9 @@ def mix(docs: DataFrame, seed: int = 8, weight: Column | None = None, weights: t
 def mixed(docs: DataFrame, seed: int = 8, weight: Column | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """The rows of docs, each as often as the mix takes it. Decisions follow from the row and its source's cut, so that no text is shuffled."""
     _, per, cut = plan(docs, seed, weight, weights, share, most)
-    done = decided(keyed(docs, seed, weight), per, cut, most).filter("copies > 0")
-    return done.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    rows = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("row"))  # apart from working columns, whose names may clash
+    done = decided(keyed(rows, seed, weight), per, cut, most).filter("copies > 0")
+    return done.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("row.*")
 
 
 #: Long documents get smaller inclusion odds, lest a few of them fill a source's share.

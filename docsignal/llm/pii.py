@@ -227,12 +227,13 @@ def redact(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs with every span replaced in text and n_chars, where there is such a column, counted anew. Null texts stay null."""
     held = save(searched(docs.select("text")).select("base", "wider").filter((F.size("base") > 0) | (F.size("wider") > 0)), "spans")
     w = classifier(held)
-    df = searched(docs.withColumn("was_null", F.col("text").isNull())).withColumn("all_spans", every(w, threshold))
-    text = F.when(F.col("was_null"), F.lit(None).cast("string")).when(F.size("all_spans") == 0, F.col("text")).otherwise(redacted(F.col("text"), F.col("all_spans")))
-    df = df.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.when(F.size("all_spans") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return df.select(*docs.columns)
+    rows = docs.select("text", F.struct(*docs.columns).alias("row"))  # apart from working columns, whose names may clash
+    df = searched(rows).withColumn("all_spans", every(w, threshold))
+    none = F.size("all_spans") == 0
+    text = F.when(none, F.col("row.text")).otherwise(redacted(F.col("text"), F.col("all_spans")))
+    df = df.select("row", "all_spans", text.alias("new_text"))
+    length = F.when(none, F.col("row.n_chars")).otherwise(F.length("new_text").cast("long")) if "n_chars" in docs.columns else None
+    return df.select(*(F.col("new_text").alias("text") if c == "text" else length.alias(c) if c == "n_chars" else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def redacted(text: Column, every: Column) -> Column:
