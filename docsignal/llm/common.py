@@ -21,8 +21,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 2000 rows unless the session asks for other than Spark's 10000: rows here hold whole texts, and both sides keep buffers of the largest batch."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, "2000")
+
+
+def tidied(run: Callable) -> Callable:
+    """A partition function that gives memory back at its end, as workers live on between tasks."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return wrapped
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own if that is unset."""
+    small_batches(spark)
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = tempfile.mkdtemp(prefix="docsignal-")
@@ -78,6 +108,7 @@ def arrow_type(schema: str, spark: SparkSession) -> pa.Schema:
 
 def map_rows(df: DataFrame, fn: Callable[[Iterable[tuple]], Iterator[tuple]], schema: str, batch: int = 2000) -> DataFrame:
     """fn turns an iterator over a partition's rows (tuples) into rows of the schema; batches pass through Arrow."""
+    small_batches(df.sparkSession)
     out = arrow_type(schema, df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +133,7 @@ def map_rows(df: DataFrame, fn: Callable[[Iterable[tuple]], Iterator[tuple]], sc
         if held:
             yield pack(held)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)
 
 
 def n_words(text: Column) -> Column:

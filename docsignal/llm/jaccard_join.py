@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_small, release, save, table
+from .common import join_small, release, save, table, tidied
 from .components import components
 
 WORDS = 5
@@ -163,7 +163,7 @@ def survey(docs: DataFrame, part_bits: int) -> DataFrame:
                 size += len(s)
             if len(rows) >= 5000:
                 yield told()
-            if size >= 4_000_000:
+            if size >= 1_000_000:
                 yield flush()
                 size = 0
         if rows:
@@ -171,7 +171,7 @@ def survey(docs: DataFrame, part_bits: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SETS_SQL)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(run), SETS_SQL)
 
 
 COUNTED = pa.schema([("part", pa.int32()), ("log2", pa.int32()), ("n", pa.int64()), ("hashes", pa.binary()), ("bits", pa.binary())])
@@ -305,13 +305,13 @@ def index(docs: DataFrame, order, part_bits: int) -> DataFrame:
             if len(k):
                 held.append((k, fp, len(s)))
                 size += len(k)
-            if size >= 1_000_000:
+            if size >= 500_000:
                 yield flush()
                 size = 0
         if held:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ENTRIES_SQL)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(run), ENTRIES_SQL)
 
 
 # -- 4: candidates ------------------------------------------------------------------------------
@@ -376,7 +376,7 @@ def across(lists: DataFrame, labels: DataFrame) -> DataFrame:
                 fp = np.unique(np.frombuffer(fps, "<i8"))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), part), pa.int32()), pa.array(fp)], names=["part", "node"])
 
-    need = lists.select("part", "fps").mapInArrow(members, "part int, node long").join(labels, "node").select("part", "node", "label")
+    need = lists.select("part", "fps").mapInArrow(tidied(members), "part int, node long").join(labels, "node").select("part", "node", "label")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -441,7 +441,7 @@ def whole_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([pack(s >> np.uint64(64 - SET_BITS)) for s in sets], pa.binary())], schema=schema)
 
     found = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")).filter("rep is not null").withColumn("at", at)
-    found = found.mapInArrow(run, "rep long, fp long, set binary")
+    found = found.mapInArrow(tidied(run), "rep long, fp long, set binary")
     return join_small(found, needed, ["rep", "fp"], "inner").select("fp", "set")
 
 
@@ -463,7 +463,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     # the pairs go to the members' sets if they are few, and only the sets of first members move
     members = join_small(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), pairs, ["b"], "inner")
     firsts = join_small(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), pairs.select("a").distinct(), ["a"], "left_semi")
-    return members.join(firsts, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return members.join(firsts, "a").select("a", "b", "x", "y").mapInArrow(tidied(run), "a long, b long")
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
@@ -487,7 +487,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
             for fps in b.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.frombuffer(fps, "<i8")))], names=["fp"])
 
-    involved = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).union(lists.select("fps").mapInArrow(members, "fp long")).dropDuplicates()
+    involved = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).union(lists.select("fps").mapInArrow(tidied(members), "fp long")).dropDuplicates()
     needed = save(classes.join(involved, "fp").filter("rep is not null"), "needed")
     sets = save(whole_sets(docs, needed), "sets")
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, save, table
+from .common import map_rows, save, table, tidied
 
 SAMPLE = 12_000
 TERMS = 4096
@@ -255,7 +255,7 @@ def kept(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
                 piece = b.slice(lo, 256)
                 yield piece.filter(pa.array([shared.value.score(x)[0] < 0.5 for x in piece.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
