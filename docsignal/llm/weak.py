@@ -27,12 +27,14 @@ class LabelModel:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, odds))))
 
 
-def fit(patterns: dict[tuple[int, ...], float], n_rules: int, prior: float = 0.5, right: float = 0.8, floor: float = 0.55, steps: int = 100, tolerance: float = 1e-7, smooth: float = 1.0, fix_prior: bool = False) -> LabelModel:
+def fit(patterns: dict[tuple[int, ...], float], n_rules: int, prior: float = 0.5, right: float | tuple[float, ...] = 0.8, floor: float = 0.55, steps: int = 100, tolerance: float = 1e-7, smooth: float = 1.0, fix_prior: bool = False) -> LabelModel:
     """EM. Rules start and stay better than chance (floor), which keeps the two classes from changing places.
 
-    No patterns at all: the starting model.
+    right: where the reliabilities start, for all rules or one by one; it counts as `smooth` votes of
+    each. No patterns at all: the starting model.
     """
-    model = LabelModel(prior, (right,) * n_rules, (right,) * n_rules)
+    start = right if isinstance(right, tuple) else (right,) * n_rules
+    model = LabelModel(prior, start, start)
     total = sum(patterns.values())
     if not total:
         return model
@@ -46,8 +48,8 @@ def fit(patterns: dict[tuple[int, ...], float], n_rules: int, prior: float = 0.5
             all_pos = sum(n * post[v] for v, n in patterns.items() if v[j] >= 0)
             against_neg = sum(n * (1 - post[v]) for v, n in patterns.items() if v[j] == 0)
             all_neg = sum(n * (1 - post[v]) for v, n in patterns.items() if v[j] >= 0)
-            p.append(clip((for_pos + smooth * right) / (all_pos + smooth)))
-            q.append(clip((against_neg + smooth * right) / (all_neg + smooth)))
+            p.append(clip((for_pos + smooth * start[j]) / (all_pos + smooth)))
+            q.append(clip((against_neg + smooth * start[j]) / (all_neg + smooth)))
         new = LabelModel(model.prior if fix_prior else min(0.99, max(0.01, weight / total)), tuple(p), tuple(q))
         moved = max(abs(a - b) for a, b in zip((model.prior, *model.right_for, *model.right_against), (new.prior, *new.right_for, *new.right_against), strict=True))
         model = new
