@@ -222,10 +222,10 @@ class Order:
 
 
 def order_of(counted: DataFrame, part_bits: int) -> Order:
-    """Collects at most FREQUENT hashes, the most frequent classes first, and MAP_BITS bits."""
+    """Collects at most FREQUENT hashes, the most frequent classes first, and a map of 2 ** MAP_BITS bits, in a job each."""
     bits = np.zeros(1 << (MAP_BITS - 3), np.uint8)
     width = len(bits) >> part_bits
-    for r in counted.filter("log2 is null").select("part", "bits").toLocalIterator():
+    for r in counted.filter("log2 is null").select("part", "bits").collect():
         bits[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["bits"], np.uint8)
     sizes = {r["log2"]: r["n"] for r in counted.filter("log2 is not null").groupBy("log2").agg(F.sum("n").alias("n")).collect()}
     least, room = 99, FREQUENT
@@ -234,7 +234,7 @@ def order_of(counted: DataFrame, part_bits: int) -> Order:
             break
         least, room = c, room - sizes[c]
     hs, cs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
-    for r in counted.filter(F.col("log2") >= least).select("log2", "hashes").toLocalIterator():
+    for r in counted.filter(F.col("log2") >= least).select("log2", "hashes").collect():
         hs.append(unpack(r["hashes"]))
         cs.append(np.full(len(hs[-1]), r["log2"], np.uint8))
     h, c = np.concatenate(hs), np.concatenate(cs)
@@ -424,7 +424,7 @@ def whole_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
     # Spark's bit maps count from 1
     maps = needed.groupBy(F.bitmap_bucket_number(at + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at + 1)).alias("map"))
     bits = np.zeros(1 << (MAP_BITS - 3), np.uint8)
-    for r in maps.toLocalIterator():
+    for r in maps.collect():
         lo = (r["bucket"] - 1) * len(r["map"])
         bits[lo : lo + len(r["map"])] = np.frombuffer(r["map"], np.uint8)[: len(bits) - lo]
     shared = docs.sparkSession.sparkContext.broadcast(bits)
