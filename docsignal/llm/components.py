@@ -24,3 +24,12 @@ def components(edges: DataFrame) -> DataFrame:
         if not new.filter("old != label").limit(1).count():
             return new.select("node", "label")
         labels = new.select("node", "label")
+
+
+def extended(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """The labels after further edges: only the components that these join are labelled anew."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
+    named = edges.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    moved = save(components(named.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))), "moved")
+    old = labels.join(moved.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return save(old.unionByName(moved.join(labels, "node", "left_anti")), "labels")

@@ -12,9 +12,10 @@ similarity reaches 0.8; the result gives each document the smallest doc_id that
    all shared ones are; then the prefix is extended by g to share g + 1 of them, of which two must lie
    in one of g hash classes, so that pairs inside a class (2-combinations) are indexed. g grows with
    the tier of sizes. A set of a tier meets only sets of the tier.
-4. Candidates. In the list of a key, every member is paired with the first (a star), verified on whole
-   sets, and linked sets form components. Then members of one list in different components are paired
-   and verified as well. Pairs inside a component are never made, so that a group of near copies costs
+4. Candidates. In the list of a key, every member is paired with a leader (a star), verified on whole
+   sets, and linked sets form components; so again, with other leaders, for members left outside the
+   largest component of their list. Then all pairs of a list that still lie in different components are
+   verified as well. Pairs inside a component are never made, so that a group of near copies costs
    about its size and not its square, and no link between components is missed.
 5. Components of the links, by labels and pointer jumping.
 
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import join_small, release, save, table, tidied
-from .components import components
+from .components import components, extended
 
 WORDS = 5
 #: Similarity of 4 / 5, as whole numbers.
@@ -342,8 +343,29 @@ def _lists(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return k[keep], fp[keep], n[keep], np.cumsum(size[size > 1]) - size[size > 1]
 
 
+def leaders(k: np.ndarray, fp: np.ndarray, start: np.ndarray, salt: int, among: np.ndarray | None = None) -> np.ndarray:
+    """The place of each list's first member under one of four random orders, which the key chooses.
+
+    Few orders, so that the lists of a small group agree on their leaders; more than one, so that
+    members of a large group meet several. among: the members that may lead, at least one a list.
+    """
+    order = mix(fp.view(np.uint64) + ODD[2] * ((k & np.uint64(3)) + np.uint64(4 * salt + 1)))
+    if among is not None:
+        order = np.where(among, order >> np.uint64(1), order | np.uint64(1 << 63))
+    number = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(k))))
+    return np.lexsort((order, number))[start]
+
+
+def distinct_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distinct pairs as rows, the smaller number first."""
+    names, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    code = np.unique(np.minimum(x, y).astype(np.uint64) << np.uint64(32) | np.maximum(x, y).astype(np.uint64))
+    return np.stack((names[(code >> np.uint64(32)).astype(np.int64)], names[(code & np.uint64(0xFFFFFFFF)).astype(np.int64)]), axis=1) if len(code) else np.zeros((0, 2), np.int64)
+
+
 def stars(entries: DataFrame) -> DataFrame:
-    """Per part: pairs (a, b) of each list's first member with the others; and the lists of three or more, packed."""
+    """Per part: pairs (a, b) of each list's leader with the others; and the lists of three or more, packed."""
 
     def run(t: pa.Table) -> pa.Table:
         part = t.column("part")[0].as_py()
@@ -351,9 +373,9 @@ def stars(entries: DataFrame) -> DataFrame:
         if not len(k):
             return CANDIDATES.empty_table()
         size = np.diff(np.append(start, len(k)))
-        lead, lead_n = np.repeat(fp[start], size), np.repeat(n[start], size)
-        good = (lead != fp) & similar_sizes(lead_n, n)
-        pairs = np.unique(np.stack((lead[good], fp[good]), axis=1), axis=0)
+        lead = np.repeat(leaders(k, fp, start, 0), size)
+        good = (fp[lead] != fp) & similar_sizes(n[lead], n)
+        pairs = distinct_pairs(fp[lead][good], fp[good])
         big = np.repeat(size > 2, size)
         none = pa.nulls(len(pairs), pa.binary())
         out = [pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none, none, none, pa.nulls(len(pairs), pa.int32())], schema=CANDIDATES)]
@@ -364,8 +386,9 @@ def stars(entries: DataFrame) -> DataFrame:
     return entries.groupBy("part").applyInArrow(run, CANDIDATES_SQL)
 
 
-def across(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of members of one list that lie in different components so far.
+def across(lists: DataFrame, labels: DataFrame, salt: int | None) -> DataFrame:
+    """Pairs of members of one list that lie in different components so far: with a salt those of the
+    list's leader out of its largest component, without one all of them.
 
     labels: node, label of the sets that have links. Each part gets the labels of its own members.
     """
@@ -377,12 +400,12 @@ def across(lists: DataFrame, labels: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), part), pa.int32()), pa.array(fp)], names=["part", "node"])
 
     need = lists.select("part", "fps").mapInArrow(tidied(members), "part int, node long").join(labels, "node").select("part", "node", "label")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         if not left.num_rows:
-            return out.empty_table()
-        _, fp, n, start = _lists(left)
+            return schema.empty_table()
+        k, fp, n, start = _lists(left)
         comp = fp.copy()
         node, label = right.column("node").to_numpy(), right.column("label").to_numpy()
         if len(node):
@@ -390,26 +413,49 @@ def across(lists: DataFrame, labels: DataFrame) -> DataFrame:
             node, label = node[order], label[order]
             at = np.minimum(np.searchsorted(node, fp), len(node) - 1)
             comp = np.where(node[at] == fp, label[at], fp)
-        found: list[np.ndarray] = []
-        held = 0
-        for lo, hi in zip(start, np.append(start[1:], len(fp)), strict=True):
-            c, f, m = comp[lo:hi], fp[lo:hi], n[lo:hi]
-            if (c == c[0]).all():
-                continue
-            # members of the largest component stand on one side only
-            names, which, sizes = np.unique(c, return_inverse=True, return_counts=True)
-            rest = np.flatnonzero(which != np.argmax(sizes))
-            for i in rest:
-                ok = (c != c[i]) & similar_sizes(m, m[i]) & ((which == np.argmax(sizes)) | (np.arange(len(c)) > i))
-                if ok.any():
-                    found.append(np.stack((np.minimum(f[ok], f[i]), np.maximum(f[ok], f[i])), axis=1))
-                    held += len(found[-1])
-            if held > 2_000_000:
-                found, held = [np.unique(np.concatenate(found), axis=0)], 0
-        if not found:
-            return out.empty_table()
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=out)
+        size = np.diff(np.append(start, len(k)))
+        mixed = np.maximum.reduceat(comp, start) != np.minimum.reduceat(comp, start)
+        keep = np.repeat(mixed, size)
+        if not keep.any():
+            return schema.empty_table()
+        k, fp, n, comp, size = k[keep], fp[keep], n[keep], comp[keep], size[mixed]
+        start = np.cumsum(size) - size
+        # the largest component of each list
+        number = np.repeat(np.arange(len(start)), size)
+        order = np.lexsort((comp, number))
+        turn = np.ones(len(order), bool)
+        turn[1:] = (number[order][1:] != number[order][:-1]) | (comp[order][1:] != comp[order][:-1])
+        run_size = np.diff(np.append(np.flatnonzero(turn), len(order)))
+        weight = np.empty(len(order), np.int64)
+        weight[order] = np.repeat(run_size, run_size)
+        first = np.lexsort((comp, -weight, number))[start]
+        main = comp == np.repeat(comp[first], size)
+        if salt is not None:
+            lead = np.repeat(leaders(k, fp, start, salt, main), size)
+            good = ~main & similar_sizes(n[lead], n)
+            pairs = distinct_pairs(fp[lead][good], fp[good])
+        else:
+            found: list[np.ndarray] = []
+            held = 0
+            for lo, m in zip(start, size, strict=True):
+                c, f, w, big = (x[lo : lo + m] for x in (comp, fp, n, main))
+                rest = np.flatnonzero(~big)
+                for cut in range(0, len(rest), 256):
+                    i = rest[cut : cut + 256, None]
+                    # pairs with the largest component, and among the others each once
+                    ok = (c[i] != c[None, :]) & similar_sizes(w[i], w[None, :]) & (big[None, :] | (np.arange(m)[None, :] > i))
+                    x, y = np.nonzero(ok)
+                    if len(x):
+                        found.append(np.stack((f[rest[cut : cut + 256][x]], f[y]), axis=1))
+                        held += len(x)
+                if held > 2_000_000:
+                    got = np.concatenate(found)
+                    found, held = [distinct_pairs(got[:, 0], got[:, 1])], 0
+            if not found:
+                return schema.empty_table()
+            got = np.concatenate(found)
+            pairs = distinct_pairs(got[:, 0], got[:, 1])
+        return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
 
     return lists.groupBy("part").cogroup(need.groupBy("part")).applyInArrow(run, "a long, b long")
 
@@ -491,11 +537,15 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     needed = save(classes.join(involved, "fp").filter("rep is not null"), "needed")
     sets = save(whole_sets(docs, needed), "sets")
 
-    links = save(verified(pairs, sets), "links")
-    labels = components(links)
-    more = save(across(lists, labels).dropDuplicates().join(pairs, ["a", "b"], "left_anti"), "across")
-    new = save(verified(more, sets), "links")
-    labels = components(links.union(new))
+    labels = components(save(verified(pairs, sets), "links"))
+    # more leaders for what the first ones left apart, then all pairs that are still across components
+    for salt in (1, 2, 3, None):
+        more = save(across(lists, labels, salt).dropDuplicates().join(pairs, ["a", "b"], "left_anti"), "across")
+        new = save(verified(more, sets), "links")
+        if salt is not None:
+            pairs = pairs.union(more)
+        if new.limit(1).count():
+            labels = extended(labels, new)
 
     named = classes.join(labels.withColumnRenamed("node", "fp"), "fp")
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))

@@ -179,8 +179,11 @@ def test_components(spark):
         if a != b:
             x, y = root(a), root(b)
             parent[max(x, y)] = min(x, y)
-    got = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
-    assert {r.node: r.label for r in got} == {x: root(x) for x in list(parent)}
+    table = lambda e: spark.createDataFrame(e, "a long, b long")
+    want = {x: root(x) for x in list(parent)}
+    assert {r.node: r.label for r in components.components(table(edges)).collect()} == want
+    some = components.components(table(edges[::2]))
+    assert {r.node: r.label for r in components.extended(some, table(edges[1::2])).collect()} == want
 
 
 def test_index_gives_exact_neighbours():
