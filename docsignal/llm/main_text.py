@@ -53,6 +53,8 @@ NAME_ZONE = {
     "share": "share sharing social tags tag byline meta author",
     "article": "article content post entry story main body text articlebody postbody maincontent",
 }
+#: Endings of run-together names such as topnav or siteheader.
+ENDINGS = {"nav": "nav", "menu": "nav", "header": "header", "footer": "footer", "sidebar": "aside", "comments": "comment", "comment": "comment", "banner": "ad", "advert": "ad", "adslot": "ad", "adbox": "ad", "adunit": "ad", "notice": "notice", "popup": "notice"}
 ZONE_OF = {part: zone for zone, parts in NAME_ZONE.items() for part in parts.split()}
 NOISE = frozenset("nav header footer aside notice ad form comment share hidden".split())
 BLOCKS = frozenset("p li td h1 h2 h3 h4 h5 h6 blockquote pre dd dt figcaption div".split())
@@ -73,6 +75,7 @@ def zone_of(tag: str, attributes: str) -> str | None:
         parts = PART.findall(name)
         found += [ZONE_OF[x] for x in parts if x in ZONE_OF]
         found += [ZONE_OF[x] for x in ("".join(parts),) if x in ZONE_OF]
+        found += [z for x in parts if x not in ZONE_OF for e, z in ENDINGS.items() if x.endswith(e)]
     noise = [z for z in found if z in NOISE]
     if by_tag == "article":
         return "comment" if "comment" in noise else "article"
@@ -223,6 +226,10 @@ def extract(page: str | None, w: dict[tuple[str, str], float]) -> str:
     tag = w.get(("tag", ""), -1.0)
     each = [w.get(("zone", b.zone), -4.0 if b.zone in NOISE else 0.5) + w.get(("block", b.tag), 0.0) * (0.5 if b.zone == "article" else 1) + w.get(("link", str(b.link)), 0.0) for b in bs]
     # a scan over words and tags; equal scores inside a block let it step block by block
+    # where an article is marked and holds most of the words, words outside it count against
+    held = {z: sum(len(t.split()) for b, t in zip(bs, texts, strict=True) if b.zone == z) for z in ("article", "other")}
+    if held["article"] > held["other"]:
+        each = [min(s, -1.0) if b.zone == "other" else s for b, s in zip(bs, each, strict=True)]
     # a tag inside an article costs a tenth, as a short heading there must not be lost, and noise inside it costs nothing, as it is left out below
     start, end = best_region([0.0 if b.inside and b.zone in NOISE else len(t.split()) * s + b.before * tag * (0.1 if b.inside else 1) for b, t, s in zip(bs, texts, each, strict=True)])
     return " ".join(t for b, t, s in zip(bs[start:end], texts[start:end], each[start:end], strict=True) if t and (s > 0 or (b.zone == "article" and not (b.link and s < -4))) and b.zone not in NOISE)

@@ -89,6 +89,7 @@ def test_labelled_pages_come_out():
         ("<p>", ""),
         ("<article><p>a &amp; b<br>c <b>d</b>e\n f &#233;</p></article>", "a & b c de f é"),
         ("<nav><ul><li><a href=/>Home</a><article><p>Alpha beta.</p><div class=ad>Buy now</div><p>x</p></article>", "Alpha beta. x"),
+        ("<div class='topnav'>Go here or there</div><article><p>Six words are in this text.</p></article><div>Made by nobody</div>", "Six words are in this text."),
         ("<article><h1>T</h1><p>Text.</p><section id='comments'><p>a reader says hello</p></section></article>", "T Text."),
         ("<main><p>Alpha beta gamma.</p></main><section class='comment-list'><article class='comment'><p>Me too.</p></article></section>", "Alpha beta gamma."),
         ("<article><p>whole <!-- gone --> text<script>var a = '<p>no</p>';</script></p><style>p{}</style><p>ends &am", "whole text ends &am"),
