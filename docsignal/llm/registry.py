@@ -15,4 +15,4 @@ QUERIES = {
     "op10_url_rules": url_rules.op10_url_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_jaccard_join": jaccard_join.ORACLE_SQL}
