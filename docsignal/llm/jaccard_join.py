@@ -315,6 +315,26 @@ def index(docs: DataFrame, order, part_bits: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(run), ENTRIES_SQL)
 
 
+def signature(s: np.ndarray) -> bytes:
+    """A bit map of a set, of 8 bits a shingle about."""
+    bits = min(1 << 15, max(64, 1 << (8 * len(s) - 1).bit_length()))
+    out = np.zeros(bits, np.uint8)
+    out[(mix(s) & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def folded(signatures: list[bytes]) -> np.ndarray:
+    """Signatures as rows of 64-bit words, all folded to the shortest one's length."""
+    width = min(map(len, signatures)) // 8
+    out = []
+    for b in signatures:
+        w = np.frombuffer(b, "<u8")
+        while len(w) > width:
+            w = w[: len(w) // 2] | w[len(w) // 2 :]
+        out.append(w)
+    return np.stack(out)
+
+
 # -- 4: candidates ------------------------------------------------------------------------------
 
 
@@ -386,11 +406,15 @@ def stars(entries: DataFrame) -> DataFrame:
     return entries.groupBy("part").applyInArrow(run, CANDIDATES_SQL)
 
 
-def across(lists: DataFrame, labels: DataFrame, salt: int | None) -> DataFrame:
+def across(lists: DataFrame, labels: DataFrame, salt: int | None, sets: DataFrame) -> DataFrame:
     """Pairs of members of one list that lie in different components so far: with a salt those of the
-    list's leader out of its largest component, without one all of them.
+    list's leader out of its largest component, without one all that may be similar by their signatures.
+
+    Bits that differ between two bit maps are at most the shingles that differ between the sets, so
+    that the signatures bound the overlap from above and no similar pair is left out.
 
-    labels: node, label of the sets that have links. Each part gets the labels of its own members.
+    labels: node, label of the sets that have links. Each part gets the labels, and at last the
+    signatures, of its own members.
     """
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,7 +423,12 @@ def across(lists: DataFrame, labels: DataFrame, salt: int | None) -> DataFrame:
                 fp = np.unique(np.frombuffer(fps, "<i8"))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), part), pa.int32()), pa.array(fp)], names=["part", "node"])
 
-    need = lists.select("part", "fps").mapInArrow(tidied(members), "part int, node long").join(labels, "node").select("part", "node", "label")
+    need = lists.select("part", "fps").mapInArrow(tidied(members), "part int, node long")
+    if salt is not None:
+        need = need.join(labels, "node").select("part", "node", "label", F.lit(None).cast("binary").alias("signature"))
+    else:
+        own = need.join(sets.select(F.col("fp").alias("node"), "signature"), "node")
+        need = own.join(labels, "node", "left").select("part", "node", F.coalesce("label", "node").alias("label"), "signature")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -408,6 +437,7 @@ def across(lists: DataFrame, labels: DataFrame, salt: int | None) -> DataFrame:
         k, fp, n, start = _lists(left)
         comp = fp.copy()
         node, label = right.column("node").to_numpy(), right.column("label").to_numpy()
+        maps = dict(zip(node.tolist(), right.column("signature").to_pylist(), strict=True)) if salt is None else {}
         if len(node):
             order = np.argsort(node)
             node, label = node[order], label[order]
@@ -438,13 +468,23 @@ def across(lists: DataFrame, labels: DataFrame, salt: int | None) -> DataFrame:
             found: list[np.ndarray] = []
             held = 0
             for lo, m in zip(start, size, strict=True):
-                c, f, w, big = (x[lo : lo + m] for x in (comp, fp, n, main))
+                here = np.arange(lo, lo + m)
+                here = here[[x in maps for x in fp[here].tolist()]]  # sets of rows without a doc_id are not there
+                if len(here) < 2:
+                    continue
+                c, f, w, big = (x[here] for x in (comp, fp, n, main))
+                m, words = len(here), folded([maps[x] for x in f.tolist()])
                 rest = np.flatnonzero(~big)
                 for cut in range(0, len(rest), 256):
                     i = rest[cut : cut + 256, None]
                     # pairs with the largest component, and among the others each once
                     ok = (c[i] != c[None, :]) & similar_sizes(w[i], w[None, :]) & (big[None, :] | (np.arange(m)[None, :] > i))
                     x, y = np.nonzero(ok)
+                    one = i[x, 0]
+                    differ = np.concatenate([np.bitwise_count(words[one[q : q + 20_000]] ^ words[y[q : q + 20_000]]).sum(axis=1, dtype=np.int64) for q in range(0, len(x), 20_000)] or [np.zeros(0, np.int64)])
+                    total = w[one].astype(np.int64) + w[y]
+                    near = (NUM + DEN) * ((total - differ) // 2) >= NUM * total
+                    x, y = x[near], y[near]
                     if len(x):
                         found.append(np.stack((f[rest[cut : cut + 256][x]], f[y]), axis=1))
                         held += len(x)
@@ -461,7 +501,7 @@ def across(lists: DataFrame, labels: DataFrame, salt: int | None) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """fp and set of the classes whose first document (column rep) is needed.
+    """fp, set and signature of the classes whose first document (column rep) is needed.
 
     The documents are found by a bit map of fixed size, so that no text is shuffled; what it lets
     through beyond them is left out by the join that follows.
@@ -474,7 +514,7 @@ def whole_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
         lo = (r["bucket"] - 1) * len(r["map"])
         bits[lo : lo + len(r["map"])] = np.frombuffer(r["map"], np.uint8)[: len(bits) - lo]
     shared = docs.sparkSession.sparkContext.broadcast(bits)
-    schema = pa.schema([("rep", pa.int64()), ("fp", pa.int64()), ("set", pa.binary())])
+    schema = pa.schema([("rep", pa.int64()), ("fp", pa.int64()), ("set", pa.binary()), ("signature", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -484,11 +524,11 @@ def whole_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
             for lo in range(0, b.num_rows, 256):
                 piece = b.slice(lo, 256)
                 sets = [shingles(x) for x in piece.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([pack(s >> np.uint64(64 - SET_BITS)) for s in sets], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([pack(s >> np.uint64(64 - SET_BITS)) for s in sets], pa.binary()), pa.array([signature(s) for s in sets], pa.binary())], schema=schema)
 
     found = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")).filter("rep is not null").withColumn("at", at)
-    found = found.mapInArrow(tidied(run), "rep long, fp long, set binary")
-    return join_small(found, needed, ["rep", "fp"], "inner").select("fp", "set")
+    found = found.mapInArrow(tidied(run), "rep long, fp long, set binary, signature binary")
+    return join_small(found, needed, ["rep", "fp"], "inner").select("fp", "set", "signature")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -540,7 +580,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     labels = components(save(verified(pairs, sets), "links"))
     # more leaders for what the first ones left apart, then all pairs that are still across components
     for salt in (1, 2, 3, None):
-        more = save(across(lists, labels, salt).dropDuplicates().join(pairs, ["a", "b"], "left_anti"), "across")
+        more = save(across(lists, labels, salt, sets).dropDuplicates().join(pairs, ["a", "b"], "left_anti"), "across")
         new = save(verified(more, sets), "links")
         if salt is not None:
             pairs = pairs.union(more)
