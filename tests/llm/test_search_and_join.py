@@ -153,6 +153,21 @@ def test_combinations_are_exact(spark, documents, monkeypatch):
     assert n > 100
 
 
+def test_signatures_bound_the_overlap():
+    rng = np.random.default_rng(0)
+    pruned = 0
+    for _ in range(500):
+        n = int(rng.integers(2, 900))
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate((a[int(rng.integers(0, len(a))) // 3 :], rng.integers(0, 2**63, int(rng.integers(0, n // 3 + 1))).astype(np.uint64))))
+        same = len(np.intersect1d(a, b))
+        x, y = jaccard_join.folded([jaccard_join.signature(a), jaccard_join.signature(b)])
+        differ = int(np.bitwise_count(x ^ y).sum())
+        assert differ <= len(a) + len(b) - 2 * same
+        pruned += 9 * ((len(a) + len(b) - differ) // 2) < 4 * (len(a) + len(b))
+    assert pruned > 250
+
+
 def test_join_odd(spark, documents, odd_rows):
     got = jaccard_join.jaccard_join(documents(odd_rows)).collect()
     assert len(got) == len(odd_rows)
