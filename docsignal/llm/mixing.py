@@ -1,7 +1,8 @@
 """Mixing sources to target weights by Pareto order sampling (operator 8).
 
-Each source gets a target number of words. A document expects target / size of source copies, scaled
-by its weight; its whole expected copies are certain. For the rest, documents are ranked by random
+Each source gets a target number of words. A document expects copies in proportion to its weight, at
+most `most`; what that bound takes away is reshared among the source's other documents, so that the
+expected words are the target. Its whole expected copies are certain. For the rest, documents are ranked by random
 odds divided by inclusion odds, U / (1 - U) over p / (1 - p), and taken in that order until the
 source's target is reached; one more document, the one that leaves the least distance, closes the gap.
 
@@ -46,6 +47,27 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return ranked.select("key", "source_size", F.least(cap.cast("double"), level * F.col("w")).alias("target"))
 
 
+def levels(base: DataFrame, per: DataFrame, most: int) -> DataFrame:
+    """Adds level to per (columns key, source_size, target): least(most, level * w) copies of each document hold the target's words.
+
+    The words are concave in the level, so that Newton's steps from 0 rise to it and end when no more
+    documents reach most. A source whose target is most times its size needs all of every document.
+    """
+    each = save(base.groupBy("key", "w").agg(F.sum("size").alias("words")), "weights")
+    full = (F.col("source_size") > 0) & (F.col("target") >= most * F.col("source_size"))
+    now = per.filter(~full & (F.col("target") > 0)).select("key", "target", F.lit(0.0).alias("level"), F.lit(-1).cast("long").alias("reached"))
+    while True:
+        over = F.col("level") * F.col("w") >= most
+        sums = join_small(each, now, ["key"], "inner").groupBy("key", "target", "level", F.col("reached").alias("before")).agg(
+            F.count_if(over).alias("reached"), F.sum(F.when(over, most * F.col("words")).otherwise(0)).alias("certain"), F.sum(F.when(over, 0.0).otherwise(F.col("words") * F.col("w"))).alias("slope")
+        )
+        step = (F.col("target") - F.col("certain")) / F.nullif(F.col("slope"), F.lit(0.0))
+        now = save(sums.select("key", "target", F.greatest("level", step).alias("level"), "reached", "before"), "level")
+        if not now.filter("reached > before").limit(1).count():
+            break
+    return per.join(now.select("key", "level"), "key", "left").withColumn("level", F.when(full, F.lit(float("inf"))).otherwise(F.coalesce("level", F.lit(0.0))))
+
+
 def keyed(docs: DataFrame, seed: int, weight: Column | None) -> DataFrame:
     """Adds what a decision rests on, all from the row itself: key, size, u and w."""
     at = docs.withColumns({"key": source_key(F.col("source").cast("string")), "size": n_words(F.col("text").cast("string")), "u": unit_interval(F.lit(seed), F.col("doc_id").cast("long"))})
@@ -53,13 +75,13 @@ def keyed(docs: DataFrame, seed: int, weight: Column | None) -> DataFrame:
 
 
 def ranked(rows: DataFrame, per: DataFrame, most: int) -> DataFrame:
-    """Adds sure (certain copies), open (may have one more), rho (the rank) and bin to keyed rows. per: key, source_size, target, weighted."""
+    """Adds sure (certain copies), open (may have one more), rho (the rank) and bin to keyed rows. per: key, source_size, target, level."""
     known = join_small(rows, per, ["key"], "left")
-    known = known.withColumn("expected", F.least(F.lit(float(most)), F.coalesce(F.col("target") * F.col("w") / F.nullif(F.col("weighted"), F.lit(0.0)), F.lit(0.0))))
+    known = known.withColumn("expected", F.least(F.lit(float(most)), F.coalesce(F.col("level") * F.col("w"), F.lit(0.0))))
     known = known.withColumn("sure", F.floor(F.col("expected") + 1e-9).cast("long")).withColumn("p", F.least(F.greatest(F.col("expected") - F.col("sure"), F.lit(1e-9)), F.lit(1 - 1e-9)))
     known = known.withColumn("rho", (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p"))))
     known = known.withColumns({"bin": F.least(F.floor(BINS * F.col("rho") / (1 + F.col("rho"))), F.lit(BINS - 1)).cast("int"), "open": F.col("sure") < most})
-    return known.drop("u", "w", "weighted", "expected", "p")
+    return known.drop("u", "w", "level", "expected", "p")
 
 
 def chosen() -> Column:
@@ -96,8 +118,8 @@ def decided(rows: DataFrame, per: DataFrame, cut: DataFrame, most: int) -> DataF
 def plan(docs: DataFrame, seed: int, weight: Column | None, weights: tuple[int, ...], share: float, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The keyed rows without texts, the sources' targets and their cuts: the last two hold a row per source."""
     base = save(keyed(docs.select("doc_id", "source", "text"), seed, weight).select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "key", "size", "u", "w"), "mix")
-    sizes = base.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("w")).alias("weighted"))
-    per = save(targets(sizes.drop("weighted"), weights, share, most).join(sizes.select("key", "weighted"), "key"), "targets")
+    sizes = base.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
+    per = save(levels(base, save(targets(sizes, weights, share, most), "shares"), most), "targets")
     known = save(ranked(base.drop("source"), per, most), "ranked")
     return base, per, save(cuts(known), "cuts")
 

@@ -132,3 +132,25 @@ def test_mixing_odd(spark, documents, odd_rows):
     assert len(mixing.mix(documents(odd_rows)).collect()) == len(odd_rows)
     assert mixing.mix(documents([])).count() == 0
     assert [r.copies for r in mixing.mix(documents([(1, None), (2, "")])).collect()] in ([0, 0], [1, 1], [2, 2])
+
+
+def test_mixing_reaches_targets_with_very_long_documents(spark, documents):
+    """A capped source needs every document twice; elsewhere what most takes from short documents goes to the long ones."""
+    long = " ".join("w" * 30_000)
+    rows = [(0, long, "a"), *((10_000 + i, " ".join("w" * 50), "a") for i in range(400))]
+    rows += [(100, " ".join("w" * 60_000), "b"), *((100 + i, " ".join("w" * 20), "b") for i in range(1, 2001))]
+    rows += [(5000 + i, " ".join("w" * 100), "c") for i in range(1800)]
+    got = mixing.mix(documents(rows), weight=F.expr(mixing.LESS_IF_LONG)).collect()
+    source, taken, target = {r[0]: r[2] for r in rows}, Counter(), {}
+    for r in got:
+        taken[source[r.doc_id]] += r.size * r.copies
+        target[source[r.doc_id]] = r.target, r.source_size
+    assert target["a"][0] == 2 * target["a"][1] and {r.copies for r in got if source[r.doc_id] == "a"} == {2}
+    assert abs(taken["c"] - target["c"][0]) <= 50
+
+
+def test_expected_copies_hold_the_target(spark):
+    base = spark.createDataFrame([("s", 10, 1.0)] * 50 + [("s", 1000, 0.01), ("s", 3000, 0.001)], "key string, size long, w double")
+    per = spark.createDataFrame([("s", 4500, 4000.0), ("t", 0, 0.0)], "key string, source_size long, target double")
+    level = {r.key: r.level for r in mixing.levels(base, per, 2).collect()}
+    assert level["t"] == 0.0 and abs(sum(r["size"] * min(2.0, level["s"] * r.w) for r in base.collect()) - 4000) < 1e-6
