@@ -80,11 +80,10 @@ def usable(vec: Column) -> Column:
     return F.coalesce((F.size(vec) > 0) & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 12, probes: int = 6, seed: int = 2, exact_upto: int = 2000, hashes: int | None = None) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 12, probes: int = 6, seed: int = 2, exact_upto: int = 2000) -> DataFrame:
     """Columns vec_id (long) and vec (array of float or double) in; query_id, rank, vec_id, score out.
 
-    hashes: cross-polytopes joined in one bucket number; by default one, and two beyond 2 ** 24
-    vectors, where probes are pairs of axes in order of their summed coordinates.
+    Beyond exact_upto, tables and probes are the same at every size, as finer buckets would lose neighbours.
     """
     known = vectors.filter(F.col("vec_id").isNotNull() & usable(F.col("vec"))).select("vec_id", F.col("vec").cast("array<double>").alias("vec"), F.coalesce(is_query, F.lit(False)).alias("query"))
     # vectors of floats travel as floats, and are doubles again before any product
@@ -114,8 +113,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 12,
         asked[:, :dim] = x[query] / np.linalg.norm(x[query], axis=1, keepdims=True)
         if uneven:
             unit[:, dim] = np.sqrt(np.maximum(0, 1 - (unit[:, :dim] ** 2).sum(axis=1)))
-        count = hashes or (1 if n <= 1 << 24 else 2)
-        many = width if n <= exact_upto else probes
         rng = np.random.default_rng([seed, dim])
         raw = x.astype(wire)
         out: list[tuple] = []
@@ -128,20 +125,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 12,
                     out.append((dim, tab, int(bucket[part[0]]), asks, len(part), of_ids[part].astype("<i8").tobytes(), of[part].tobytes()))
 
         for tab in range(tables if n > exact_upto else 1):
-            home = np.zeros(len(x), dtype=np.int64)
-            found: list[tuple[np.ndarray, np.ndarray]] = []
-            for _ in range(count):
-                signs = rng.choice([-1.0, 1.0], size=(3, width))
-                home = home * 2 * width + axes(rotate(unit, signs), 1)[0][:, 0]
-                found.append(axes(rotate(asked, signs), many))
-            probe, size = found[0]
-            for more, more_size in found[1:]:
-                both = (size[:, :, None] + more_size[:, None, :]).reshape(len(size), -1)
-                at = np.argsort(-both, axis=1, kind="stable")[:, : many * 4]
-                probe = np.take_along_axis((probe[:, :, None] * 2 * width + more[:, None, :]).reshape(len(size), -1), at, 1)
-                size = np.take_along_axis(both, at, 1)
+            signs = rng.choice([-1.0, 1.0], size=(3, width))
+            home = axes(rotate(unit, signs), 1)[0][:, 0]
+            probe = axes(rotate(asked, signs), probes)[0]
             if n <= exact_upto:  # both signs of every axis
-                probe = np.tile(np.arange((2 * width) ** count), (len(asked), 1))
+                probe = np.tile(np.arange(2 * width), (len(asked), 1))
             emit(tab, home, False, ids, raw)
             if len(asked):
                 where = np.repeat(np.arange(len(asked)), probe.shape[1])

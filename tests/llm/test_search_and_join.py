@@ -82,6 +82,21 @@ def test_recall(spark, even):
     assert hits / sum(map(len, want.values())) >= 0.9
 
 
+def test_neighbours_do_not_depend_on_the_size_of_the_table(spark, monkeypatch):
+    """The second search is told that it has more than 2 ** 24 vectors."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 32))
+    ids = np.arange(1500)
+    df = vectors(spark, ids, x)
+
+    def found():
+        return sorted((r.query_id, r["rank"], r.vec_id) for r in cross_polytope.search(df, F.col("vec_id") % 20 == 0, exact_upto=0).collect())
+
+    few = found()
+    monkeypatch.setattr(cross_polytope.F, "count", lambda _: F.max(F.lit((1 << 24) + 1)))
+    assert found() == few and len(few) > 1000
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [None, 1.0]), (7, [1.0, 2.0, 3.0]), (8, [0.5, 0.5]), (8, [0.5, 0.5]), (20, [-1.0, 0.0]), (None, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, vec array<float>")
