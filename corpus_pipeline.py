@@ -37,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row's place in a batch of one padded length."""
-    return length_buckets.pack(length_buckets.lengths(docs))
+    return length_buckets.pack(length_buckets.token_lengths(docs))
 
 
 STAGES = [

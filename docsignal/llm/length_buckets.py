@@ -1,7 +1,8 @@
 """Packing by optimal length buckets (operator 4).
 
 Dynamic programming over the global histogram of lengths chooses the bucket boundaries that need the
-least padding; inside each bucket, batches of one padded length fill a token budget.
+least padding; inside each bucket, batches of one padded length fill a token budget. Lengths are counted
+with the tokenizer of operator 1.
 
 Defined results: null and empty texts have length 0 and lie in the first bucket. A text longer than
 the budget makes a batch of its own. Ties and repeated rows: each row has a slot of its own, equal
@@ -11,10 +12,13 @@ and text are ignored. A null doc_id is carried.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, save, table
+from .common import map_rows, n_words, save, table
+from .token_files import RANKS, encoder
 
 #: Lengths up to FINE count exactly; above, steps of at most 1/2048 bound the histogram at any size of corpus.
 FINE = 1 << 14
@@ -105,9 +109,19 @@ def pack(rows: DataFrame, n_buckets: int = 16, budget: int = 65_536) -> DataFram
     )
 
 
+def token_lengths(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
+    def run(rows: Iterable[tuple]) -> Iterator[tuple]:
+        encode = encoder(ranks).encode_ordinary
+        for doc_id, text in rows:
+            yield doc_id, len(encode(text or ""))
+
+    return map_rows(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_tokens long")
+
+
 def lengths(docs: DataFrame) -> DataFrame:
+    """Words in the place of tokens, for texts that are their own tokens."""
     return docs.select(F.col("doc_id").cast("long"), n_words(F.col("text")).alias("n_tokens"))
 
 
 def op4_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(lengths(table(spark, sf_dir, "documents")))
+    return pack(token_lengths(table(spark, sf_dir, "documents")))

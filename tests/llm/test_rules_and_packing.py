@@ -7,7 +7,8 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from docsignal.llm import length_buckets, mixing, quality_rules, weak
+import corpus_pipeline
+from docsignal.llm import length_buckets, mixing, quality_rules, token_files, weak
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -40,6 +41,17 @@ def test_packing(spark, documents, odd_rows):
     assert length_buckets.pack(length_buckets.lengths(documents([]))).count() == 0
 
 
+def test_packing_counts_tokens(spark, documents, tmp_path):
+    rows = [(1, None), (2, ""), (3, "one two three"), (4, "QUJDREVGR0hJSktMTU5PUA" * 200), (5, "\u5b66\u4e60\u8bad\u7ec3" * 50), (6, "unbelievably antidisestablishmentarian")]
+    df = documents(rows)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    encode = token_files.encoder(token_files.RANKS).encode_ordinary
+    want = sorted((i, len(encode(t or ""))) for i, t in rows)
+    for got in (length_buckets.op4_length_buckets(spark, str(tmp_path)), corpus_pipeline.pack_batches(spark, df, "")):
+        assert sorted((r.doc_id, r.n_tokens) for r in got.collect()) == want
+    assert length_buckets.pack(length_buckets.token_lengths(documents([]))).count() == 0
+
+
 def test_resolution_bounds_the_histogram(spark):
     df = spark.createDataFrame([(x,) for x in (0, 5, 16384, 16385, 40_000, 10**9)], "n long").select("n", length_buckets.resolved(F.col("n")).alias("r"))
     for n, r in df.collect():
