@@ -15,15 +15,18 @@ similarity reaches 0.8; the result gives each document the smallest doc_id that
 4. Candidates. In the list of a key, every member is paired with a leader (a star), verified on whole
    sets, and linked sets form components; so again, with other leaders, for members left outside the
    largest component of their list. Then all pairs of a list that still lie in different components are
-   verified as well. Pairs inside a component are never made, so that a group of near copies costs
-   about its size and not its square, and no link between components is missed.
+   verified as well, each made once, by the least key that its members share. Pairs inside a component
+   are never made, so that a group of near copies costs about its size and not its square, and no link
+   between components is missed. The list of a key that may have many members is spread over several
+   groups, which are compared in pairs at last.
 5. Components of the links, by labels and pointer jumping.
 
 Exact up to hash collisions (64 bits for classes, 48 for the comparison of two whole sets). Defined results: null text, or text without
 words, has no set (n_shingles 0) and component_id is its own doc_id; with 1 to 4 words the whole
-sequence is the one shingle. Repeated rows are copies of each other. A null doc_id gets the component
-of its class, is never one's id and carries no links for others. An empty table gives an empty result. Columns other than doc_id
-and text are ignored.
+sequence is the one shingle. Repeated rows are copies of each other. A row with a null doc_id links and
+carries links as any other, but names no component: its component_id is the smallest doc_id that its
+links reach, null if there is none. An empty table gives an empty result. Columns other than doc_id and
+text are ignored.
 """
 
 from __future__ import annotations
@@ -32,10 +35,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import join_small, release, save, table, tidied
 from .components import components, extended
@@ -46,6 +51,8 @@ NUM, DEN = 4, 5
 #: Shingles whose exact count class is known to all tasks, and the class (log2 of the count) from which combinations are indexed.
 FREQUENT = 1 << 20
 COMBINE_FROM = 6
+#: The class from which the list of a combination is spread over several groups, of about 2 ** HOT_FROM members each.
+HOT_FROM = 12
 #: Bits of the map of shingles that occur more than once, and of the map of documents whose sets are needed.
 MAP_BITS = 27
 BITS = 40
@@ -107,8 +114,12 @@ def unpack(b: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(raw).view("<u8").reshape(-1), dtype=np.uint64)
 
 
-def _parts(spark: SparkSession) -> int:
-    return max(6, (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+def _parts(docs: DataFrame) -> int:
+    """Bits of the number of parts that hashes and keys are dealt to: by the tables' size on disk, where Spark knows it, and the shuffle's partitions."""
+    spark = docs.sparkSession
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    by_size = (size >> 24).bit_length() if size < 1 << 60 else 0
+    return min(18, max(6, by_size, (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str | None]]:
@@ -164,7 +175,7 @@ def survey(docs: DataFrame, part_bits: int) -> DataFrame:
                 size += len(s)
             if len(rows) >= 5000:
                 yield told()
-            if size >= 1_000_000:
+            if size >= max(1_000_000, 64 << part_bits):
                 yield flush()
                 size = 0
         if rows:
@@ -246,55 +257,73 @@ def order_of(counted: DataFrame, part_bits: int) -> Order:
 # -- 3: the index -------------------------------------------------------------------------------
 
 
-def keys(s: np.ndarray, order: Order) -> np.ndarray:
-    """The index keys of a set."""
+def keys(s: np.ndarray, order: Order, hot_from: int = HOT_FROM) -> tuple[np.ndarray, np.ndarray]:
+    """The index keys of a set, and over how many lists each is spread: the rarer shingle of a combination bounds the list."""
     n = len(s)
     if n < 2:  # a set of one is similar only to equal sets, which are one class
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     known = order.classes(s)
     at = np.lexsort((s, known))
     s, known = s[at], known[at]
     prefix = n - overlap(n) + 1
     single = s[:prefix][known[:prefix] < COMBINE_FROM]
     out = [mix(single[order.repeated(single)] + np.uint64(1))]
+    spread = [np.ones(len(out[0]), np.int64)]
     first_frequent = int(np.searchsorted(known, COMBINE_FROM))
     if first_frequent < prefix:
         for tier, g in tiers(n):
-            f = s[first_frequent : prefix + g]
+            f, c = s[first_frequent : prefix + g], known[first_frequent : prefix + g]
             which = mix(f) % np.uint64(g)
             at = np.argsort(which, kind="stable")
-            f, which = f[at], which[at]
+            f, which, c = f[at], which[at], c[at]
             for step in range(1, len(f)):
                 same = which[:-step] == which[step:]
                 if not same.any():
                     break
                 # the global order inside a class makes (first, second) the same for both sets
                 out.append(mix(mix(f[:-step][same] + np.uint64(tier + 2)) * ODD[1] + f[step:][same]))
-    return np.unique(np.concatenate(out))
+                spread.append(1 << np.maximum(0, c[:-step][same] - hot_from))
+    k, at = np.unique(np.concatenate(out), return_index=True)
+    return k, np.concatenate(spread)[at]
 
 
-ENTRIES = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("fps", pa.binary()), ("ns", pa.binary())])
-ENTRIES_SQL = "part int, keys binary, fps binary, ns binary"
+ENTRIES = pa.schema([("grp", pa.int64()), ("key", pa.int64()), ("sub", pa.int32()), ("keys", pa.binary()), ("fps", pa.binary()), ("ns", pa.binary())])
+ENTRIES_SQL = "grp long, key long, sub int, keys binary, fps binary, ns binary"
 
 
-def index(docs: DataFrame, order, part_bits: int) -> DataFrame:
-    """Blocks of (key, fp, n), dealt by the key's first bits. order: a broadcast Order."""
+def index(docs: DataFrame, order, part_bits: int, hot_from: int = HOT_FROM) -> DataFrame:
+    """Blocks of (key, fp, n), dealt to groups by the key's first bits. order: a broadcast Order.
+
+    A key whose list may be long is spread over groups of its own (columns key and sub), by fp.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        held: list[tuple[np.ndarray, int, int]] = []
+        held: list[tuple[np.ndarray, np.ndarray, int, int]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            k = np.concatenate([x for x, _, _ in held])
-            each = [len(x) for x, _, _ in held]
-            fp = np.repeat(np.array([x for _, x, _ in held], np.int64), each)
-            n = np.repeat(np.array([x for _, _, x in held], np.int32), each)
+            k = np.concatenate([x for x, _, _, _ in held])
+            spread = np.concatenate([x for _, x, _, _ in held])
+            each = [len(x) for x, _, _, _ in held]
+            fp = np.repeat(np.array([x for _, _, x, _ in held], np.int64), each)
+            n = np.repeat(np.array([x for _, _, _, x in held], np.int32), each)
             held.clear()
+            rows = []
+            hot = spread > 1
+            if hot.any():
+                hk, hf, hn = k[hot], fp[hot], n[hot]
+                sub = mix(hf.view(np.uint64) + ODD[3]) % spread[hot].astype(np.uint64)
+                at = np.lexsort((sub, hk))
+                hk, hf, hn, sub = hk[at], hf[at], hn[at], sub[at]
+                cuts = [0, *(np.flatnonzero((hk[1:] != hk[:-1]) | (sub[1:] != sub[:-1])) + 1).tolist(), len(hk)]
+                own = (mix(hk + ODD[4] * (sub + np.uint64(1))) | np.uint64(1 << 63)).view(np.int64)
+                rows += [(int(own[lo]), int(hk[lo].view(np.int64)), int(sub[lo]), hk[lo:hi].tobytes(), hf[lo:hi].tobytes(), hn[lo:hi].tobytes()) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+                k, fp, n = k[~hot], fp[~hot], n[~hot]
             at = np.argsort(k)
             k, fp, n = k[at], fp[at], n[at]
             cuts = np.searchsorted(k, np.arange(1 << part_bits, dtype=np.uint64) << np.uint64(64 - part_bits))
-            rows = [(p, k[lo:hi].tobytes(), fp[lo:hi].tobytes(), n[lo:hi].tobytes()) for p, (lo, hi) in enumerate(zip(cuts, [*cuts[1:], len(k)], strict=True)) if hi > lo]
+            rows += [(p, None, None, k[lo:hi].tobytes(), fp[lo:hi].tobytes(), n[lo:hi].tobytes()) for p, (lo, hi) in enumerate(zip(cuts, [*cuts[1:], len(k)], strict=True)) if hi > lo]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ENTRIES, strict=True)], schema=ENTRIES)
 
         for _, text in _texts(batches):
@@ -302,11 +331,11 @@ def index(docs: DataFrame, order, part_bits: int) -> DataFrame:
             if len(s) < 2 or (fp := fingerprint(s)) in seen:
                 continue
             seen.add(fp)
-            k = keys(s, order.value)
+            k, spread = keys(s, order.value, hot_from)
             if len(k):
-                held.append((k, fp, len(s)))
+                held.append((k, spread, fp, len(s)))
                 size += len(k)
-            if size >= 500_000:
+            if size >= max(500_000, 32 << part_bits):
                 yield flush()
                 size = 0
         if held:
@@ -342,12 +371,13 @@ def similar_sizes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return DEN * np.minimum(a, b) >= NUM * np.maximum(a, b)
 
 
-CANDIDATES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("keys", pa.binary()), ("fps", pa.binary()), ("ns", pa.binary()), ("part", pa.int32())])
-CANDIDATES_SQL = "a long, b long, keys binary, fps binary, ns binary, part int"
+CANDIDATES = pa.schema([("a", pa.int64()), ("b", pa.int64()), *ENTRIES])
+CANDIDATES_SQL = f"a long, b long, {ENTRIES_SQL}"
+LIST = ("grp", "key", "sub", "keys", "fps", "ns")
 
 
-def _lists(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A part's entries, without repeats, in order of key and fp, and the lists' starts; lists of one are left out."""
+def _lists(t: pa.Table, least: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A group's entries, without repeats, in order of key and fp, and the lists' starts; lists of fewer than `least` are left out."""
     k = np.concatenate([np.frombuffer(x, "<u8") for x in t.column("keys").to_pylist()])
     fp = np.concatenate([np.frombuffer(x, "<i8") for x in t.column("fps").to_pylist()])
     n = np.concatenate([np.frombuffer(x, "<i4") for x in t.column("ns").to_pylist()])
@@ -359,8 +389,9 @@ def _lists(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     first = np.ones(len(k), bool)
     first[1:] = k[1:] != k[:-1]
     size = np.diff(np.append(np.flatnonzero(first), len(k)))
-    keep = np.repeat(size > 1, size)
-    return k[keep], fp[keep], n[keep], np.cumsum(size[size > 1]) - size[size > 1]
+    keep = np.repeat(size >= least, size)
+    size = size[size >= least]
+    return k[keep], fp[keep], n[keep], np.cumsum(size) - size
 
 
 def leaders(k: np.ndarray, fp: np.ndarray, start: np.ndarray, salt: int, among: np.ndarray | None = None) -> np.ndarray:
@@ -384,127 +415,226 @@ def distinct_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack((names[(code >> np.uint64(32)).astype(np.int64)], names[(code & np.uint64(0xFFFFFFFF)).astype(np.int64)]), axis=1) if len(code) else np.zeros((0, 2), np.int64)
 
 
+def _told(pairs: np.ndarray) -> pa.Table:
+    """Pairs as candidates."""
+    k = len(pairs)
+    return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *(pa.nulls(k, f.type) for f in ENTRIES)], schema=CANDIDATES)
+
+
 def stars(entries: DataFrame) -> DataFrame:
-    """Per part: pairs (a, b) of each list's leader with the others; and the lists of three or more, packed."""
+    """Per group: pairs (a, b) of each list's leader with the others; and the lists of three or more, or of spread keys, packed."""
 
     def run(t: pa.Table) -> pa.Table:
-        part = t.column("part")[0].as_py()
-        k, fp, n, start = _lists(t)
+        grp, key, sub = (t.column(c)[0].as_py() for c in ("grp", "key", "sub"))
+        k, fp, n, start = _lists(t, 1 if key is not None else 2)
         if not len(k):
             return CANDIDATES.empty_table()
         size = np.diff(np.append(start, len(k)))
         lead = np.repeat(leaders(k, fp, start, 0), size)
         good = (fp[lead] != fp) & similar_sizes(n[lead], n)
-        pairs = distinct_pairs(fp[lead][good], fp[good])
-        big = np.repeat(size > 2, size)
-        none = pa.nulls(len(pairs), pa.binary())
-        out = [pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none, none, none, pa.nulls(len(pairs), pa.int32())], schema=CANDIDATES)]
+        out = [_told(distinct_pairs(fp[lead][good], fp[good]))]
+        big = np.repeat(size > 2, size) | (key is not None)
         if big.any():
-            out.append(pa.Table.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), *(pa.array([x[big].tobytes()], pa.binary()) for x in (k, fp, n)), pa.array([part], pa.int32())], schema=CANDIDATES))
+            values = (grp, key, sub, k[big].tobytes(), fp[big].tobytes(), n[big].tobytes())
+            out.append(pa.Table.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), *(pa.array([v], f.type) for v, f in zip(values, ENTRIES, strict=True))], schema=CANDIDATES))
         return pa.concat_tables(out)
 
-    return entries.groupBy("part").applyInArrow(run, CANDIDATES_SQL)
+    return entries.groupBy("grp").applyInArrow(run, CANDIDATES_SQL)
 
 
-def across(lists: DataFrame, labels: DataFrame, salt: int | None, sets: DataFrame) -> DataFrame:
-    """Pairs of members of one list that lie in different components so far: with a salt those of the
-    list's leader out of its largest component, without one all that may be similar by their signatures.
+def members(lists: DataFrame) -> DataFrame:
+    """Columns grp, node: the members of each row of lists, each once a row."""
 
-    Bits that differ between two bit maps are at most the shingles that differ between the sets, so
-    that the signatures bound the overlap from above and no similar pair is left out.
-
-    labels: node, label of the sets that have links. Each part gets the labels, and at last the
-    signatures, of its own members.
-    """
-
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, fps in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for grp, fps in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 fp = np.unique(np.frombuffer(fps, "<i8"))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), part), pa.int32()), pa.array(fp)], names=["part", "node"])
-
-    need = lists.select("part", "fps").mapInArrow(tidied(members), "part int, node long")
-    if salt is not None:
-        need = need.join(labels, "node").select("part", "node", "label", F.lit(None).cast("binary").alias("signature"))
-    else:
-        own = need.join(sets.select(F.col("fp").alias("node"), "signature"), "node")
-        need = own.join(labels, "node", "left").select("part", "node", F.coalesce("label", "node").alias("label"), "signature")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), grp), pa.int64()), pa.array(fp)], names=["grp", "node"])
+
+    return lists.select("grp", "fps").mapInArrow(tidied(run), "grp long, node long")
+
+
+def labelled(fp: np.ndarray, right: pa.Table) -> np.ndarray:
+    """The components of the members, from rows (node, label); a member without a row is one of its own."""
+    node, label = right.column("node").to_numpy(), right.column("label").to_numpy()
+    if not len(node):
+        return fp.copy()
+    order = np.argsort(node)
+    node, label = node[order], label[order]
+    at = np.minimum(np.searchsorted(node, fp), len(node) - 1)
+    return np.where(node[at] == fp, label[at], fp)
+
+
+def main_component(comp: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which members are of the largest component of their list."""
+    size = np.diff(np.append(start, len(comp)))
+    number = np.repeat(np.arange(len(start)), size)
+    order = np.lexsort((comp, number))
+    turn = np.ones(len(order), bool)
+    turn[1:] = (number[order][1:] != number[order][:-1]) | (comp[order][1:] != comp[order][:-1])
+    run_size = np.diff(np.append(np.flatnonzero(turn), len(order)))
+    weight = np.empty(len(order), np.int64)
+    weight[order] = np.repeat(run_size, run_size)
+    first = np.lexsort((comp, -weight, number))[start]
+    return comp == np.repeat(comp[first], size)
+
+
+def across(lists: DataFrame, labels: DataFrame, salt: int) -> DataFrame:
+    """Candidates as stars() gives them: pairs of a further leader, out of the largest component of its list, with members of others;
+    and the lists that hold several components.
+
+    labels: node, label of the sets that have links. Each group gets the labels of its own members.
+    """
+    need = members(lists).join(labels, "node").select("grp", "node", "label")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return schema.empty_table()
-        k, fp, n, start = _lists(left)
-        comp = fp.copy()
-        node, label = right.column("node").to_numpy(), right.column("label").to_numpy()
-        maps = dict(zip(node.tolist(), right.column("signature").to_pylist(), strict=True)) if salt is None else {}
-        if len(node):
-            order = np.argsort(node)
-            node, label = node[order], label[order]
-            at = np.minimum(np.searchsorted(node, fp), len(node) - 1)
-            comp = np.where(node[at] == fp, label[at], fp)
+            return CANDIDATES.empty_table()
+        grp, key, sub = (left.column(c)[0].as_py() for c in ("grp", "key", "sub"))
+        k, fp, n, start = _lists(left, 1 if key is not None else 2)
+        comp = labelled(fp, right)
         size = np.diff(np.append(start, len(k)))
         mixed = np.maximum.reduceat(comp, start) != np.minimum.reduceat(comp, start)
         keep = np.repeat(mixed, size)
-        if not keep.any():
-            return schema.empty_table()
-        k, fp, n, comp, size = k[keep], fp[keep], n[keep], comp[keep], size[mixed]
-        start = np.cumsum(size) - size
-        # the largest component of each list
-        number = np.repeat(np.arange(len(start)), size)
-        order = np.lexsort((comp, number))
-        turn = np.ones(len(order), bool)
-        turn[1:] = (number[order][1:] != number[order][:-1]) | (comp[order][1:] != comp[order][:-1])
-        run_size = np.diff(np.append(np.flatnonzero(turn), len(order)))
-        weight = np.empty(len(order), np.int64)
-        weight[order] = np.repeat(run_size, run_size)
-        first = np.lexsort((comp, -weight, number))[start]
-        main = comp == np.repeat(comp[first], size)
-        if salt is not None:
+        out = []
+        if keep.any() or key is not None:  # whether a spread key's list is mixed shows over all its groups
+            stay = keep | (key is not None)
+            values = (grp, key, sub, k[stay].tobytes(), fp[stay].tobytes(), n[stay].tobytes())
+            out.append(pa.Table.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), *(pa.array([v], f.type) for v, f in zip(values, ENTRIES, strict=True))], schema=CANDIDATES))
+        if keep.any():
+            k, fp, n, comp, size = k[keep], fp[keep], n[keep], comp[keep], size[mixed]
+            start = np.cumsum(size) - size
+            main = main_component(comp, start)
             lead = np.repeat(leaders(k, fp, start, salt, main), size)
             good = ~main & similar_sizes(n[lead], n)
-            pairs = distinct_pairs(fp[lead][good], fp[good])
-        else:
-            found: list[np.ndarray] = []
-            held = 0
-            for lo, m in zip(start, size, strict=True):
-                here = np.arange(lo, lo + m)
-                here = here[[x in maps for x in fp[here].tolist()]]  # sets of rows without a doc_id are not there
-                if len(here) < 2:
-                    continue
-                c, f, w, big = (x[here] for x in (comp, fp, n, main))
-                m, words = len(here), folded([maps[x] for x in f.tolist()])
-                rest = np.flatnonzero(~big)
-                for cut in range(0, len(rest), 256):
-                    i = rest[cut : cut + 256, None]
-                    # pairs with the largest component, and among the others each once
-                    ok = (c[i] != c[None, :]) & similar_sizes(w[i], w[None, :]) & (big[None, :] | (np.arange(m)[None, :] > i))
-                    x, y = np.nonzero(ok)
-                    one = i[x, 0]
-                    differ = np.concatenate([np.bitwise_count(words[one[q : q + 20_000]] ^ words[y[q : q + 20_000]]).sum(axis=1, dtype=np.int64) for q in range(0, len(x), 20_000)] or [np.zeros(0, np.int64)])
-                    total = w[one].astype(np.int64) + w[y]
-                    near = (NUM + DEN) * ((total - differ) // 2) >= NUM * total
-                    x, y = x[near], y[near]
-                    if len(x):
-                        found.append(np.stack((f[rest[cut : cut + 256][x]], f[y]), axis=1))
-                        held += len(x)
-                if held > 2_000_000:
-                    got = np.concatenate(found)
-                    found, held = [distinct_pairs(got[:, 0], got[:, 1])], 0
-            if not found:
-                return schema.empty_table()
-            got = np.concatenate(found)
-            pairs = distinct_pairs(got[:, 0], got[:, 1])
-        return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
-
-    return lists.groupBy("part").cogroup(need.groupBy("part")).applyInArrow(run, "a long, b long")
+            out.append(_told(distinct_pairs(fp[lead][good], fp[good])))
+        return pa.concat_tables(out) if out else CANDIDATES.empty_table()
+
+    return lists.groupBy("grp").cogroup(need.groupBy("grp")).applyInArrow(run, CANDIDATES_SQL)
+
+
+def units(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """The lists that hold several components, in units that are compared apart (columns unit, side, keys, fps, ns).
+
+    Lists of usual length stay grouped. The groups of a spread key meet in pairs: side 1 and 2 of a
+    unit are two of them, side 0 is one by itself.
+    """
+    usual = lists.filter("key is null").select(F.col("grp").alias("unit"), F.lit(0).alias("side"), "keys", "fps", "ns")
+    spread = lists.filter("key is not null")
+    if not spread.limit(1).count():
+        return usual
+    found = members(spread).join(labels, "node", "left").groupBy("grp").agg(F.min(F.coalesce("label", "node")).alias("low"), F.max(F.coalesce("label", "node")).alias("high"))
+    parts = save(spread.select("grp", "key", "sub").join(found, "grp"), "spread")
+    # a struct per group of a key: as many as its count class asks for, not as it has members
+    of_key = parts.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("sub", "low", "high"))).alias("subs")).filter("array_min(transform(subs, x -> x.low)) < array_max(transform(subs, x -> x.high))")
+    rows = spread.join(parts.select("grp", "low", "high"), "grp").join(of_key, "key").withColumn("other", F.explode("subs"))
+    rows = rows.filter("other.sub = sub and low < high or other.sub <> sub and least(low, other.low) < greatest(high, other.high)")
+    first, second = F.least("sub", "other.sub"), F.greatest("sub", "other.sub")
+    side = F.when(first == second, 0).when(F.col("sub") == first, 1).otherwise(2)
+    # units of usual lists are small numbers, those of spread keys have the sign bit
+    name = F.xxhash64("key", first, second).bitwiseOR(F.lit(-(1 << 63)))
+    return usual.unionByName(rows.select(name.alias("unit"), side.alias("side"), "keys", "fps", "ns"))
+
+
+def remaining(parts: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of one list that lie in different components and may be similar by their
+    signatures. A pair is made once, by the least key that its members share.
+
+    Bits that differ between two bit maps are at most the shingles that differ between the sets, so
+    that the signatures bound the overlap from above and no similar pair is left out.
+    """
+    spec = pa.schema([("unit", pa.int64()), ("node", pa.int64()), ("own", pa.binary())])
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for unit, ks, fps in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                k, fp = np.frombuffer(ks, "<u8"), np.frombuffer(fps, "<i8")
+                at = np.lexsort((k, fp))
+                k, fp = k[at], fp[at]
+                cuts = [0, *(np.flatnonzero(fp[1:] != fp[:-1]) + 1).tolist(), len(fp)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cuts) - 1, unit), pa.int64()), pa.array(fp[cuts[:-1]]), pa.array([k[lo:hi].tobytes() for lo, hi in zip(cuts, cuts[1:], strict=False)], pa.binary())], schema=spec)
+
+    need = save(parts.select("unit", "keys", "fps").mapInArrow(tidied(told), "unit long, node long, own binary"), "need")
+    own = need.groupBy("node").agg(F.array_distinct(F.collect_list("own")).alias("own"))
+    known = own.join(sets.select(F.col("fp").alias("node"), "signature"), "node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "signature", "own")
+    need = need.select("unit", "node").distinct().join(known, "node")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        sides = sorted(set(left.column("side").to_pylist()))
+        tables = [_lists(left.filter(pc.equal(left.column("side"), s)), 1) for s in sides]
+        node = right.column("node").to_pylist()
+        maps = dict(zip(node, right.column("signature").to_pylist(), strict=True))
+        own = {x: np.unique(np.concatenate([np.frombuffer(y, "<u8") for y in ys])) for x, ys in zip(node, right.column("own").to_pylist(), strict=True)}
+        found: list[np.ndarray] = []
+        if len(tables) == 1:
+            k, fp, n, start = tables[0]
+            comp = labelled(fp, right)
+            size = np.diff(np.append(start, len(k)))
+            main = main_component(comp, start)
+            mixed = np.maximum.reduceat(comp, start) != np.minimum.reduceat(comp, start)
+            for lo, m in zip(start[mixed], size[mixed], strict=True):
+                at = slice(lo, lo + m)
+                found += compared(int(k[lo]), fp[at], n[at], comp[at], main[at], None, maps, own)
+        elif sides == [1, 2]:  # two groups of one key
+            (k, fp, n, _), (_, fp2, n2, _) = tables
+            comp, comp2 = labelled(fp, right), labelled(fp2, right)
+            found += compared(int(k[0]), fp, n, comp, np.zeros(len(fp), bool), (fp2, n2, comp2), maps, own)
+        if not found:
+            return schema.empty_table()
+        got = np.concatenate(found)
+        return pa.Table.from_arrays([pa.array(np.minimum(got[:, 0], got[:, 1])), pa.array(np.maximum(got[:, 0], got[:, 1]))], schema=schema)
+
+    return parts.groupBy("unit").cogroup(need.groupBy("unit")).applyInArrow(run, "a long, b long")
+
+
+def compared(key: int, fp: np.ndarray, n: np.ndarray, comp: np.ndarray, main: np.ndarray, others: tuple | None, maps: dict, own: dict) -> list[np.ndarray]:
+    """The pairs of a list, or of a list with others, that differ in component, may be similar and share no key less than this one."""
+    words = folded([maps[x] for x in fp.tolist()])
+    fp2, n2, comp2 = others or (fp, n, comp)
+    words2 = folded([maps[x] for x in fp2.tolist()]) if others else words
+    if words.shape[1] != words2.shape[1]:  # fold the wider side once more
+        width = min(words.shape[1], words2.shape[1])
+        words, words2 = (np.bitwise_or.reduce(w.reshape(len(w), -1, width), axis=1) for w in (words, words2))
+    at2 = np.arange(len(fp2))
+    rest = np.flatnonzero(~main)
+    out = []
+    for cut in range(0, len(rest), 256):
+        i = rest[cut : cut + 256, None]
+        ok = (comp[i] != comp2[None, :]) & similar_sizes(n[i], n2[None, :])
+        if not others:  # pairs with the largest component, and among the others each once
+            ok &= main[None, :] | (at2[None, :] > i)
+        x, y = np.nonzero(ok)
+        one = i[x, 0]
+        differ = np.concatenate([np.bitwise_count(words[one[q : q + 20_000]] ^ words2[y[q : q + 20_000]]).sum(axis=1, dtype=np.int64) for q in range(0, len(x), 20_000)] or [np.zeros(0, np.int64)])
+        total = n[one].astype(np.int64) + n2[y]
+        near = (NUM + DEN) * ((total - differ) // 2) >= NUM * total
+        pairs = [(a, b) for a, b in zip(fp[one[near]].tolist(), fp2[y[near]].tolist(), strict=True) if least_shared(own[a], own[b]) == key]
+        if pairs:
+            out.append(np.array(pairs, np.int64))
+    return out
+
+
+def least_shared(a: np.ndarray, b: np.ndarray) -> int:
+    """The least number in both of two sorted arrays that share one."""
+    if len(a) > len(b):
+        a, b = b, a
+    for lo in range(0, len(a), 64):
+        piece = a[lo : lo + 64]
+        at = np.minimum(np.searchsorted(b, piece), len(b) - 1)
+        same = np.flatnonzero(b[at] == piece)
+        if len(same):
+            return int(piece[same[0]])
+    return -1
 
 
 def whole_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """fp, set and signature of the classes whose first document (column rep) is needed.
+    """fp, set and signature of the classes whose first document (column rep, null if none has a doc_id) is needed.
 
     The documents are found by a bit map of fixed size, so that no text is shuffled; what it lets
-    through beyond them is left out by the join that follows.
+    through beyond them is left out by the join that follows. All rows without a doc_id are looked at.
     """
     at = F.pmod(F.xxhash64("rep"), F.lit(1 << MAP_BITS))
     # Spark's bit maps count from 1
@@ -519,16 +649,20 @@ def whole_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.column(2).to_numpy()
-            want = (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            want = ((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1) | b.column(0).is_null().to_numpy(zero_copy_only=False)
             b = b.filter(pa.array(want))
             for lo in range(0, b.num_rows, 256):
                 piece = b.slice(lo, 256)
                 sets = [shingles(x) for x in piece.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([pack(s >> np.uint64(64 - SET_BITS)) for s in sets], pa.binary()), pa.array([signature(s) for s in sets], pa.binary())], schema=schema)
 
-    found = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")).filter("rep is not null").withColumn("at", at)
+    found = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")).withColumn("at", at)
     found = found.mapInArrow(tidied(run), "rep long, fp long, set binary, signature binary")
-    return join_small(found, needed, ["rep", "fp"], "inner").select("fp", "set", "signature")
+    named = join_small(found, needed.filter("rep is not null"), ["rep", "fp"], "inner").select("fp", "set", "signature")
+    nameless = needed.filter("rep is null").select("fp")
+    if not nameless.limit(1).count():
+        return named.dropDuplicates(["fp"])
+    return named.unionByName(join_small(found.filter("rep is null"), nameless, ["fp"], "inner").select("fp", "set", "signature")).dropDuplicates(["fp"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -552,61 +686,83 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return members.join(firsts, "a").select("a", "b", "x", "y").mapInArrow(tidied(run), "a long, b long")
 
 
-def jaccard_join(docs: DataFrame) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id."""
+#: Further leaders that lists get before what is left is compared pair by pair.
+SALTS = (1, 2, 3)
+
+
+def joined(docs: DataFrame, hot_from: int = HOT_FROM) -> DataFrame:
+    """Per row of docs: doc_id, n, fp (of its set), component_id."""
     spark = docs.sparkSession
-    part_bits = _parts(spark)
+    part_bits = _parts(docs)
     seen = save(survey(docs, part_bits), "survey")
     known = save(seen.filter("n is not null").select("doc_id", "n", "fp"), "known")
     classes = save(known.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     counted = save(count(seen.filter("part is not null").select("part", "hashes", "counts"), part_bits), "counted")
     release(seen)  # the blocks of hashes, its bulk, are counted
     order = spark.sparkContext.broadcast(order_of(counted, part_bits))
-    found = save(stars(index(docs, order, part_bits)), "stars")
+    found = save(stars(index(docs, order, part_bits, hot_from)), "stars")
 
-    pairs = found.filter("a is not null").select("a", "b").dropDuplicates()
-    lists = found.filter("part is not null").select("part", "keys", "fps", "ns")
-    pairs = save(pairs, "pairs")
-
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for fps in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.frombuffer(fps, "<i8")))], names=["fp"])
-
-    involved = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).union(lists.select("fps").mapInArrow(tidied(members), "fp long")).dropDuplicates()
-    needed = save(classes.join(involved, "fp").filter("rep is not null"), "needed")
+    pairs = save(found.filter("a is not null").select("a", "b").dropDuplicates(), "pairs")
+    lists = found.filter("grp is not null").select(*LIST)
+    involved = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).union(members(lists).select("node")).dropDuplicates()
+    needed = save(classes.join(involved, "fp"), "needed")
     sets = save(whole_sets(docs, needed), "sets")
 
     labels = components(save(verified(pairs, sets), "links"))
-    # more leaders for what the first ones left apart, then all pairs that are still across components
-    for salt in (1, 2, 3, None):
-        more = save(across(lists, labels, salt, sets).dropDuplicates().join(pairs, ["a", "b"], "left_anti"), "across")
+
+    def linked(more: DataFrame) -> None:
+        nonlocal labels
         new = save(verified(more, sets), "links")
-        if salt is not None:
-            pairs = pairs.union(more)
         if new.limit(1).count():
             labels = extended(labels, new)
 
+    # more leaders for what the first ones left apart, in ever fewer lists
+    for salt in SALTS:
+        again = save(across(lists, labels, salt), "across")
+        more = save(again.filter("a is not null").select("a", "b").dropDuplicates().join(pairs, ["a", "b"], "left_anti"), "more")
+        lists = again.filter("grp is not null").select(*LIST)
+        pairs = pairs.union(more)
+        linked(more)
+    # then all pairs that are still across components
+    rest = save(units(lists, labels), "units")
+    linked(save(remaining(rest, labels, sets).join(pairs, ["a", "b"], "left_anti"), "more"))
+
     named = classes.join(labels.withColumnRenamed("node", "fp"), "fp")
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     by_class = classes.join(named.join(least, "label").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    return known.join(save(by_class, "by_class"), "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return known.join(save(by_class, "by_class"), "fp", "left").select("doc_id", "n", "fp", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def jaccard_join(docs: DataFrame, hot_from: int = HOT_FROM) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id."""
+    return joined(docs, hot_from).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs without those that link to one of smaller doc_id; of rows that repeat a doc_id one stays.
+    """The rows of docs without those that link to one of smaller doc_id; of rows alike in doc_id and set one stays.
 
-    Rows without a doc_id and rows without words stay.
+    Rows without a doc_id and rows without words stay. Rows of one doc_id with different sets are judged apart.
     """
-    joined = save(jaccard_join(docs), "joined").filter("doc_id is not null")
-    stays = (F.col("component_id") == F.col("doc_id")) | (F.col("n_shingles") == 0)
-    ids = save(joined.groupBy("doc_id").agg(F.bool_or(stays).alias("stays"), F.count("*").alias("n")).filter("not stays or n > 1"), "ids")
-    kept = join_small(docs, ids.filter("not stays").select("doc_id"), ["doc_id"], "left_anti")
-    again = ids.filter("stays").select("doc_id")
+    known = save(joined(docs), "joined").filter("doc_id is not null")
+    goes = (F.col("component_id") != F.col("doc_id")) & (F.col("n") > 0)
+    ids = save(known.groupBy("doc_id").agg(F.bool_and(goes).alias("goes"), F.count("*").alias("n")).filter("goes or n > 1"), "ids")
+    kept = join_small(docs, ids.filter("goes").select("doc_id"), ["doc_id"], "left_anti")
+    again = ids.filter("not goes").select("doc_id")
     if not again.limit(1).count():
         return kept
-    once = join_small(kept, again, ["doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    return join_small(kept, again, ["doc_id"], "left_anti").unionByName(once)
+
+    at, out = docs.columns.index("text"), StructType([*docs.schema.fields, StructField("_set", LongType()), StructField("_n", LongType())])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingles(x) for x in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([fingerprint(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64())], names=[*b.schema.names, "_set", "_n"])
+
+    rows = join_small(kept, again, ["doc_id"], "left_semi").mapInArrow(tidied(sets), out)
+    leave = known.join(again, "doc_id").filter(goes).select("doc_id", F.col("fp").alias("_set")).distinct()
+    rows = rows.join(leave, ["doc_id", "_set"], "left_anti").select(*out.names)
+    rows = rows.filter("_n > 0").dropDuplicates(["doc_id", "_set"]).unionByName(rows.filter("_n = 0"))
+    return join_small(kept, again, ["doc_id"], "left_anti").unionByName(rows.select(*docs.columns))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -151,13 +151,51 @@ def test_join_is_exact(spark, documents):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
 
 
+@pytest.mark.parametrize("hot_from", [1, 5])
+def test_spread_lists_are_exact(spark, documents, hot_from):
+    """Texts of one passage and few other words, whose combinations' lists are spread over several groups; near copies of near copies."""
+    rng = random.Random(hot_from)
+    passage = [f"p{i}" for i in range(90)]
+    rows = []
+    for i in range(200):
+        words = list(passage)
+        for _ in range(rng.randint(0, 5)):
+            words[rng.randrange(90)] = f"z{rng.randint(0, 5)}"
+        rows.append((i, " ".join(words[: rng.randint(60, 90)])))
+    got = jaccard_join.jaccard_join(documents(rows), hot_from).collect()
+    want = brute_components(rows)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == want and 1 < len({c for _, _, c in want}) < 150
+    order = jaccard_join.Order(np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.full(1 << 24, 255, np.uint8), 6)
+    order.classes = lambda s: np.full(len(s), 7)
+    assert (jaccard_join.keys(jaccard_join.shingles(rows[0][1]), order, hot_from)[1] == 1 << (7 - hot_from)).all()
+
+
+def test_rows_without_id_carry_links(spark, documents):
+    words = [f"w{i}" for i in range(104)]
+    middle, right = words[10:], words[20:]  # neighbours link, the ends do not
+    rows = [(1, " ".join(words)), (None, " ".join(middle)), (None, " ".join(middle)), (3, " ".join(right + ["v1", "v2", "v3", "v4", "v5", "v6"]))]
+    got = jaccard_join.jaccard_join(documents(rows)).collect()
+    assert brute_components([(r[0] or 2, r[1]) for r in rows])[-1][2] == 1
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (None, 1), (3, 1)}
+    assert brute_components([rows[0], rows[3]])[-1][2] == 3
+    alone = jaccard_join.jaccard_join(documents(rows[1:2])).collect()
+    assert [(r.doc_id, r.component_id) for r in alone] == [(None, None)]
+
+
+def test_unlike_rows_of_one_id_stay(spark, documents):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (5, " ".join(words)), (5, " ".join(f"v{i}" for i in range(40))), (5, " ".join(f"v{i}" for i in range(40))), (6, ""), (6, None), (7, "a b c"), (7, "a b d")]
+    got = jaccard_join.first_of_each(documents(rows)).collect()
+    assert sorted((r.doc_id, (r.text or "")[:2]) for r in got) == [(1, "w0"), (5, "v0"), (6, ""), (6, ""), (7, "a "), (7, "a ")]
+
+
 def test_combinations_are_exact(spark, documents, monkeypatch):
     """With every repeated shingle taken as frequent, only combinations find links."""
     monkeypatch.setattr(jaccard_join, "COMBINE_FROM", 1)
     rows = near_copies(random.Random(77), 12, 40)
     order = jaccard_join.Order(np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.full(1 << 24, 255, np.uint8), 6)
     order.classes = lambda s: np.full(len(s), 7)
-    keys = {i: set(jaccard_join.keys(jaccard_join.shingles(t), order).tolist()) for i, t in rows}
+    keys = {i: set(jaccard_join.keys(jaccard_join.shingles(t), order)[0].tolist()) for i, t in rows}
     sets = {i: shingle_set(t) for i, t in rows}
     n = 0
     for a in sets:
