@@ -1,18 +1,21 @@
 """Toxicity by nearest labelled examples (operator 3).
 
-A bounded sample of labelled rows (SAMPLE, by hash of doc_id, training folds only) is fitted: terms
-(words and their first 4 and 5 letters) that go with the label by a likelihood-ratio test, at most
-TERMS of them, inverse document frequencies, and the examples' vectors. One constant term, of the mean
-weight, keeps one marked word in a text apart from many. Every whole text is scored by its nearest
-examples under exact TF-IDF cosine, found in an inverted index whose blocks hold the greatest weight
-of each term, so that blocks that cannot reach the nearest few are left out. Votes are weighted by
-distance; isotonic regression over the examples' leave-one-out votes turns them into probabilities.
-
-Defined results: null and empty texts are scored like texts without any term of the model. Without
-labels of both kinds the score is the share of toxic labels, or 0. Examples at equal distance vote
-together. Repeated rows are scored alike; of repeated labels of one doc_id the greatest counts. A null
-doc_id is carried and not held out. An empty table gives an empty result. Columns other than doc_id
-and text are ignored.
+A bounded sample of labelled rows (SAMPLE, by hash of doc_id, training folds only) is fitted. Every word
+of a sampled text is a term. A term's weight is its frequency's logarithm times its inverse document
+frequency, raised for terms that go with the label beyond chance; no term is left out, and words that
+the sample does not hold count in a text's norm, so that the cosine is that of whole texts. Every whole
+text is scored by its nearest examples, found exactly in an inverted index whose blocks hold the
+greatest weight of each term: blocks that cannot reach the nearest few are left out. The lists of the
+most frequent terms are dense rows, multiplied for many texts at once, and sharpen the blocks' bounds. Votes are weighted
+by distance; isotonic regression over the examples' leave-one-out votes turns them into probabilities.
+The nearest examples' ids are given as evidence.
+
+Defined results: null and empty texts, and texts without any word of the sample, are equally far from
+all examples, which all vote. Without labels of both kinds the score is the share of toxic labels, or
+0. Examples at equal distance vote together. Repeated rows are scored alike; of repeated labels of one
+doc_id the greatest counts, of repeated rows of a labelled doc_id with different texts the one of the
+smallest hash. A null doc_id is carried and not held out. An empty table gives an empty result. Columns
+other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -21,20 +24,27 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_rows, save, table, tidied
 
-SAMPLE = 12_000
-TERMS = 4096
-LEAST_G = 40.0
+SAMPLE = 6000
 NEAREST = 15
 BLOCK = 64
+#: Blocks that are scored before the others are held against them.
+FIRST = 12
+#: Terms in more than 1 / OFTEN of the examples have a dense list.
+OFTEN = 20
+TIE = 1e-9
 FOLDS = 5
+#: Standard deviations, about, that a term's share of toxic examples may differ from the whole's by chance.
+CHANCE = 3.0
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -42,139 +52,164 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
 
 
-def terms_of(word: str) -> tuple[str, ...]:
-    return (word, *(f"{word[:n]}*" for n in (4, 5) if len(word) >= n))
+def words(text: str | None) -> Counter:
+    return Counter(WORD.findall((text or "").lower()))
 
 
-def term_counts(text: str | None) -> Counter:
-    out: Counter = Counter()
-    for w, n in Counter(WORD.findall((text or "").lower())).items():
-        for t in terms_of(w):
-            out[t] += n
-    return out
+def ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers start[i] ... start[i] + n[i] - 1 for each i in turn."""
+    total = np.cumsum(n)
+    out = np.ones(int(total[-1]) if len(n) else 0, np.int64)
+    if len(out):
+        # steps of one inside a range, and to the next one's start at its end; no range is empty
+        out[0] = start[0]
+        out[total[:-1]] = start[1:] - start[:-1] - n[:-1] + 1
+    return np.cumsum(out)
 
 
 class Index:
-    """Distinct example vectors behind an inverted index in blocks of BLOCK vectors."""
+    """Distinct example vectors (terms, weights) behind an inverted index in blocks of BLOCK vectors."""
 
-    def __init__(self, vectors: list[dict[int, float]], toxic: np.ndarray, total: np.ndarray, example: list[int]) -> None:
-        order = sorted(range(len(vectors)), key=lambda i: sorted(vectors[i], key=lambda t: -vectors[i][t]))
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, toxic: np.ndarray, total: np.ndarray, example: list[int]) -> None:
+        # vectors with the same heaviest terms go to the same blocks
+        order = sorted(range(len(vectors)), key=lambda i: (vectors[i][0][np.argsort(-vectors[i][1], kind="stable")[:8]].tolist(), example[i]))
         self.toxic, self.total, self.example = toxic[order], total[order], [example[i] for i in order]
         self.n_blocks = -(-len(order) // BLOCK)
-        lists: dict[int, list[tuple[int, float]]] = {}
-        for place, i in enumerate(order):
-            for t, w in vectors[i].items():
-                lists.setdefault(t, []).append((place, w))
-        self.lists, self.blocks = {}, {}
-        for t, p in lists.items():
-            at, w = np.array([x for x, _ in p]), np.array([x for _, x in p])
-            self.lists[t] = at, w
-            number, start = np.unique(at // BLOCK, return_index=True)
-            end = np.append(start[1:], len(at))
-            self.blocks[t] = number, np.maximum.reduceat(w, start), {int(b): (int(s), int(e)) for b, s, e in zip(number, start, end, strict=True)}
-
-    def nearest(self, vector: dict[int, float], k: int, without: int | None = None) -> list[tuple[float, int]]:
-        """(similarity, place), nearest first, until k examples are counted and with all that tie with the last. without: a place that counts one example less."""
-        bound = np.zeros(self.n_blocks)
-        for t, w in vector.items():
-            if t in self.blocks:
-                number, most, _ = self.blocks[t]
-                bound[number] += w * most
-        found: list[tuple[float, int]] = []
-        kth = -1.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] < kth - 1e-9:
-                break
-            s = np.zeros(BLOCK)
-            for t, w in vector.items():
-                if t in self.blocks and (span := self.blocks[t][2].get(b)):
-                    at, weight = self.lists[t]
-                    s[at[span[0] : span[1]] - b * BLOCK] += w * weight[span[0] : span[1]]
-            here = min(BLOCK, len(self.example) - b * BLOCK)
-            found += [(x, b * BLOCK + i) for i, x in enumerate(s[:here].tolist()) if x >= kth - 1e-9]
-            found.sort(key=lambda x: (-x[0], x[1]))
-            count = 0
-            for i, (x, place) in enumerate(found):
-                count += self.total[place] - (place == without)
-                if count >= k:
-                    kth = x
-                    while i < len(found) and found[i][0] >= kth - 1e-9:
-                        i += 1
-                    del found[i:]
-                    break
-        return found
+        each = [len(vectors[i][0]) for i in order]
+        term = np.concatenate([vectors[i][0] for i in order]) if order else np.zeros(0, np.int64)
+        weight = np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0)
+        place = np.repeat(np.arange(len(order)), each)
+        # lists of a tenth of the examples and more are dense rows; the others lie in blocks
+        often = np.bincount(term, minlength=n_terms) * OFTEN > len(order)
+        self.dense_at = np.where(often, np.cumsum(often) - 1, -1)
+        self.dense = np.zeros((int(often.sum()), len(order)))
+        wide = often[term]
+        self.dense[self.dense_at[term[wide]], place[wide]] = weight[wide]
+        term, place, weight = term[~wide], place[~wide], weight[~wide]
+        at = np.lexsort((place, term))
+        term, self.place, self.weight = term[at], place[at].astype(np.int32), weight[at]
+        block = self.place // BLOCK
+        first = np.ones(len(term), bool)
+        first[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        self.start = np.flatnonzero(first)
+        self.size = np.diff(np.append(self.start, len(term)))
+        self.block = block[self.start]
+        self.most = np.maximum.reduceat(self.weight, self.start) if len(term) else self.weight
+        self.of_term = np.searchsorted(term[self.start], np.arange(n_terms + 1))
+
+    def partial(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the frequent terms give to the similarities of vectors (rows) with all examples."""
+        asked = np.zeros((len(vectors), len(self.dense)))
+        for row, (terms, weights) in zip(asked, vectors, strict=True):
+            at = self.dense_at[terms]
+            row[at[at >= 0]] = weights[at >= 0]
+        return asked @ self.dense
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None, partial: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(similarities, places), nearest first, until k examples are counted and with all that tie with the last.
+
+        without: a place that counts one example less. partial: this vector's row of partial().
+        """
+        if not self.example:
+            return np.zeros(0), np.zeros(0, np.int64)
+        found = (self.partial([(terms, weights)])[0] if partial is None else partial).copy()
+        rare = self.dense_at[terms] < 0
+        terms, weights = terms[rare], weights[rare]
+        n = self.of_term[terms + 1] - self.of_term[terms]
+        if not n.all():
+            terms, weights, n = terms[n > 0], weights[n > 0], n[n > 0]
+        entries = ranges(self.of_term[terms], n)
+        entry_weight, block = np.repeat(weights, n), self.block[entries]
+        bound = np.bincount(block, entry_weight * self.most[entries], minlength=self.n_blocks) + np.maximum.reduceat(found, np.arange(0, len(found), BLOCK))
+        left = np.argsort(-bound, kind="stable")
+        count = self.total
+        if without is not None:
+            count = count.copy()
+            count[without] -= 1
+        seen, kth = np.zeros(self.n_blocks, bool), -1.0
+        here = left[:FIRST]
+        while len(here):
+            chosen = np.zeros(self.n_blocks, bool)
+            chosen[here] = True
+            mine = np.flatnonzero(chosen[block])
+            e = entries[mine]
+            size = self.size[e]
+            postings = ranges(self.start[e], size)
+            found += np.bincount(self.place[postings], np.repeat(entry_weight[mine], size) * self.weight[postings], minlength=len(found))
+            seen |= chosen
+            known = np.flatnonzero(np.repeat(seen, BLOCK)[: len(found)])
+            top = known if len(known) <= k + 1 else known[np.argpartition(-found[known], k)[: k + 1]]
+            top = top[np.argsort(-found[top], kind="stable")]
+            enough = np.flatnonzero(np.cumsum(count[top]) >= k)
+            kth = found[top[enough[0]]] if len(enough) else -1.0
+            here = np.flatnonzero(~seen & (bound >= kth - TIE))
+        known = np.flatnonzero(np.repeat(seen, BLOCK)[: len(found)] & (found >= kth - TIE))
+        near = np.round(found[known], 9)  # sums may differ in their last digits with the company they are made in
+        order = np.lexsort((known, -near))
+        return near[order], known[order]
 
 
 class Model:
-    def __init__(self, vocabulary: dict[str, int], idf: np.ndarray, prior: float) -> None:
-        self.vocabulary, self.idf, self.prior = vocabulary, idf, prior
-        self.constant = float(idf.mean()) if len(idf) else 1.0
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.memo: dict[tuple, tuple[float, list[int], float]] = {}
+    """vocabulary: the sample's words. weight: of each, then of a word that the sample does not hold."""
+
+    def __init__(self, vocabulary: dict[str, int], weight: np.ndarray, prior: float) -> None:
+        self.vocabulary, self.weight, self.prior = vocabulary, weight, prior
+        self.memo: dict[int, tuple[float, list[int], float]] = {}
         self.index: Index | None = None
         self.steps: tuple[np.ndarray, np.ndarray] | None = None
 
-    def counts(self, text: str | None) -> tuple[tuple[int, int], ...]:
-        """The text's terms of the model with their counts."""
-        got: Counter = Counter()
-        for w, n in Counter(WORD.findall((text or "").lower())).items():
-            ids = self.words.get(w)
-            if ids is None:
-                if len(self.words) > 300_000:
-                    self.words.clear()
-                ids = self.words[w] = tuple(self.vocabulary[t] for t in terms_of(w) if t in self.vocabulary)
-            for i in ids:
-                got[i] += n
-        return tuple(sorted(got.items()))
-
-    def vector(self, counts: tuple[tuple[int, int], ...]) -> dict[int, float]:
-        v = {i: (1 + math.log(n)) * float(self.idf[i]) for i, n in counts}
-        v[-1] = self.constant
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        return {i: x / norm for i, x in v.items()}
-
-    def learn(self, examples: list[tuple[int, tuple[tuple[int, int], ...], int]]) -> None:
-        """Indexes (doc_id, counts, toxic) and fits the steps of the isotonic regression."""
-        groups: dict[tuple, list[int]] = {}
-        for doc_id, counts, toxic in examples:
-            g = groups.setdefault(counts, [0, 0, doc_id])
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Terms in order with their counts; all words beyond the vocabulary have the number after its last, each an entry."""
+        got = words(text)
+        unknown = len(self.vocabulary)
+        terms = np.fromiter(map(self.vocabulary.get, got, repeat(unknown)), np.int32, len(got))
+        at = np.argsort(terms, kind="stable")
+        return terms[at], np.fromiter(got.values(), np.int32, len(got))[at]
+
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(counts)) * self.weight[terms]
+        known = int(np.searchsorted(terms, len(self.vocabulary)))
+        norm = math.sqrt(float((w * w).sum()))
+        return terms[:known].astype(np.int64), (w / norm if norm else w)[:known]
+
+    def learn(self, examples: list[tuple[int, bytes, bytes, int]]) -> None:
+        """Indexes (doc_id, terms, counts, toxic); equal vectors are one place."""
+        groups: dict[tuple[bytes, bytes], list[int]] = {}
+        for doc_id, terms, counts, toxic in examples:
+            g = groups.setdefault((terms, counts), [0, 0, doc_id])
             g[0] += toxic
             g[1] += 1
             g[2] = min(g[2], doc_id)
-        keys = sorted(groups)
-        self.index = Index([self.vector(k) for k in keys], np.array([groups[k][0] for k in keys]), np.array([groups[k][1] for k in keys]), [groups[k][2] for k in keys])
-        votes: list[tuple[float, float, float]] = []
-        place = {e: i for i, e in enumerate(self.index.example)}
-        for k in keys:
-            toxic, total, example = groups[k]
-            near = self.index.nearest(self.vector(k), NEAREST, place[example])
-            for label, n in ((1, toxic), (0, total - toxic)):
-                if n:
-                    votes.append((self.vote(near, place[example], label), label, n))
-        self.steps = isotonic(votes)
-
-    def vote(self, near: list[tuple[float, int]], without: int | None = None, label: int = 0) -> float:
-        """Share of toxic examples by weight, with one example's worth of the prior at distance 1."""
-        top, all_ = self.prior, 1.0
-        for s, place in near:
-            w = 1 / (0.02 + max(0.0, 1 - s)) ** 2
-            own = place == without
-            top += w * (self.index.toxic[place] - own * label)
-            all_ += w * (self.index.total[place] - own)
-        return float(top / all_)
-
-    def score(self, text: str | None) -> tuple[float, list[int], float]:
-        """Probability, nearest examples (up to 3) and the similarity of the first."""
+        vectors = [self.vector(np.frombuffer(t, "<i4"), np.frombuffer(c, "<i4")) for t, c in groups]
+        found = list(groups.values())
+        self.index = Index(vectors, len(self.vocabulary), np.array([g[0] for g in found]), np.array([g[1] for g in found]), [g[2] for g in found])
+        self.place = {(t, c): g[2] for (t, c), g in groups.items()}
+
+    def vote(self, similarity: np.ndarray, place: np.ndarray, without: int | None = None, label: int = 0) -> float:
+        """Share of toxic examples by weight, with one example's worth of the prior at distance 1. without: a place with one example of this label less."""
+        w = 1 / (0.02 + np.maximum(0, 1 - similarity)) ** 2
+        own = place == (-1 if without is None else without)
+        top = self.prior + float((w * (self.index.toxic[place] - own * label)).sum())
+        return top / (1 + float((w * (self.index.total[place] - own)).sum()))
+
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[int], float]]:
+        """For each text its probability, nearest examples (up to 3) and the similarity of the first."""
         if self.index is None:
-            return self.prior, [], 0.0
-        counts = self.counts(text)
-        if counts not in self.memo:
-            if len(self.memo) > 100_000:
+            return [(self.prior, [], 0.0)] * len(texts)
+        out = []
+        for lo in range(0, len(texts), 64):
+            keys = [xxhash.xxh3_64_intdigest((x or "").encode("utf-8", "replace")) for x in texts[lo : lo + 64]]
+            fresh = {k: x for k, x in zip(keys, texts[lo : lo + 64], strict=True) if k not in self.memo}
+            if len(self.memo) > 50_000:
+                fresh = dict(zip(keys, texts[lo : lo + 64], strict=True))
                 self.memo.clear()
-            near = self.index.nearest(self.vector(counts), NEAREST)
-            at = float(np.interp(self.vote(near), *self.steps))
-            self.memo[counts] = min(1.0, max(0.0, at)), [self.index.example[p] for _, p in near[:3]], float(near[0][0]) if near else 0.0
-        return self.memo[counts]
+            vectors = [self.vector(*self.counts(x)) for x in fresh.values()]
+            for k, v, partial in zip(fresh, vectors, self.index.partial(vectors), strict=True):
+                similarity, place = self.index.nearest(*v, NEAREST, partial=partial)
+                at = float(np.interp(self.vote(similarity, place), *self.steps))
+                self.memo[k] = min(1.0, max(0.0, at)), [self.index.example[p] for p in place[:3]], float(similarity[0]) if len(place) else 0.0
+            out += [self.memo[k] for k in keys]
+        return out
 
 
 def isotonic(votes: list[tuple[float, float, float]]) -> tuple[np.ndarray, np.ndarray]:
@@ -188,21 +223,33 @@ def isotonic(votes: list[tuple[float, float, float]]) -> tuple[np.ndarray, np.nd
     return np.array([v / n for v, _, n in pools]), np.array([(y + 0.02) / (n + 0.04) for _, y, n in pools])
 
 
+def weights(n: np.ndarray, bad: np.ndarray, total: int, prior: float) -> np.ndarray:
+    """Of terms in n of `total` examples, `bad` of them toxic: inverse document frequency, times what the
+    root of the likelihood ratio (about a normal deviate) has beyond chance; at last that of an unseen term."""
+    good = n - bad
+    part = lambda x, share: np.where(x > 0, x * np.log(np.maximum(x, 1) / (n * share)), 0.0)
+    z = np.sqrt(np.maximum(0, 2 * (part(bad, prior) + part(good, 1 - prior))))
+    idf = np.log((total + 1) / (n + 1)) + 1
+    return np.append(idf * (1 + np.maximum(0, z - CHANCE)), math.log(total + 1) + 1)
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """docs: doc_id, text; labels: doc_id, toxic, already without the held-out fold."""
+    spark = docs.sparkSession
     usable = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = save(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]), "examples")
+    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
+    rows = save(found.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "examples")
     total, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     prior = toxic / total if total else 0.0
     if not 0 < prior < 1:
-        return Model({}, np.zeros(0), float(prior))
+        return Model({}, np.zeros(1), float(prior))
 
     def count(batch: Iterable[tuple]) -> Iterator[tuple]:
         n: Counter = Counter()
         bad: Counter = Counter()
-        for _, text, y in batch:
-            some = term_counts(text).keys()
+        for _, y, text in batch:
+            some = words(text).keys()
             n.update(some)
             if y:
                 bad.update(some)
@@ -212,19 +259,33 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 bad.clear()
         yield from ((t, k, bad[t]) for t, k in n.items())
 
-    c = map_rows(rows, count, "term string, n long, bad long", batch=20_000).groupBy("term").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).filter(f"n >= 8 and bad > n * {prior!r}")
-    good = F.col("n") - F.col("bad")
-    g = 2 * (F.col("bad") * F.log(F.col("bad") / (F.col("n") * prior)) + F.when(good > 0, good * F.log(good / (F.col("n") * (1 - prior)))).otherwise(0.0))
-    top = c.withColumn("g", g).filter(F.col("g") >= LEAST_G).orderBy(F.desc("g"), "term").limit(TERMS).collect()
-    model = Model({r["term"]: i for i, r in enumerate(top)}, np.array([math.log((total + 1) / (r["n"] + 1)) + 1 for r in top]), prior)
+    each = map_rows(rows, count, "term string, n long, bad long", batch=20_000).groupBy("term").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).toArrow().sort_by("term")
+    model = Model({t: i for i, t in enumerate(each.column("term").to_pylist())}, weights(each.column("n").to_numpy(), each.column("bad").to_numpy(), total, prior), prior)
+    shared = spark.sparkContext.broadcast(model)
 
     def vectors(batch: Iterable[tuple]) -> Iterator[tuple]:
-        for doc_id, text, y in batch:
-            got = model.counts(text)
-            yield doc_id, [i for i, _ in got], [n for _, n in got], y
-
-    held = map_rows(rows, vectors, "doc_id long, terms array<int>, counts array<int>, toxic int").collect()
-    model.learn([(r["doc_id"], tuple(zip(r["terms"], r["counts"], strict=True)), r["toxic"]) for r in held])
+        for doc_id, y, text in batch:
+            terms, counts = shared.value.counts(text)
+            yield doc_id, terms.tobytes(), counts.tobytes(), y
+
+    held = save(map_rows(rows, vectors, "doc_id long, terms binary, counts binary, toxic int"), "vectors")
+    model.learn([tuple(r) for r in held.orderBy("doc_id").collect()])
+    model.memo.clear()
+    known = spark.sparkContext.broadcast(model)
+
+    def votes(batch: Iterable[tuple]) -> Iterator[tuple]:
+        """Each example's vote without itself."""
+        m = known.value
+        place = {e: i for i, e in enumerate(m.index.example)}
+        for _, terms, counts, y in batch:
+            own = place[m.place[terms, counts]]
+            near = m.index.nearest(*m.vector(np.frombuffer(terms, "<i4"), np.frombuffer(counts, "<i4")), NEAREST, own)
+            yield m.vote(*near, own, y), y
+
+    model.steps = isotonic([(r["vote"], r["toxic"], 1) for r in map_rows(held, votes, "vote double, toxic int").collect()])
+    model.place = {}
+    for b in (shared, known):
+        b.unpersist()
     return model
 
 
@@ -234,10 +295,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(rows: Iterable[tuple]) -> Iterator[tuple]:
-        m = shared.value
-        for doc_id, held_out, text in rows:
-            p, near, similarity = m.score(text)
-            yield doc_id, held_out, p, int(p >= 0.5), near, similarity
+        rows = iter(rows)
+        while some := list(islice(rows, 256)):
+            for (doc_id, held_out, _), (p, near, similarity) in zip(some, shared.value.scores([r[2] for r in some]), strict=True):
+                yield doc_id, held_out, p, int(p >= 0.5), near, similarity
 
     held = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out")
     return map_rows(docs.select(F.col("doc_id").cast("long"), held, F.col("text").cast("string")), run, "doc_id long, held_out boolean, score double, predicted int, nearest array<long>, similarity double")
@@ -253,7 +314,7 @@ def kept(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 piece = b.slice(lo, 256)
-                yield piece.filter(pa.array([shared.value.score(x)[0] < 0.5 for x in piece.column(at).to_pylist()], pa.bool_()))
+                yield piece.filter(pa.array([p < 0.5 for p, _, _ in shared.value.scores(piece.column(at).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(tidied(run), docs.schema)
 

@@ -1,7 +1,10 @@
 """Operators 1, 2, 3 and 7 against brute force."""
 
+import math
 import random
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -56,45 +59,67 @@ def vectors(spark, ids, x):
     return spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in zip(ids, x)], "vec_id long, vec array<float>")
 
 
-def test_small_tables_are_exact(spark):
+def recall(spark, x, **options):
+    x = x.astype(np.float32).astype(float)
+    ids = np.arange(len(x))
+    got = cross_polytope.search(vectors(spark, ids, x), F.col("vec_id") % 20 == 0, **options).collect()
+    want = brute_neighbours(ids, x, 20)
+    mine = {}
+    for r in got:
+        mine.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q, hits in mine.items():
+        hits.sort()
+        assert [r for r, _, _ in hits] == list(range(1, len(want[q]) + 1))
+        for (_, v, s), (_, v2, s2) in zip(hits, hits[1:], strict=False):
+            assert s > s2 or (s == s2 and v < v2)
+        for _, v, s in hits:
+            assert abs(s - x[q] @ x[v]) < 1e-9 * max(1, abs(s))
+    assert set(mine) == set(want)
+    # a tie with the last counts as found
+    return sum(s >= want[q][-1][1] for q in want for _, _, s in mine[q]) / sum(map(len, want.values()))
+
+
+def test_all_probes_are_exact(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 10)).astype(np.float32).astype(float)
     x[50:120] = x[0]  # ties
     ids = np.arange(300)
-    got = cross_polytope.search(vectors(spark, ids, x), F.col("vec_id") % 20 == 0).collect()
-    for q, want in brute_neighbours(ids, x, 20).items():
-        mine = sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == q)
-        assert [(v, s) for _, v, s in mine] == want
+    got = cross_polytope.search(vectors(spark, ids, x), F.col("vec_id") % 20 == 0, tables=16, probes=32).collect()
+    found = sum((r.vec_id, r.score) in brute_neighbours(ids, x, 20)[r.query_id] for r in got)
+    assert len(got) == 300 and found >= 0.99 * len(got)
 
 
-@pytest.mark.parametrize("even", [True, False])
-def test_recall(spark, even):
+@pytest.mark.parametrize("kind", ["random", "uneven", "clustered", "skewed", "few"])
+def test_recall(spark, kind):
     rng = np.random.default_rng(2)
-    x = rng.normal(size=(6000, 32))
+    x = rng.normal(size=(500 if kind == "few" else 6000, 64 if kind == "few" else 32))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    if not even:
+    if kind == "uneven":
         x *= rng.uniform(0.6, 1.4, size=(6000, 1))
-    x = x.astype(np.float32).astype(float)
-    ids = np.arange(6000)
-    got = cross_polytope.search(vectors(spark, ids, x), F.col("vec_id") % 20 == 0).collect()
-    want = brute_neighbours(ids, x, 20)
-    hits = sum((r.query_id, r.vec_id) in {(q, v) for v, _ in want[q]} for q in want for r in [r for r in got if r.query_id == q])
-    assert hits / sum(map(len, want.values())) >= 0.9
+    if kind == "skewed":
+        x *= np.exp(rng.normal(size=(6000, 1)))
+    if kind == "clustered":
+        x = rng.normal(size=(40, 32))[rng.integers(0, 40, 6000)] + 0.5 * x
+    assert recall(spark, x) >= 0.9
 
 
-def test_neighbours_do_not_depend_on_the_size_of_the_table(spark, monkeypatch):
-    """The second search is told that it has more than 2 ** 24 vectors."""
-    rng = np.random.default_rng(3)
-    x = rng.normal(size=(1500, 32))
-    ids = np.arange(1500)
-    df = vectors(spark, ids, x)
+def test_short_lists_are_filled(spark):
+    """Queries far from all other vectors find their k all the same."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=32)
+    x = v + 0.01 * rng.normal(size=(2850, 32))
+    x[:100:20] = -v + 0.01 * rng.normal(size=(5, 32))
+    got = cross_polytope.search(vectors(spark, np.arange(2850), x), F.col("vec_id").isin(0, 20, 40, 60, 80, 100)).collect()
+    assert Counter(r.query_id for r in got) == dict.fromkeys((0, 20, 40, 60, 80, 100), 20)
+    s = x @ x[0]
+    s[0] = -np.inf
+    assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 0][:4] == np.argsort(-s)[:4].tolist()
 
-    def found():
-        return sorted((r.query_id, r["rank"], r.vec_id) for r in cross_polytope.search(df, F.col("vec_id") % 20 == 0, exact_upto=0).collect())
 
-    few = found()
-    monkeypatch.setattr(cross_polytope.F, "count", lambda _: F.max(F.lit((1 << 24) + 1)))
-    assert found() == few and len(few) > 1000
+def test_repeated_ids_count_once(spark):
+    rows = [(0, [1.0, 0.1])] + [(7, [1.0, 0.2])] * 50 + [(7, [1.0, 0.3 + i / 100]) for i in range(30)] + [(i, [1.0, -i / 100]) for i in range(21, 60)]
+    got = sorted((r["rank"], r.vec_id) for r in cross_polytope.search(spark.createDataFrame(rows, "vec_id long, vec array<double>"), F.col("vec_id") == 0).collect())
+    assert got == [(1, 7), *((i + 2, 21 + i) for i in range(19))]
 
 
 def test_odd_vectors(spark):
@@ -256,16 +281,75 @@ def test_components(spark):
 
 def test_index_gives_exact_neighbours():
     rng = random.Random(9)
-    vectors_ = []
-    for _ in range(500):
-        v = {rng.randint(0, 40): rng.random() for _ in range(rng.randint(1, 8))}
-        n = sum(x * x for x in v.values()) ** 0.5
-        vectors_.append({t: x / n for t, x in v.items()})
-    index = toxicity.Index(vectors_, np.zeros(500, int), np.ones(500, int), list(range(500)))
-    for q in vectors_[:60]:
-        sims = sorted((sum(w * v.get(t, 0.0) for t, w in q.items()) for v in vectors_), reverse=True)
-        got = index.nearest(q, 15)
-        assert np.allclose([s for s, _ in got][:15], sims[:15]) and len(got) >= 15
+    dense = np.zeros((500, 41))
+    for v in dense:
+        for _ in range(rng.randint(1, 8)):
+            v[rng.randint(0, 40)] = rng.random()
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    sparse = [(np.flatnonzero(v), v[np.flatnonzero(v)]) for v in dense]
+    index = toxicity.Index(sparse, 41, np.zeros(500, int), np.ones(500, int), list(range(500)))
+    for i in range(60):
+        sims = np.sort(dense @ dense[i])[::-1]
+        got, place = index.nearest(*sparse[i], 15)
+        assert np.allclose(got[:15], sims[:15], atol=1e-6) and np.allclose(got, [dense[index.example[p]] @ dense[i] for p in place], atol=1e-6)
+        assert len(got) >= 15 and (len(got) == 500 or got[-1] > sims[len(got)] - 1e-6)
+    everything, _ = index.nearest(np.zeros(0, np.int64), np.zeros(0), 15)
+    assert len(everything) == 500
+
+
+def brute_scores(rows, labels, sample):
+    """Scores in plain Python: all words, whole texts, all examples compared."""
+    tokens = lambda t: Counter(re.findall(r"[^\W\d_]+", (t or "").lower()))
+    text = dict(rows)
+    examples = [(i, tokens(text[i]), labels[i]) for i in sample]
+    total, prior = len(examples), sum(y for _, _, y in examples) / len(examples)
+    n, bad = Counter(), Counter()
+    for _, c, y in examples:
+        n.update(c.keys())
+        bad.update(c.keys() if y else [])
+
+    def weight(t):
+        if t not in n:
+            return math.log(total + 1) + 1
+        g = 0.0
+        for x, share in ((bad[t], prior), (n[t] - bad[t], 1 - prior)):
+            g += 2 * x * math.log(x / (n[t] * share)) if x else 0.0
+        return (math.log((total + 1) / (n[t] + 1)) + 1) * (1 + max(0.0, math.sqrt(max(0.0, g)) - 3))
+
+    def vector(c):
+        v = {t: (1 + math.log(k)) * weight(t) for t, k in c.items()}
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        return {t: x / norm for t, x in v.items()}
+
+    vs = [vector(c) for _, c, _ in examples]
+
+    def vote(v, without=None):
+        sims = [(sum(x * o.get(t, 0.0) for t, x in v.items()), j) for j, o in enumerate(vs) if j != without]
+        edge = sorted(sims, reverse=True)[: toxicity.NEAREST][-1][0]
+        top, all_ = prior, 1.0
+        for s, j in sims:
+            if s >= edge - 1e-7:
+                w = 1 / (0.02 + max(0.0, 1 - s)) ** 2
+                top, all_ = top + w * examples[j][2], all_ + w
+        return top / all_
+
+    steps = toxicity.isotonic([(vote(v, j), examples[j][2], 1) for j, v in enumerate(vs)])
+    return {i: float(np.interp(vote(vector(tokens(t))), *steps)) for i, t in rows}
+
+
+def test_toxicity_scores_are_those_of_whole_texts(spark, documents):
+    rng = random.Random(3)
+    rows, labels = [], {}
+    for i in range(160):
+        some = [f"w{'abcdefgh'[rng.randint(0, 7)]}{'ijklmnop'[int(rng.random() ** 2 * 8)]}{'qrst'[rng.randint(0, 3)]}" for _ in range(rng.randint(0, 40))]
+        labels[i] = int(rng.random() < 0.25)
+        rows.append((i, " ".join(some + ["vile"] * (labels[i] and rng.randint(0, 2)))))
+    sample = [i for i in labels if zlib.crc32(str(i).encode()) % 5]
+    want = brute_scores(rows, labels, sample)
+    got = toxicity.toxicity(documents(rows), spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")).collect()
+    assert len({round(r.score, 6) for r in got}) > 3
+    for r in got:
+        assert abs(r.score - want[r.doc_id]) < 1e-4, r.doc_id
 
 
 def test_toxicity_on_held_out_rows(spark, documents):
