@@ -52,8 +52,10 @@ CUES = {
     "phone": r"phone|\btel|call|mobil|fax|ruf|llam|appel",
 }
 AGAINST = r"isbn|version|\bv\.?$|invoice|order|serial|\bart\b|\bref\b|\bsku\b|build|doi"
-SPAN = "array<struct<start:int,ord:int,end:int,kind:string,match:string>>"
 CHUNK = 128
+LOW = -(1 << 31)
+#: Code points of the pieces that a text is cut into where its spans are replaced.
+PIECE = 1024
 
 
 def luhn(digits: Column) -> Column:
@@ -83,11 +85,13 @@ def valid(kind: str, match: Column) -> Column:
 
 
 def found(df: DataFrame, patterns: dict[str, str], hints: dict[str, Column], prefix: str) -> DataFrame:
-    """Adds a column of spans for each kind: the leftmost non-overlapping matches with their places.
+    """Adds a column of spans for each kind: the leftmost non-overlapping matches with their places and surroundings.
 
     A place is the sum of the lengths of what the pattern leaves between matches and of the matches
-    before it, summed in chunks so that thousands of matches in a text stay cheap. Each step is a
-    column of its own, for expressions inside lambdas would be evaluated again for each element.
+    before it, summed in chunks so that thousands of matches in a text stay cheap; the surroundings are
+    taken from those gaps too, so that no text is walked through again for a match. Each step is a
+    column of its own that is named twice after, for expressions that lambdas name once would be
+    evaluated again for each element.
     """
     text = F.col("text")
     none = F.array().cast("array<string>")
@@ -103,12 +107,19 @@ def found(df: DataFrame, patterns: dict[str, str], hints: dict[str, Column], pre
     df = df.withColumns({f"{prefix}o_{k}": offsets(F.col(f"{prefix}l_{k}")) for k in KINDS})
 
     def place(k: str) -> Column:
-        m, lens, before = F.col(f"{prefix}m_{k}"), F.col(f"{prefix}l_{k}"), F.col(f"{prefix}o_{k}")
+        m, gaps, lens, before = (F.col(f"{prefix}{x}_{k}") for x in "mglo")
 
         def one(match: Column, i: Column) -> Column:
             chunk = F.floor(i / CHUNK).cast("int")
-            end = F.element_at(before, chunk + 1) + F.aggregate(F.slice(lens, chunk * CHUNK + 1, i - chunk * CHUNK + 1), F.lit(0), lambda a, x: a + x)
-            return F.struct((end - F.length(match)).alias("start"), F.lit(KINDS.index(k)).alias("ord"), end.alias("end"), F.lit(k).alias("kind"), match.alias("match"))
+            end = F.element_at(before, F.least(chunk + 1, F.size(before))) + F.aggregate(F.slice(lens, chunk * CHUNK + 1, i - chunk * CHUNK + 1), F.lit(0), lambda a, x: a + x)
+            gap, after = F.element_at(gaps, i + 1), F.element_at(gaps, i + 2)
+            # where two matches touch, each is the other's border
+            left = F.when((gap == "") & (i > 0), F.right(F.element_at(m, F.greatest(i, F.lit(1))), F.lit(1))).otherwise(F.right(gap, F.lit(1)))
+            right = F.when((after == "") & (i + 1 < F.size(m)), F.left(F.element_at(m, F.least(i + 2, F.size(m))), F.lit(1))).otherwise(F.left(after, F.lit(1)))
+            return F.struct(
+                (end - F.length(match)).alias("start"), F.lit(KINDS.index(k)).alias("ord"), end.alias("end"), F.lit(k).alias("kind"), match.alias("match"),
+                F.lower(F.right(gap, F.lit(24))).alias("before"), left.alias("left"), right.alias("right"),
+            )
 
         return F.transform(m, one)
 
@@ -116,6 +127,39 @@ def found(df: DataFrame, patterns: dict[str, str], hints: dict[str, Column], pre
     return df.drop(*(f"{prefix}{step}_{k}" for step in "mglo" for k in KINDS))
 
 
+def max_before(df: DataFrame, values: str, out: str) -> DataFrame:
+    """Adds out: for each of an array of whole numbers the greatest of those before it, LOW for the first; by chunks, as in found()."""
+    a, tops = F.col(values), F.col(f"{out}_tops")
+    chunks = F.floor(F.size(a) / CHUNK).cast("int")
+    none = F.array().cast("array<int>")
+    each = F.transform(F.when(chunks > 0, F.sequence(F.lit(1), chunks)).otherwise(none), lambda c: F.array_max(F.slice(a, (c - 1) * CHUNK + 1, F.lit(CHUNK))))
+    df = df.withColumn(f"{out}_tops", F.aggregate(each, F.array(F.lit(LOW)), lambda acc, x: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), x)))))
+
+    def one(x: Column, i: Column) -> Column:
+        chunk = F.floor(i / CHUNK).cast("int")
+        return F.greatest(F.element_at(tops, F.least(chunk + 1, F.size(tops))), F.array_max(F.slice(a, chunk * CHUNK + 1, i - chunk * CHUNK)))
+
+    return df.withColumn(out, F.transform(a, one)).drop(f"{out}_tops")
+
+
+def apart(df: DataFrame) -> DataFrame:
+    """Column wider without the spans that touch one of base, or an earlier one of wider. Both are in order."""
+    tagged = lambda c, w: F.transform(c, lambda s: F.struct(s["start"].alias("start"), F.lit(w).alias("wide"), s.alias("span")))
+    some = F.size("wider") > 0
+    both = F.array_sort(F.concat(tagged("base", 0), tagged("wider", 1)))
+    df = df.withColumn("both", F.when(some, both).otherwise(F.slice(tagged("wider", 1), F.lit(1), F.lit(0))))
+    df = df.withColumns({
+        "ends": F.transform("both", lambda s: F.when(s["wide"] == 0, s["span"]["end"]).otherwise(LOW)),
+        "starts": F.reverse(F.transform("both", lambda s: F.when(s["wide"] == 0, -s["start"]).otherwise(LOW))),
+    })
+    df = max_before(max_before(df, "ends", "held"), "starts", "next")
+    free = F.filter(F.arrays_zip("both", "held", F.reverse("next").alias("next")), lambda x: (x["both"]["wide"] == 1) & (x["held"] <= x["both"]["start"]) & ((x["next"] == LOW) | (-x["next"] >= x["both"]["span"]["end"])))
+    df = df.withColumn("wider", F.transform(free, lambda x: x["both"]["span"])).drop("both", "ends", "starts", "held", "next")
+    df = max_before(df.withColumn("ends", F.transform("wider", lambda s: s["end"])), "ends", "held")
+    first = F.filter(F.arrays_zip("wider", "held"), lambda x: x["held"] <= x["wider"]["start"])
+    return df.withColumn("wider", F.transform(first, lambda x: x["wider"])).drop("ends", "held")
+
+
 def text_of(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
 
@@ -124,13 +168,12 @@ def vote(good: Column, bad: Column) -> Column:
     return F.when(good, 1).when(bad, 0).otherwise(-1)
 
 
-def voted(span: Column, text: Column, base: bool) -> Column:
-    """The labelers' votes on a span, as a struct with its place."""
+def voted(span: Column, base: bool) -> Column:
+    """The labelers' votes on a span, as a struct with its place. The context reaches back to the last match of the kind."""
     kind, match = span["kind"], span["match"]
     digits = digits_of(match)
     of = lambda by_kind: F.when(kind == "email", by_kind["email"]).when(kind == "ip", by_kind["ip"]).when(kind == "card", by_kind["card"]).otherwise(by_kind["phone"])
-    before = F.lower(F.substr(text, F.greatest(span["start"] - 23, F.lit(1)), F.least(span["start"], F.lit(24))))
-    left, right = F.substr(text, F.greatest(span["start"], F.lit(1)), F.least(span["start"], F.lit(1))), F.substr(text, span["end"] + 1, F.lit(1))
+    before, left, right = span["before"], span["left"], span["right"]
     top = F.lower(F.regexp_extract(match, r"([A-Za-z0-9-]+)$", 1))
     known = of({
         "email": F.array_contains(F.split(F.lit(TOP_DOMAINS), " "), top),
@@ -197,11 +240,8 @@ def searched(docs: DataFrame) -> DataFrame:
     # cheap tests first: most texts hold neither digits nor brackets, and a pattern makes a copy of the text
     bracket = F.contains("text", F.lit("[")) | F.contains("text", F.lit("("))
     df = found(df, WIDER, {k: (bracket if k in ("email", "ip") else F.col("digit")) & F.col("text").rlike(WIDER_HINT[k]) for k in KINDS}, "w_").drop("digit")
-    touches = lambda s, t: (s["start"] < t["end"]) & (t["start"] < s["end"])
-    wider = F.filter(F.concat(*(F.col(f"w_{k}") for k in KINDS)), lambda s: ~F.exists("base", lambda b: touches(s, b)))
-    df = df.withColumn("wider", F.array_sort(wider))
-    df = df.withColumn("wider", F.filter("wider", lambda s, i: ~F.exists(F.slice("wider", F.lit(1), i), lambda t: touches(s, t))))
-    df = df.withColumns({"base": F.transform("base", lambda s: voted(s, F.col("text"), True)), "wider": F.transform("wider", lambda s: voted(s, F.col("text"), False))})
+    df = apart(df.withColumn("wider", F.array_sort(F.concat(*(F.col(f"w_{k}") for k in KINDS)))))
+    df = df.withColumns({"base": F.transform("base", lambda s: voted(s, True)), "wider": F.transform("wider", lambda s: voted(s, False))})
     return df.withColumns({f"n_{k}": F.size(f"b_{k}").cast("long") for k in KINDS}).drop(*(f"{p}_{k}" for p in "bw" for k in KINDS))
 
 
@@ -227,27 +267,42 @@ def spans(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def redact(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs with every span replaced in text and n_chars, where there is such a column, counted anew. Null texts stay null."""
-    held = save(searched(docs.select("text")).select("base", "wider").filter((F.size("base") > 0) | (F.size("wider") > 0)), "spans")
+    # no filter before the write, as the optimizer would push the search into it
+    held = save(searched(docs.select("text")).select("base", "wider"), "spans")
     w = classifier(held)
     rows = docs.select("text", F.struct(*docs.columns).alias("row"))  # apart from working columns, whose names may clash
     df = searched(rows).withColumn("all_spans", every(w, threshold))
     none = F.size("all_spans") == 0
-    text = F.when(none, F.col("row.text")).otherwise(redacted(F.col("text"), F.col("all_spans")))
-    df = df.select("row", "all_spans", text.alias("new_text"))
+    df = redacted(df.select("row", "text", "all_spans")).select("row", "all_spans", F.when(none, F.col("row.text")).otherwise(F.col("new_text")).alias("new_text"))
     length = F.when(none, F.col("row.n_chars")).otherwise(F.length("new_text").cast("long")) if "n_chars" in docs.columns else None
     return df.select(*(F.col("new_text").alias("text") if c == "text" else length.alias(c) if c == "n_chars" else F.col("row")[c].alias(c) for c in docs.columns))
 
 
-def redacted(text: Column, every: Column) -> Column:
-    """The text with each span replaced by <KIND>. Overlapping spans of two kinds are replaced as one, named after the first."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+def redacted(df: DataFrame) -> DataFrame:
+    """Adds new_text: text with each of all_spans replaced by <KIND>. Overlapping spans of two kinds are replaced as one, named after the first.
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        piece = F.concat(F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["parts"], F.array(piece))).otherwise(acc["parts"]).alias("parts"))
-
-    return F.aggregate(every, start, step, lambda acc: F.concat(F.concat_ws("", acc["parts"]), F.substr(text, acc["at"] + 1, F.length(text))))
+    The text is cut into pieces once, and what lies between spans is put together from them.
+    """
+    spans_, pieces = F.col("all_spans"), F.col("pieces")
+    df = max_before(df.withColumn("ends", F.transform(spans_, lambda s: s["end"])), "ends", "held")
+    df = df.withColumn("pieces", F.when(F.size(spans_) > 0, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).otherwise(F.array().cast("array<string>")))
+
+    def between(lo: Column, hi: Column) -> Column:
+        """Code points lo to hi (exclusive), lo < hi."""
+        first, last = F.floor(lo / PIECE).cast("int"), F.floor((hi - 1) / PIECE).cast("int")
+        held = F.concat_ws("", F.slice(pieces, first + 1, F.least(last - first + 1, F.size(pieces))))
+        return F.substr(held, lo - first * PIECE + 1, hi - lo)
+
+    def one(x: Column) -> Column:
+        at = F.greatest(x["held"], F.lit(0))
+        tag = F.concat(F.lit("<"), F.upper(x["all_spans"]["kind"]), F.lit(">"))
+        start = x["all_spans"]["start"]
+        return F.when(start > at, F.concat(between(at, start), tag)).when(start == at, tag).otherwise("")
+
+    last, length = F.array_max("ends"), F.length("text")
+    tail = F.when(length > last, between(last, length)).otherwise("")
+    df = df.withColumn("parts", F.transform(F.arrays_zip("all_spans", "held"), one)).withColumn("tail", tail)
+    return df.withColumn("new_text", F.concat(F.concat_ws("", "parts"), "tail")).drop("ends", "held", "pieces", "parts", "tail")
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
