@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Stems of month names, English and Russian, in calendar order: fixed values.
+#: Names of months, English and Russian (as a date or by itself), in calendar order: fixed values.
 MONTHS = (
-    ("jan", "январ"), ("feb", "феврал"), ("mar", "март"), ("apr", "апрел"), ("may", "ма[йя]"), ("jun", "июн"),
-    ("jul", "июл"), ("aug", "август"), ("sep", "сентябр"), ("oct", "октябр"), ("nov", "ноябр"), ("dec", "декабр"),
+    ("jan(?:uary)?", "январ[ьяЬЯ]"), ("feb(?:ruary)?", "феврал[ьяЬЯ]"), ("mar(?:ch)?", "марта?"), ("apr(?:il)?", "апрел[ьяЬЯ]"), ("may", "ма[йяЙЯ]"), ("june?", "июн[ьяЬЯ]"),
+    ("july?", "июл[ьяЬЯ]"), ("aug(?:ust)?", "августа?"), ("sep(?:t|tember)?", "сентябр[ьяЬЯ]"), ("oct(?:ober)?", "октябр[ьяЬЯ]"), ("nov(?:ember)?", "ноябр[ьяЬЯ]"), ("dec(?:ember)?", "декабр[ьяЬЯ]"),
 )
-ISO = r"(?<!\d)(\d{4})-(\d{1,2})-(\d{1,2})(?!\d)"
+ISO = r"(?<!\d)(\d{4})-(\d{2})-(\d{2})(?!\d)"
 DMY = r"(?<!\d)(\d{1,2})[./](\d{1,2})[./](\d{4})(?!\d)"
-WORDY = r"(?iu)(?<!\d)(\d{1,2})\s+(" + "|".join(f"{a}[a-z]*|{b}[а-яё]*" for a, b in MONTHS) + r")\s+(\d{4})"
+WORDY = r"(?iu)(?<!\d)(\d{1,2})\s+(" + "|".join(f"{a}|{b}" for a, b in MONTHS) + r")\s+(\d{4})(?!\d)"
 ANY = rf"(?iu){ISO}|{DMY}|{WORDY[5:]}"
 
 
@@ -23,7 +23,7 @@ def _date(y: Column, m: Column, d: Column) -> Column:
 def _month(word: Column) -> Column:
     out = None
     for i, (a, b) in enumerate(MONTHS, 1):
-        hit = word.rlike(rf"(?iu)^(?:{a}|{b})")
+        hit = word.rlike(rf"(?iu)^(?:{a}|{b})$")
         out = F.when(hit, str(i)) if out is None else out.when(hit, str(i))
     return out
 
@@ -60,6 +60,43 @@ def parse_deadline(c: Column) -> Column:
     return F.coalesce(_last(c, DISCUSSION), _last(c, UNTIL), F.try_element_at(ends, F.lit(-1)), F.try_element_at(all_dates(c), F.lit(-1)))
 
 
+#: What ends a discussion, and how far after it its date may stand: fixed values.
+END_OF_DISCUSSION = r"(?:конец|окончание|завершение)\s+(?:публичного\s+)?обсуждени[яй]"
+AFTER_END = 180
+
+
+def regulation_deadline(c: Column) -> Column:
+    """The first date near after the end of a discussion is named, else the last date of the text."""
+    after = F.regexp_extract(c, rf"(?isu){END_OF_DISCUSSION}(.{{0,{AFTER_END}}})", 1)
+    return F.coalesce(F.try_element_at(all_dates(after), F.lit(1)), F.try_element_at(all_dates(c), F.lit(-1)))
+
+
+def regulation_status(c: Column, as_of: Column, near_days: int = 14) -> Column:
+    """expired, near or future; null without a date."""
+    left = F.datediff(regulation_deadline(c), as_of)
+    return F.when(left < 0, "expired").when(left <= near_days, "near").when(left.isNotNull(), "future")
+
+
+#: What a publication date stands by, and what marks dates of another kind: fixed values.
+PUBLICATION = ("опублик", "публикац", "размещ", "создан", "дата публикации", "publication", "published")
+OTHER_DATES = (
+    "прием заяв", "приём заяв", "заявки принима", "срок подачи", "конкурсн", "отбор", "обсужден",
+    "срок кредита", "срок займа", "срок действия", "до 12 месяцев", "до 5 лет", "до 2030 года",
+)
+CLOCK = r"\b\d{1,2}:\d{2}\b"
+LEAD, MARKED_LEAD = 180, 240
+
+
+def published_from_text(c: Column, leading: bool = True, news: Column | None = None) -> Column:
+    """A publication date of a text: none if marks of other dates are there; a date in the lead that a time of
+    day goes with, or that stands in news; else a date in the wider lead where a mark of publication is there."""
+    flat = F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    holds = lambda markers: F.lower(flat).rlike("|".join(markers))
+    lead = F.substring(flat, 1, LEAD)
+    first = F.when(lead.rlike(CLOCK) | (news if news is not None else F.lit(False)), parse_date(lead)) if leading else F.lit(None).cast("date")
+    return F.when(~holds(OTHER_DATES), F.coalesce(first, F.when(holds(PUBLICATION), parse_date(F.substring(flat, 1, MARKED_LEAD)))))
+
+
 def deadline_class(day: Column, as_of: Column, near_days: int = 7) -> Column:
     """expired, today, near, future or unknown."""
     left = F.datediff(day, as_of)

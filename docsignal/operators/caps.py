@@ -24,22 +24,24 @@ def bucket_caps(df: DataFrame, bucket: str, caps: dict[str, int], *order: Column
     capped = placed.filter(F.col("place") <= most).filter(F.col("place") <= cap) if set(caps) else placed
     whole = placed.filter(cap.isNull())
     out = capped.unionByName(whole) if caps else placed
-    return out.join(F.broadcast(n), bucket).withColumn("left_out", F.greatest(F.col("_all") - F.coalesce(cap, F.col("_all").cast("int")), F.lit(0)).cast("long")).drop("_all")
+    return out.join(n, bucket).withColumn("left_out", F.greatest(F.col("_all") - F.coalesce(cap, F.col("_all").cast("int")), F.lit(0)).cast("long")).drop("_all")
 
 
 def exempt_budget(df: DataFrame, exempt: Column, budget: int, *order: Column) -> DataFrame:
     """All exempt rows, and others in the order while the budget lasts; exempt rows use it up first."""
-    used = df.filter(exempt).count()
-    rest = df.filter(~exempt).orderBy(*order).limit(max(0, budget - used))
+    # a top-k of fixed size, of which the number of exempt rows, joined as one row, leaves the first ones
+    used = df.filter(exempt).agg(F.count("*").alias("_used"))
+    rest = df.filter(~exempt).orderBy(*order).limit(budget)
+    rest = rest.withColumn("_n", F.row_number().over(Window.orderBy(*order))).join(F.broadcast(used), F.col("_n") + F.col("_used") <= budget, "inner").drop("_n", "_used")
     return df.filter(exempt).unionByName(rest)
 
 
-def urgent_cap(df: DataFrame, urgent: Column, most: int, section: str, fallback: Column, *order: Column) -> DataFrame:
-    """The first `most` urgent rows stay in their section, the others move to the fallback section, `routed` telling which."""
-    first = df.filter(urgent).orderBy(*order).limit(most).withColumn("routed", F.lit(False))
-    keys = df.filter(urgent).withColumn("_n", F.row_number().over(Window.orderBy(*order))).filter(F.col("_n") > most).drop("_n")
-    moved = keys.withColumn("routed", F.lit(True)).withColumn(section, fallback)
-    return first.unionByName(moved).unionByName(df.filter(~urgent).withColumn("routed", F.lit(False)))
+def urgent_cap(df: DataFrame, urgent: Column, most: int, section: str, fallback: Column, key: str, *order: Column) -> DataFrame:
+    """The first `most` urgent rows stay in their section, the others move to the fallback section, `routed` telling which. key: unique, not null."""
+    first = df.filter(urgent).orderBy(*order).limit(most).select(key, F.lit(True).alias("_first"))
+    moves = F.coalesce(urgent, F.lit(False)) & F.col("_first").isNull()
+    out = df.join(F.broadcast(first), key, "left")
+    return out.select(*(F.when(moves, fallback).otherwise(F.col(c)).alias(c) if c == section else F.col(c) for c in df.columns), moves.alias("routed"))
 
 
 def shared_cap(df: DataFrame, bucket: str, exempt: Column, most: int, *order: Column) -> DataFrame:

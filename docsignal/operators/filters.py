@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import squash, strip
 from ..schema import LEVELS, rank_of
 
 
@@ -58,3 +59,29 @@ def search(df: DataFrame, query: str, fields: list[str], most: int, level: Colum
         quality = quality.when(h, len(fields) - i)
     found = df.filter(any_).withColumns({"level_points": level, "match_points": quality.otherwise(0)})
     return found.orderBy(F.desc("level_points"), F.desc("match_points"), *recency).limit(clamp(most, 1, 20))
+
+
+def scan_candidate(file_type: Column, recognised: Column, length: Column, pages: Column, needs: Column | None = None, least: int = 0) -> Column:
+    """A file whose text should be recognised from its pages: a PDF not recognised yet, without text, marked so, or
+    with under 120 characters a page on three pages and more. least: shorter texts count too, as after a first reading."""
+    thin = (length == 0) | (length < least) | ((F.coalesce(pages, F.lit(0)) >= 3) & (length < 120 * F.coalesce(pages, F.lit(0))))
+    if needs is not None:
+        thin = thin | F.coalesce(needs, F.lit(False))
+    return F.coalesce((F.lower(file_type) == "pdf") & ~F.coalesce(recognised, F.lit(False)) & thin, F.lit(False))
+
+
+def should_refresh(prefetched: Column, role: Column) -> Column:
+    """Whether a stored address is read again: its text is there already, or its page keeps its address while it changes."""
+    return (F.coalesce(F.length(prefetched), F.lit(0)) > 0) | F.coalesce(role == "active_support_measures", F.lit(False))
+
+
+def backfill_reason(old: Column, new: Column, title: Column, share: float = 0.5) -> Column:
+    """Why a new text does not replace the old one: it is empty, or shorter than the share and without the title or its first six words. Null if it does."""
+    length = lambda c: F.length(strip(F.coalesce(c, F.lit(""))))
+    flat = lambda c: F.lower(squash(F.coalesce(c, F.lit(""))))
+    whole = flat(title)
+    words = F.regexp_extract_all(whole, F.lit(r"(?U)\w+"), F.lit(0))
+    start = F.concat_ws(" ", F.slice(words, 1, 6))
+    titled = ((whole != "") & F.contains(flat(new), whole)) | ((F.size(words) >= 4) & F.contains(flat(new), start))
+    short = (length(old) > 0) & (length(new) < F.floor(length(old) * share)) & ~titled
+    return F.when(length(new) == 0, "skipped_empty_text").when(short, "skipped_low_quality")

@@ -28,7 +28,8 @@ def best_of(df: DataFrame, key: Column, scores: list[Column], ordinal: Column) -
 def first_wins(df: DataFrame, key: Column, *order: Column) -> DataFrame:
     """The first row of each key in the order; rows whose key is null are never duplicates."""
     n = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return df.withColumn("_n", n).filter((F.col("_n") == 1) | key.isNull()).drop("_n")
+    first = df.filter(key.isNotNull()).withColumn("_n", n).filter(F.col("_n") == 1).drop("_n")
+    return first.unionByName(df.filter(key.isNull()))
 
 
 def top_per_group(df: DataFrame, keys: list[str], most: int, *order: Column) -> DataFrame:

@@ -72,7 +72,7 @@ WITH e AS (SELECT event_id, value, {LEVEL_SQL} AS level, event_type AS section F
 SELECT event_id, CASE WHEN level = 'requires_attention' AND place > 5 THEN 'overflow' ELSE section END AS section, (level = 'requires_attention' AND place > 5) AS routed FROM r""")
 def urgent_cap_route(t, spark):
     e = t("events").select("event_id", "value", level().alias("level"), F.col("event_type").alias("section"))
-    return caps.urgent_cap(e, F.col("level") == "requires_attention", 5, "section", F.lit("overflow"), F.desc("value"), F.col("event_id")).select("event_id", "section", "routed")
+    return caps.urgent_cap(e, F.col("level") == "requires_attention", 5, "section", F.lit("overflow"), "event_id", F.desc("value"), F.col("event_id")).select("event_id", "section", "routed")
 
 
 @query("""
@@ -193,10 +193,10 @@ def left_preserve_unmatched(t, spark):
     return t("orders").filter("o_totalprice > 200000").select("o_orderkey").join(n, "o_orderkey", "left").select("o_orderkey", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice > 350000)")
 def not_audited(t, spark):
     """An anti join."""
-    return joins.not_in(t("customer").select("c_custkey"), t("orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    return joins.not_in(t("customer").select("c_custkey"), t("orders").filter("o_totalprice > 350000").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")

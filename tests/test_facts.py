@@ -15,7 +15,10 @@ D = dt.date
         ('<meta property="article:published_time" content="2024-03-05T10:00"><p>1.1.2020', None, D(2024, 3, 5)),
         ('<time datetime="2024-03-06">x</time>', None, D(2024, 3, 6)),
         ('<div class="post-date">7 March 2024</div><p>1.1.2020', None, D(2024, 3, 7)),
-        ("<p>News of 8.3.2024</p>", None, D(2024, 3, 8)),
+        ("<p>News of 8.3.2024</p>", None, None),
+        ("<p>8.3.2024 10:30 News</p>", None, D(2024, 3, 8)),
+        ("<p>Опубликовано 8 марта 2024</p>", None, D(2024, 3, 8)),
+        ("<p>Опубликовано 8 марта 2024, срок подачи 9.3.2024</p>", None, None),
         ("<p>" + "x" * 200 + " 8.3.2024", "http://a.org/2024/03/09/x", D(2024, 3, 9)),
         ("<script>2024-01-01</script>", "http://a.org/x", None),
         (None, None, None),

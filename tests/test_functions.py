@@ -3,7 +3,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from docsignal.functions import dates, rules, text, urls
+from docsignal.functions import dates, periods, rules, text, urls
+from docsignal.sources import html_dates
 
 D = dt.date
 
@@ -97,3 +98,35 @@ def test_rules(spark):
     families = [rules.Family("a", "A", exact=("beet",), veto=("sugar free",)), rules.Family("b", "B", words=("krs",)), rules.Family("c", "C", rules=(rules.Rule("", all_of=("milk",), any_of=("price", "tax")),))]
     got = [v(rules.topic(families, t), x) for x in ("Beet prices", "sugar free beet", "the KRS, herd", "krsx", "Milk tax and price")]
     assert [g.family for g in got] == ["a", None, "b", None, "c"] and got[4].hits == ["milk", "price", "tax"] and got[4].confidence == 0.8
+
+
+@pytest.mark.parametrize(
+    ("t", "day"),
+    [
+        ("Опубликовано 5 марта 2024", D(2024, 3, 5)),
+        ("5 марта 2024 10:15 Новости", D(2024, 3, 5)),
+        ("5 марта 2024 Новости", None),
+        ("Опубликовано 5 марта 2024, приём заявок открыт", None),
+        ("x " * 130 + "опубликовано 5 марта 2024", None),
+        ("", None),
+        (None, None),
+    ],
+)
+def test_published_from_text(spark, t, day):
+    assert value(spark, dates.published_from_text(F.col("t")), t=t) == day
+    if t is not None:
+        assert html_dates.from_text(t) == day
+        assert value(spark, dates.published_from_text(F.col("t"), news=F.lit(True)), t=t) == (D(2024, 3, 5) if "5 марта 2024 Новости" in t else day)
+
+
+def test_texts_of_pages(spark):
+    assert value(spark, text.service_url(F.col("u")), u="http://x.org/search?q=1") and not value(spark, text.service_url(F.col("u")), u="http://x.org/docs/5")
+    nav = lambda t: value(spark, text.navigation_text(F.col("t")), t=t)
+    assert nav("service_page x") and nav("Поиск по сайту и Реклама на сайте") and not nav("Поиск по сайту") and not nav(None)
+    one, two = (value(spark, text.fields_hash(title=F.col("t"), url=F.lit(None).cast("string")), t=t) for t in ("a", "b"))
+    assert one != two and one == value(spark, text.fields_hash(url=F.lit(None).cast("string"), title=F.col("t")), t="a")
+
+
+def test_periods():
+    assert periods.period("today", D(2024, 3, 5)).label() == "сегодня, 05.03.2024" and periods.period("1", D(2024, 3, 5)).label() == "сегодня, 05.03.2024"
+    assert periods.period("9999", D(2024, 3, 5)).days == 365 and periods.period(None, D(2024, 3, 5), 14).label() == "последние 14 дней"

@@ -27,7 +27,7 @@ def test_caps(spark):
     got = caps.exempt_budget(df, F.col("u"), 6, F.col("id"))
     assert sorted(r.id for r in got.collect()) == [0, 1, 2, 5, 10, 15]
     assert sorted(r.id for r in caps.exempt_budget(df, F.col("u"), 2, F.col("id")).collect()) == [0, 5, 10, 15]
-    routed = {r.id: (r.b, r.routed) for r in caps.urgent_cap(df, F.col("u"), 2, "b", F.lit("x"), F.col("id")).collect()}
+    routed = {r.id: (r.b, r.routed) for r in caps.urgent_cap(df, F.col("u"), 2, "b", F.lit("x"), "id", F.col("id")).collect()}
     assert len(routed) == 20 and routed[10] == ("x", True) and routed[5] == ("b", False) and routed[1] == ("b", False)
 
 
@@ -134,3 +134,14 @@ def test_report(spark, tmp_path):
 def test_schema(spark):
     df = schema.conform(spark.createDataFrame([(1, "x", 3)], "id int, url string, other int"), "documents")
     assert df.columns[0] == "id" and df.schema["id"].dataType.simpleString() == "bigint" and df.first().title is None
+
+
+def test_latest_file(spark, tmp_path):
+    import os
+
+    from docsignal.operators import health
+
+    for i, name in enumerate(("gr_1.md", "gr_3.md", "gr_2.md", "other.txt")):
+        (tmp_path / name).write_text("x")
+        os.utime(tmp_path / name, (1_000_000 + i, 1_000_000 + i))
+    assert health.latest_file(spark, str(tmp_path), "gr_*.md").endswith("gr_2.md")
