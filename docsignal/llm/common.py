@@ -30,22 +30,27 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH, "2000")
 
 
+def trim() -> None:
+    """Gives free memory back to the system, for processes that live on: workers between tasks, the driver after a fit."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def tidied(run: Callable) -> Callable:
-    """A partition function that gives memory back at its end, as workers live on between tasks."""
+    """A partition function that gives memory back at its end."""
 
     def wrapped(batches: Iterator) -> Iterator:
         try:
             yield from run(batches)
         finally:
-            import ctypes
-            import gc
-
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):  # another C library
-                pass
+            trim()
 
     return wrapped
 

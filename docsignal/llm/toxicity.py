@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, save, table, tidied
+from .common import map_rows, save, table, tidied, trim
 
 SAMPLE = 6000
 NEAREST = 15
@@ -76,9 +76,10 @@ class Index:
         self.toxic, self.total, self.example = toxic[order], total[order], [example[i] for i in order]
         self.n_blocks = -(-len(order) // BLOCK)
         each = [len(vectors[i][0]) for i in order]
-        term = np.concatenate([vectors[i][0] for i in order]) if order else np.zeros(0, np.int64)
-        weight = np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0)
-        place = np.repeat(np.arange(len(order)), each)
+        term = np.concatenate([vectors[i][0] for i in order]) if order else np.zeros(0, np.int32)
+        # weights have the precision in which they travel, so that all copies of the index give the same sums
+        weight = (np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0)).astype(np.float32).astype(np.float64)
+        place = np.repeat(np.arange(len(order), dtype=np.int32), each)
         # lists of a tenth of the examples and more are dense rows; the others lie in blocks
         often = np.bincount(term, minlength=n_terms) * OFTEN > len(order)
         self.dense_at = np.where(often, np.cumsum(often) - 1, -1)
@@ -97,6 +98,15 @@ class Index:
         self.most = np.maximum.reduceat(self.weight, self.start) if len(term) else self.weight
         self.of_term = np.searchsorted(term[self.start], np.arange(n_terms + 1))
 
+    def __getstate__(self) -> dict:
+        """Half the bytes for the way."""
+        narrow = {np.dtype(np.float64): np.float32, np.dtype(np.int64): np.int32}
+        return {k: v.astype(narrow[v.dtype]) if isinstance(v, np.ndarray) and v.dtype in narrow else v for k, v in self.__dict__.items()}
+
+    def __setstate__(self, state: dict) -> None:
+        wide = {np.dtype(np.float32): np.float64, np.dtype(np.int32): np.int64}
+        self.__dict__.update({k: v.astype(wide[v.dtype]) if isinstance(v, np.ndarray) and v.dtype in wide and k != "place" else v for k, v in state.items()})
+
     def partial(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """What the frequent terms give to the similarities of vectors (rows) with all examples."""
         asked = np.zeros((len(vectors), len(self.dense)))
@@ -156,7 +166,7 @@ class Model:
         self.vocabulary, self.weight, self.prior = vocabulary, weight, prior
         self.memo: dict[int, tuple[float, list[int], float]] = {}
         self.index: Index | None = None
-        self.steps: tuple[np.ndarray, np.ndarray] | None = None
+        self.own: dict[int, int] = {}
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Terms in order with their counts; all words beyond the vocabulary have the number after its last, each an entry."""
@@ -180,10 +190,11 @@ class Model:
             g[0] += toxic
             g[1] += 1
             g[2] = min(g[2], doc_id)
-        vectors = [self.vector(np.frombuffer(t, "<i4"), np.frombuffer(c, "<i4")) for t, c in groups]
+        vectors = [(t.astype(np.int32), w.astype(np.float32)) for t, w in (self.vector(np.frombuffer(t, "<i4"), np.frombuffer(c, "<i4")) for t, c in groups)]
         found = list(groups.values())
         self.index = Index(vectors, len(self.vocabulary), np.array([g[0] for g in found]), np.array([g[1] for g in found]), [g[2] for g in found])
-        self.place = {(t, c): g[2] for (t, c), g in groups.items()}
+        place = {e: i for i, e in enumerate(self.index.example)}
+        self.own = {doc_id: place[groups[terms, counts][2]] for doc_id, terms, counts, _ in examples}
 
     def vote(self, similarity: np.ndarray, place: np.ndarray, without: int | None = None, label: int = 0) -> float:
         """Share of toxic examples by weight, with one example's worth of the prior at distance 1. without: a place with one example of this label less."""
@@ -192,7 +203,7 @@ class Model:
         top = self.prior + float((w * (self.index.toxic[place] - own * label)).sum())
         return top / (1 + float((w * (self.index.total[place] - own)).sum()))
 
-    def scores(self, texts: list[str | None]) -> list[tuple[float, list[int], float]]:
+    def scores(self, texts: list[str | None], steps: tuple[np.ndarray, np.ndarray] | None) -> list[tuple[float, list[int], float]]:
         """For each text its probability, nearest examples (up to 3) and the similarity of the first."""
         if self.index is None:
             return [(self.prior, [], 0.0)] * len(texts)
@@ -206,7 +217,7 @@ class Model:
             vectors = [self.vector(*self.counts(x)) for x in fresh.values()]
             for k, v, partial in zip(fresh, vectors, self.index.partial(vectors), strict=True):
                 similarity, place = self.index.nearest(*v, NEAREST, partial=partial)
-                at = float(np.interp(self.vote(similarity, place), *self.steps))
+                at = float(np.interp(self.vote(similarity, place), *steps))
                 self.memo[k] = min(1.0, max(0.0, at)), [self.index.example[p] for p in place[:3]], float(similarity[0]) if len(place) else 0.0
             out += [self.memo[k] for k in keys]
         return out
@@ -233,8 +244,8 @@ def weights(n: np.ndarray, bad: np.ndarray, total: int, prior: float) -> np.ndar
     return np.append(idf * (1 + np.maximum(0, z - CHANCE)), math.log(total + 1) + 1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """docs: doc_id, text; labels: doc_id, toxic, already without the held-out fold."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
+    """docs: doc_id, text; labels: doc_id, toxic, already without the held-out fold. Gives the model, broadcast once, and its steps."""
     spark = docs.sparkSession
     usable = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -243,7 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     total, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     prior = toxic / total if total else 0.0
     if not 0 < prior < 1:
-        return Model({}, np.zeros(1), float(prior))
+        return spark.sparkContext.broadcast(Model({}, np.zeros(1), float(prior))), None
 
     def count(batch: Iterable[tuple]) -> Iterator[tuple]:
         n: Counter = Counter()
@@ -269,35 +280,32 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield doc_id, terms.tobytes(), counts.tobytes(), y
 
     held = save(map_rows(rows, vectors, "doc_id long, terms binary, counts binary, toxic int"), "vectors")
-    model.learn([tuple(r) for r in held.orderBy("doc_id").collect()])
-    model.memo.clear()
+    rows = held.orderBy("doc_id").toArrow()
+    model.learn(list(zip(*(rows.column(c).to_pylist() for c in held.columns), strict=True)))
+    shared.destroy()
     known = spark.sparkContext.broadcast(model)
+    del model, rows, each
+    trim()
 
     def votes(batch: Iterable[tuple]) -> Iterator[tuple]:
         """Each example's vote without itself."""
         m = known.value
-        place = {e: i for i, e in enumerate(m.index.example)}
-        for _, terms, counts, y in batch:
-            own = place[m.place[terms, counts]]
+        for doc_id, terms, counts, y in batch:
+            own = m.own[doc_id]
             near = m.index.nearest(*m.vector(np.frombuffer(terms, "<i4"), np.frombuffer(counts, "<i4")), NEAREST, own)
             yield m.vote(*near, own, y), y
 
-    model.steps = isotonic([(r["vote"], r["toxic"], 1) for r in map_rows(held, votes, "vote double, toxic int").collect()])
-    model.place = {}
-    for b in (shared, known):
-        b.unpersist()
-    return model
+    return known, isotonic([(r["vote"], r["toxic"], 1) for r in map_rows(held, votes, "vote double, toxic int").collect()])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """labels: doc_id, toxic; rows of the held-out fold are left out here."""
-    model = fit(docs, labels.filter(fold(F.col("doc_id")) != 0), sample)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, steps = fit(docs, labels.filter(fold(F.col("doc_id")) != 0), sample)
 
     def run(rows: Iterable[tuple]) -> Iterator[tuple]:
         rows = iter(rows)
         while some := list(islice(rows, 256)):
-            for (doc_id, held_out, _), (p, near, similarity) in zip(some, shared.value.scores([r[2] for r in some]), strict=True):
+            for (doc_id, held_out, _), (p, near, similarity) in zip(some, shared.value.scores([r[2] for r in some], steps), strict=True):
                 yield doc_id, held_out, p, int(p >= 0.5), near, similarity
 
     held = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out")
@@ -306,15 +314,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
 def kept(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs that are not predicted toxic, with all their columns."""
-    model = fit(docs, labels.filter(fold(F.col("doc_id")) != 0), sample)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, steps = fit(docs, labels.filter(fold(F.col("doc_id")) != 0), sample)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 piece = b.slice(lo, 256)
-                yield piece.filter(pa.array([p < 0.5 for p, _, _ in shared.value.scores(piece.column(at).to_pylist())], pa.bool_()))
+                yield piece.filter(pa.array([p < 0.5 for p, _, _ in shared.value.scores(piece.column(at).to_pylist(), steps)], pa.bool_()))
 
     return docs.mapInArrow(tidied(run), docs.schema)
 
