@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import join_small, release, save, table, tidied
+from .common import join_small, release, save, table, tidied, trim
 from .components import components, extended
 
 WORDS = 5
@@ -644,6 +644,8 @@ def whole_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
         lo = (r["bucket"] - 1) * len(r["map"])
         bits[lo : lo + len(r["map"])] = np.frombuffer(r["map"], np.uint8)[: len(bits) - lo]
     shared = docs.sparkSession.sparkContext.broadcast(bits)
+    del bits
+    trim()
     schema = pa.schema([("rep", pa.int64()), ("fp", pa.int64()), ("set", pa.binary()), ("signature", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -658,11 +660,14 @@ def whole_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
 
     found = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")).withColumn("at", at)
     found = found.mapInArrow(tidied(run), "rep long, fp long, set binary, signature binary")
-    named = join_small(found, needed.filter("rep is not null"), ["rep", "fp"], "inner").select("fp", "set", "signature")
+    sets = join_small(found, needed.filter("rep is not null"), ["rep", "fp"], "inner").select("fp", "set", "signature")
     nameless = needed.filter("rep is null").select("fp")
-    if not nameless.limit(1).count():
-        return named.dropDuplicates(["fp"])
-    return named.unionByName(join_small(found.filter("rep is null"), nameless, ["fp"], "inner").select("fp", "set", "signature")).dropDuplicates(["fp"])
+    if nameless.limit(1).count():
+        sets = sets.unionByName(join_small(found.filter("rep is null"), nameless, ["fp"], "inner").select("fp", "set", "signature"))
+    out = save(sets.dropDuplicates(["fp"]), "sets")
+    shared.destroy()
+    trim()
+    return out
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -687,7 +692,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 #: Further leaders that lists get before what is left is compared pair by pair.
-SALTS = (1, 2, 3)
+SALTS = (1,)
 
 
 def joined(docs: DataFrame, hot_from: int = HOT_FROM) -> DataFrame:
@@ -700,13 +705,15 @@ def joined(docs: DataFrame, hot_from: int = HOT_FROM) -> DataFrame:
     counted = save(count(seen.filter("part is not null").select("part", "hashes", "counts"), part_bits), "counted")
     release(seen)  # the blocks of hashes, its bulk, are counted
     order = spark.sparkContext.broadcast(order_of(counted, part_bits))
+    trim()
     found = save(stars(index(docs, order, part_bits, hot_from)), "stars")
+    order.destroy()  # what it gave is written
 
     pairs = save(found.filter("a is not null").select("a", "b").dropDuplicates(), "pairs")
     lists = found.filter("grp is not null").select(*LIST)
     involved = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).union(members(lists).select("node")).dropDuplicates()
     needed = save(classes.join(involved, "fp"), "needed")
-    sets = save(whole_sets(docs, needed), "sets")
+    sets = whole_sets(docs, needed)
 
     labels = components(save(verified(pairs, sets), "links"))
 
