@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,50 +58,6 @@ def queue_order(priority: Column, status: Column, updated: Column, key: Column)
     return [rank_of(priority, ("high", "medium", "low")).desc(), rank_of(status, ("pending", "in_review", "done", "skipped")).desc(), updated.desc(), key.desc()]
 
 
-def similar_titles(df: DataFrame, key: str, title_key: str, url_key: str, ordinal: str, block: Column, ratio: float = 0.92, least: int = 24) -> DataFrame:
-    """Greedy leader clustering in order: a row joins the group of its url; else the first group whose leader has the same title or, with the same numbers, a ratio of at least `ratio`; else it leads a new one.
-
-    Depends on order, so a block is one sequence. block: what similar titles must share; equal urls must
-    share it too. Blocks should be narrow, such as the numbers in a title with its language.
-    """
-    schema = f"{key} long, leader long"
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        from difflib import SequenceMatcher
-        import re
-
-        rows = rows.sort_values("_o")
-        by_url: dict[str, int] = {}
-        by_title: dict[str, int] = {}
-        leaders: list[tuple[int, str, tuple]] = []
-        out = []
-        for k, t, u in rows[["_k", "_t", "_u"]].itertuples(index=False):
-            t = t or ""
-            at = by_url.get(u) if u else None
-            if at is None and len(t) >= least:
-                at = by_title.get(t)
-                numbers = tuple(re.findall(r"\d+", t))
-                if at is None:
-                    for leader, other, other_numbers in leaders:
-                        if numbers == other_numbers and 2 * min(len(t), len(other)) >= ratio * (len(t) + len(other)):
-                            m = SequenceMatcher(None, other, t)
-                            if m.quick_ratio() >= ratio and m.ratio() >= ratio:
-                                at = leader
-                                break
-            if at is None:
-                at = k
-                if len(t) >= least:
-                    leaders.append((k, t, tuple(re.findall(r"\d+", t))))
-                    by_title.setdefault(t, k)
-            if u:
-                by_url.setdefault(u, at)
-            out.append((k, at))
-        return pd.DataFrame(out, columns=[key, "leader"])
-
-    named = df.select(F.col(key).alias("_k"), F.col(title_key).alias("_t"), F.col(url_key).alias("_u"), F.col(ordinal).alias("_o"), block.alias("_b"))
-    return named.groupBy("_b").applyInPandas(run, schema)
-
-
 def read_filters(url: Column, title: Column, base_host: Column, deny: list[str], stop_titles: list[str]) -> Column:
     """Why a listing's link is dropped, null if it is kept."""
     from ..functions.urls import document_type, host

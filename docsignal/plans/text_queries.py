@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, rules, text
-from ..operators import aggregates, caps, filters, joins, latest, monitor
+from ..operators import aggregates, caps, filters, joins, latest, monitor, titles
 from .registry import query
 
 #: Neutral vocabularies for the invented prose of the driver's tables.
@@ -171,10 +171,9 @@ def deadline_classes(t, spark):
 
 @query(None)
 def similar_titles(t, spark):
-    """Greedy clustering of first lines by similarity; blocked by language and first word."""
-    d = t("documents").select("doc_id", text.key_of(F.substring(F.regexp_extract("text", r"^[^\n]*", 0), 1, 200)).alias("title"), "lang")
-    block = F.concat_ws("|", "lang", F.substring("title", 1, 12))
-    return monitor.similar_titles(d, "doc_id", "title", "title", "doc_id", block)
+    """Greedy grouping of whole first lines by similarity. Documents have no url."""
+    d = t("documents").select("doc_id", text.key_of(F.regexp_extract("text", r"^[^\n]*", 0)).alias("title"))
+    return titles.similar_titles(d, "doc_id", "title", None, "doc_id")
 
 
 @query(None)

@@ -3,10 +3,11 @@ import difflib
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from docsignal import schema
-from docsignal.operators import caps, filters, joins, latest, monitor, state
+from docsignal.operators import caps, filters, joins, latest, monitor, state, titles
 from docsignal.plans import report
 
 T = dt.datetime
@@ -59,30 +60,49 @@ def test_new_items(spark):
     assert sorted(r.id for r in joins.new_items(items, stored, "url", "h", "id").collect()) == [3, 6]
 
 
-def test_similar_titles_is_greedy(spark):
-    rng = random.Random(4)
-    base = ["order of the ministry on support for dairy farms no 12", "rules for grants to family farms and small producers", "list of measures for the export of grain in 2024"]
-    rows = []
-    for i in range(60):
-        t = list(rng.choice(base))
-        for _ in range(rng.choice([0, 0, 1, 2, 6])):
-            t[rng.randrange(len(t))] = rng.choice("abcdefgh ")
-        rows.append((i, "".join(t), f"u{rng.randint(0, 50)}"))
+def greedy_titles(rows):
     leaders, by_url, want = [], {}, {}
     for i, t, u in rows:
-        at = by_url.get(u)
-        if at is None:
-            at = next((k for k, o in leaders if o == t), None)
-        if at is None:
-            at = next((k for k, o in leaders if re.findall(r"\d+", o) == re.findall(r"\d+", t) and difflib.SequenceMatcher(None, o, t).ratio() >= 0.92), None)
+        t = t or ""
+        at = by_url.get(u) if u else None
+        if at is None and len(t) >= 24:
+            for k, o in leaders:
+                if len(o) >= 24 and (o == t or re.findall(r"\d+", o) == re.findall(r"\d+", t) and difflib.SequenceMatcher(None, t, o).ratio() >= 0.92):
+                    at = k
+                    break
         if at is None:
             at = i
             leaders.append((i, t))
-        by_url.setdefault(u, at)
+        if u:
+            by_url.setdefault(u, at)
         want[i] = at
+    return want
+
+
+@pytest.mark.parametrize("tile", [512, 3])
+@pytest.mark.parametrize("urls", [True, False])
+def test_similar_titles_is_greedy(spark, monkeypatch, tile, urls):
+    monkeypatch.setattr(titles, "TILE", tile)
+    rng = random.Random(4)
+    base = ["order of the ministry on support for dairy farms no 12", "rules for grants to family farms and small producers", "list of measures for the export of grain in 2024", "x" * 23, "", "long line " * 40]
+    rows = []
+    for i in range(90):
+        t = list(rng.choice(base))
+        for _ in range(rng.choice([0, 0, 1, 2, 4, 6]) if t else 0):
+            x, c = rng.randrange(len(t)), rng.choice("abcdefgh ")
+            t[x : x + rng.randint(0, 1)] = [c]  # put in, or in another's place
+        rows.append((i, rng.choice(["", "", "a "]) + "".join(t) if i % 29 else None, rng.choice([f"u{rng.randint(0, 50)}", "", None])))
     df = spark.createDataFrame(rows, "id long, t string, u string")
-    got = {r.id: r.leader for r in monitor.similar_titles(df, "id", "t", "u", "id", F.lit("one")).collect()}
-    assert got == want
+    got = {r.id: r.leader for r in titles.similar_titles(df, "id", "t", "u" if urls else None, "id").collect()}
+    assert got == greedy_titles([(i, t, u if urls else None) for i, t, u in rows])
+
+
+def test_similar_titles_of_no_and_of_repeated_rows(spark):
+    none = spark.createDataFrame([], "id long, t string, u string")
+    assert titles.similar_titles(none, "id", "t", "u", "id").collect() == []
+    rows = [(1, "a title that is long enough for it", "u")] * 3 + [(2, "a title that is long enough for it", None)] * 2
+    got = titles.similar_titles(spark.createDataFrame(rows, "id long, t string, u string"), "id", "t", "u", "id")
+    assert sorted((r.id, r.leader) for r in got.collect()) == [(1, 1)] * 3 + [(2, 1)] * 2
 
 
 def test_hashes(spark):
