@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -90,6 +91,27 @@ def merged(old: Column, new: Column) -> Column:
     return F.when(F.contains(a, b), old).when(F.contains(b, a), new).otherwise(both)
 
 
+def merged_similar(first: Column, second: Column, ratio: float = 0.82) -> Column:
+    """Of two texts the one that holds the other, whatever its case; of similar ones the longer, the first if equally long; else both.
+
+    Blank and null texts give way; if both are blank the result is empty. Similarity is worked out, in
+    Arrow batches, only for rows that the expressions before it leave open.
+    """
+    @F.pandas_udf("boolean")
+    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
+        from difflib import SequenceMatcher
+
+        return pd.Series([x is not None and y is not None and SequenceMatcher(None, x, y).ratio() >= ratio for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    one, two = (squash(F.coalesce(c, F.lit(""))) for c in (first, second))
+    a, b = F.lower(one), F.lower(two)
+    # an empty text is held by any
+    held = F.when(F.contains(a, b), one).when(F.contains(b, a), two)
+    alike = similar(F.when(held.isNull(), a), F.when(held.isNull(), b))
+    longer = F.when(F.length(one) >= F.length(two), one).otherwise(two)
+    return F.coalesce(held, F.when(alike, longer).otherwise(F.concat_ws(" ", one, two)))
+
+
 def title_of(raw: Column, body: Column, generic: list[str], most: int = 200) -> Column:
     """A title unless it is blank or generic, else the first line of the body with 20 characters or more."""
     line = F.try_element_at(F.filter(F.transform(F.split(body, r"\r?\n"), squash), lambda x: F.length(x) >= 20), F.lit(1))

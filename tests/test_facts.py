@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from docsignal.functions import facts
+from docsignal.functions import facts, noise
 from docsignal.sources import html_dates
 
 D = dt.date
@@ -63,3 +63,24 @@ def test_text_choices(spark):
     s = F.struct(t.alias("status"), F.lit("x" * 50).alias("summary"))
     assert value(spark, facts.hardened(s, {"status": (("open", "closed"), "unknown")}), "odd").status == "unknown"
     assert value(spark, facts.weak_reason(s, "summary"), "a") is None
+
+
+def test_similar_texts_merge(spark):
+    rows = [("One  two", "one two"), ("one", "ONE two"), ("one two", "One"), ("support for dairy farms", "support of dairy farms!"), ("farms", "grain export"), (None, " x "), ("x", ""), (None, None)]
+    got = [r.m for r in spark.createDataFrame(rows, "a string, b string").select(facts.merged_similar(F.col("a"), F.col("b")).alias("m")).collect()]
+    assert got == ["One two", "ONE two", "one two", "support for dairy farms", "farms grain export", "x", "x", ""]
+
+
+def test_debris_of_recognition(spark):
+    t = F.col("t")
+    heading = "ПРАВИТЕЛЬСТВО КРАСНОДАРСКОГО КРАЯ ПОСТАНОВЛЕНИЕ"
+    assert value(spark, noise.act_heading(t), heading) and not value(spark, noise.act_heading(t), heading.lower())
+    assert not value(spark, noise.act_heading(t), None) and not value(spark, noise.act_heading(t), "ВАЖНЫЕ НОВОСТИ СЕГОДНЯ ДЛЯ ВСЕХ")
+    assert value(spark, noise.scanned(t), heading + " ©") and not value(spark, noise.scanned(t), heading)
+    assert value(spark, noise.scanned(t), "text cid: 12") and not value(spark, noise.scanned(t), "")
+    assert value(spark, noise.joined_capitals(t), "край П О С Т А Н О В Л Е Н И Е от и П Р И К А З.") == "край ПОСТАНОВЛЕНИЕ от и ПРИКАЗ."
+    assert value(spark, noise.joined_capitals(t), "А Б В нет") == "А Б В нет"
+    assert value(spark, noise.without_debris(t), "4ОТО ZB G4QX 2-78, Субсидия выдана") == "Субсидия выдана"
+    assert value(spark, noise.without_debris(t), "АПК: субсидия выдана") == "АПК: субсидия выдана"
+    assert value(spark, noise.without_debris(t), "ПРИКАЗ № 5 О мерах") == "О мерах"
+    assert value(spark, noise.without_debris(t), None) is None
