@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Names of months, English and Russian (as a date or by itself), in calendar order: fixed values.
-MONTHS = (
-    ("jan(?:uary)?", "январ[ьяЬЯ]"), ("feb(?:ruary)?", "феврал[ьяЬЯ]"), ("mar(?:ch)?", "марта?"), ("apr(?:il)?", "апрел[ьяЬЯ]"), ("may", "ма[йяЙЯ]"), ("june?", "июн[ьяЬЯ]"),
-    ("july?", "июл[ьяЬЯ]"), ("aug(?:ust)?", "августа?"), ("sep(?:t|tember)?", "сентябр[ьяЬЯ]"), ("oct(?:ober)?", "октябр[ьяЬЯ]"), ("nov(?:ember)?", "ноябр[ьяЬЯ]"), ("dec(?:ember)?", "декабр[ьяЬЯ]"),
-)
+#: Names of months in calendar order, as dates spell them: fixed values.
+ENGLISH = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+RUSSIAN = ("января", "февраля", "марта", "апреля", "мая", "июня", "июля", "августа", "сентября", "октября", "ноября", "декабря")
+RUSSIAN_ALONE = ("январь", "февраль", "март", "апрель", "май", "июнь", "июль", "август", "сентябрь", "октябрь", "ноябрь", "декабрь")
+#: English short forms are the first three letters, and sept.
+MONTHS = tuple("|".join((e, *(("sept",) if e == "september" else ()), e[:3], r, a)) for e, r, a in zip(ENGLISH, RUSSIAN, RUSSIAN_ALONE, strict=True))
 ISO = r"(?<!\d)(\d{4})-(\d{2})-(\d{2})(?!\d)"
 DMY = r"(?<!\d)(\d{1,2})[./](\d{1,2})[./](\d{4})(?!\d)"
-WORDY = r"(?iu)(?<!\d)(\d{1,2})\s+(" + "|".join(f"{a}|{b}" for a, b in MONTHS) + r")\s+(\d{4})(?!\d)"
+WORDY = r"(?iu)(?<!\d)(\d{1,2})\s+(" + "|".join(MONTHS) + r")\s+(\d{4})(?!\d)"
 ANY = rf"(?iu){ISO}|{DMY}|{WORDY[5:]}"
 
 
@@ -22,8 +23,8 @@ def _date(y: Column, m: Column, d: Column) -> Column:
 
 def _month(word: Column) -> Column:
     out = None
-    for i, (a, b) in enumerate(MONTHS, 1):
-        hit = word.rlike(rf"(?iu)^(?:{a}|{b})$")
+    for i, names in enumerate(MONTHS, 1):
+        hit = word.rlike(rf"(?iu)^(?:{names})$")
         out = F.when(hit, str(i)) if out is None else out.when(hit, str(i))
     return out
 

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from docsignal.functions import facts, noise
+from docsignal.functions import facts, shape
 from docsignal.sources import html_dates
 
 D = dt.date
@@ -74,13 +74,14 @@ def test_similar_texts_merge(spark):
 def test_debris_of_recognition(spark):
     t = F.col("t")
     heading = "ПРАВИТЕЛЬСТВО КРАСНОДАРСКОГО КРАЯ ПОСТАНОВЛЕНИЕ"
-    assert value(spark, noise.act_heading(t), heading) and not value(spark, noise.act_heading(t), heading.lower())
-    assert not value(spark, noise.act_heading(t), None) and not value(spark, noise.act_heading(t), "ВАЖНЫЕ НОВОСТИ СЕГОДНЯ ДЛЯ ВСЕХ")
-    assert value(spark, noise.scanned(t), heading + " ©") and not value(spark, noise.scanned(t), heading)
-    assert value(spark, noise.scanned(t), "text cid: 12") and not value(spark, noise.scanned(t), "")
-    assert value(spark, noise.joined_capitals(t), "край П О С Т А Н О В Л Е Н И Е от и П Р И К А З.") == "край ПОСТАНОВЛЕНИЕ от и ПРИКАЗ."
-    assert value(spark, noise.joined_capitals(t), "А Б В нет") == "А Б В нет"
-    assert value(spark, noise.without_debris(t), "4ОТО ZB G4QX 2-78, Субсидия выдана") == "Субсидия выдана"
-    assert value(spark, noise.without_debris(t), "АПК: субсидия выдана") == "АПК: субсидия выдана"
-    assert value(spark, noise.without_debris(t), "ПРИКАЗ № 5 О мерах") == "О мерах"
-    assert value(spark, noise.without_debris(t), None) is None
+    assert value(spark, shape.stamped_heading(t), heading) and not value(spark, shape.stamped_heading(t), heading.lower())
+    assert not value(spark, shape.stamped_heading(t), None) and not value(spark, shape.stamped_heading(t), "ВАЖНЫЕ НОВОСТИ СЕГОДНЯ ДЛЯ ВСЕХ")
+    assert value(spark, shape.debris(t), heading + " ©") and not value(spark, shape.debris(t), heading)
+    assert value(spark, shape.debris(t), "text cid: 12") and not value(spark, shape.debris(t), "")
+    assert value(spark, shape.debris(t), "а бв г де ж зи к лм н оп р") and not value(spark, shape.debris(t), "обычный текст о порядке выдачи")
+    assert value(spark, shape.joined_capitals(t), "край П О С Т А Н О В Л Е Н И Е от и П Р И К А З.") == "край ПОСТАНОВЛЕНИЕ от и ПРИКАЗ."
+    assert value(spark, shape.joined_capitals(t), "А Б В нет") == "А Б В нет" and value(spark, shape.joined_capitals(t), None) is None
+    assert value(spark, shape.without_debris(t), "4ОТО ZB G4QX 2-78, Субсидия выдана") == "Субсидия выдана"
+    assert value(spark, shape.without_debris(t), "АПК: субсидия выдана") == "АПК: субсидия выдана"
+    assert value(spark, shape.without_debris(t), "ПРИКАЗ № 5 О мерах") == "О мерах"
+    assert value(spark, shape.without_debris(t), None) is None
