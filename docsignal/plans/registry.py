@@ -26,4 +26,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from . import demo, event_queries, health_queries, page_queries, text_queries  # noqa: E402, F401
+from . import demo, event_queries, health_queries, page_queries, rule_queries, text_queries  # noqa: E402, F401
