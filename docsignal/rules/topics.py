@@ -94,7 +94,7 @@ def with_topic(df: DataFrame, *parts: Column, known: Sequence[TopicFamily] | Non
     marks = markers_of(known)
     df = df.withColumn("seen_", marks.scan(text=F.concat(F.lit(" "), ontology_text(*parts), F.lit(" "))))
     at = "seen_.text"
-    bare = lambda ms: F.transform(marks.which(at, list(dict.fromkeys(ms))), F.trim)
+    bare = lambda ms: F.transform(marks.which(at, list(dict.fromkeys(ms))), lambda m: F.trim(m))
     out = None
     for f, markers, sure, holds in branches(known, lambda ms: marks.any(at, ms), lambda ms: marks.all(at, ms)):
         found = F.struct(F.lit(f.name).alias("family"), F.lit(f.label).alias("label"), bare(markers).alias("hits"), F.lit(sure).alias("confidence"), F.lit(f.risk).alias("risk"))
