@@ -8,7 +8,10 @@ similarity reaches 0.8; the result gives each document the smallest doc_id that
    (at most FREQUENT of them) and a bit map of those that occur more than once, both of fixed size, go
    to all tasks. They set the global order, rare before frequent; any order gives the same result.
 3. Index. With overlap o needed, two similar sets share a shingle among the first n - o + 1 of either
-   (prefix). Rare shingles of that prefix are indexed singly. If the first shared shingle is frequent,
+   (prefix). A set needs an overlap of 4/5 of its size with any similar set, but of 8/9 with one of its size
+   or larger: the smaller of a pair brings its short prefix, the larger its long one. So every entry says
+   whether it is of the short prefix, and a list makes only pairs whose smaller member has such an entry;
+   sets that miss the similarity by their own rare shingles never meet. Rare shingles are indexed singly. If the first shared shingle is frequent,
    all shared ones are; then the prefix is extended by g to share g + 1 of them, of which two must lie
    in one of g hash classes, so that pairs inside a class (2-combinations) are indexed. g grows with
    the tier of sizes. A set of a tier meets only sets of the tier.
@@ -93,6 +96,11 @@ def overlap(n: int) -> int:
     return -(-NUM * n // DEN)
 
 
+def overlap_upward(n: int) -> int:
+    """The least overlap of a set of n with any similar set of its size or larger."""
+    return -(-2 * NUM * n // (NUM + DEN))
+
+
 def tiers(n: int) -> list[tuple[int, int]]:
     """(tier, g) of a set of n. Two sets that may be similar share a tier; g + 1 is at most the overlap of each set in it."""
     out, j, upper, lower = [], 0, 32, 2
@@ -257,25 +265,29 @@ def order_of(counted: DataFrame, part_bits: int) -> Order:
 # -- 3: the index -------------------------------------------------------------------------------
 
 
-def keys(s: np.ndarray, order: Order, hot_from: int = HOT_FROM) -> tuple[np.ndarray, np.ndarray]:
-    """The index keys of a set, and over how many lists each is spread: the rarer shingle of a combination bounds the list."""
+def keys(s: np.ndarray, order: Order, hot_from: int = HOT_FROM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The index keys of a set, over how many lists each is spread (the rarer shingle of a combination bounds the list), and which are of the short prefix."""
     n = len(s)
     if n < 2:  # a set of one is similar only to equal sets, which are one class
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
     known = order.classes(s)
     at = np.lexsort((s, known))
     s, known = s[at], known[at]
-    prefix = n - overlap(n) + 1
-    single = s[:prefix][known[:prefix] < COMBINE_FROM]
-    out = [mix(single[order.repeated(single)] + np.uint64(1))]
-    spread = [np.ones(len(out[0]), np.int64)]
+    prefix, least = n - overlap(n) + 1, n - overlap_upward(n) + 1
     first_frequent = int(np.searchsorted(known, COMBINE_FROM))
+    rare = min(prefix, first_frequent)
+    again = order.repeated(s[:rare])
+    out = [mix(s[:rare][again] + np.uint64(1))]
+    spread = [np.ones(len(out[0]), np.int64)]
+    short = [np.arange(rare)[again] < least]
     if first_frequent < prefix:
         for tier, g in tiers(n):
             f, c = s[first_frequent : prefix + g], known[first_frequent : prefix + g]
             which = mix(f) % np.uint64(g)
             at = np.argsort(which, kind="stable")
             f, which, c = f[at], which[at], c[at]
+            # if the first shared shingle can be frequent at all
+            inside = (at + first_frequent < least + g) & (first_frequent < least)
             for step in range(1, len(f)):
                 same = which[:-step] == which[step:]
                 if not same.any():
@@ -283,8 +295,14 @@ def keys(s: np.ndarray, order: Order, hot_from: int = HOT_FROM) -> tuple[np.ndar
                 # the global order inside a class makes (first, second) the same for both sets
                 out.append(mix(mix(f[:-step][same] + np.uint64(tier + 2)) * ODD[1] + f[step:][same]))
                 spread.append(1 << np.maximum(0, c[:-step][same] - hot_from))
-    k, at = np.unique(np.concatenate(out), return_index=True)
-    return k, np.concatenate(spread)[at]
+                short.append((inside[:-step] & inside[step:])[same])
+    # of a key that comes twice the entry of the short prefix stays
+    k, first = np.concatenate(out), ~np.concatenate(short)
+    at = np.lexsort((first, k))
+    new = np.ones(len(at), bool)
+    new[1:] = k[at][1:] != k[at][:-1]
+    at = at[new]
+    return k[at], np.concatenate(spread)[at], ~first[at]
 
 
 ENTRIES = pa.schema([("grp", pa.int64()), ("key", pa.int64()), ("sub", pa.int32()), ("keys", pa.binary()), ("fps", pa.binary()), ("ns", pa.binary())])
@@ -292,22 +310,19 @@ ENTRIES_SQL = "grp long, key long, sub int, keys binary, fps binary, ns binary"
 
 
 def index(docs: DataFrame, order, part_bits: int, hot_from: int = HOT_FROM) -> DataFrame:
-    """Blocks of (key, fp, n), dealt to groups by the key's first bits. order: a broadcast Order.
+    """Blocks of (key, fp, n), dealt to groups by the key's first bits; n is negative where the key is of the long prefix only. order: a broadcast Order.
 
     A key whose list may be long is spread over groups of its own (columns key and sub), by fp.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        held: list[tuple[np.ndarray, np.ndarray, int, int]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            k = np.concatenate([x for x, _, _, _ in held])
-            spread = np.concatenate([x for _, x, _, _ in held])
-            each = [len(x) for x, _, _, _ in held]
-            fp = np.repeat(np.array([x for _, _, x, _ in held], np.int64), each)
-            n = np.repeat(np.array([x for _, _, _, x in held], np.int32), each)
+            k, spread, n = (np.concatenate([x[i] for x in held]) for i in range(3))
+            fp = np.repeat(np.array([x[3] for x in held], np.int64), [len(x[0]) for x in held])
             held.clear()
             rows = []
             hot = spread > 1
@@ -331,9 +346,9 @@ def index(docs: DataFrame, order, part_bits: int, hot_from: int = HOT_FROM) -> D
             if len(s) < 2 or (fp := fingerprint(s)) in seen:
                 continue
             seen.add(fp)
-            k, spread = keys(s, order.value, hot_from)
+            k, spread, short = keys(s, order.value, hot_from)
             if len(k):
-                held.append((k, spread, fp, len(s)))
+                held.append((k, spread, np.where(short, len(s), -len(s)).astype(np.int32), fp))
                 size += len(k)
             if size >= max(500_000, 32 << part_bits):
                 yield flush()
@@ -368,16 +383,23 @@ def folded(signatures: list[bytes]) -> np.ndarray:
 
 
 def similar_sizes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of signed sizes."""
+    a, b = np.abs(a), np.abs(b)
     return DEN * np.minimum(a, b) >= NUM * np.maximum(a, b)
 
 
+def may_meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sizes are similar and the smaller member's entry is of its short prefix (positive)."""
+    return similar_sizes(a, b) & ((a > 0) & (a <= np.abs(b)) | (b > 0) & (b <= np.abs(a)))
+
+
 CANDIDATES = pa.schema([("a", pa.int64()), ("b", pa.int64()), *ENTRIES])
 CANDIDATES_SQL = f"a long, b long, {ENTRIES_SQL}"
 LIST = ("grp", "key", "sub", "keys", "fps", "ns")
 
 
 def _lists(t: pa.Table, least: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A group's entries, without repeats, in order of key and fp, and the lists' starts; lists of fewer than `least` are left out."""
+    """A group's entries, without repeats, in order of key and fp, and the lists' starts; lists of fewer than `least`, and with least > 1 those without a short prefix, are left out."""
     k = np.concatenate([np.frombuffer(x, "<u8") for x in t.column("keys").to_pylist()])
     fp = np.concatenate([np.frombuffer(x, "<i8") for x in t.column("fps").to_pylist()])
     n = np.concatenate([np.frombuffer(x, "<i4") for x in t.column("ns").to_pylist()])
@@ -389,8 +411,11 @@ def _lists(t: pa.Table, least: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndar
     first = np.ones(len(k), bool)
     first[1:] = k[1:] != k[:-1]
     size = np.diff(np.append(np.flatnonzero(first), len(k)))
-    keep = np.repeat(size >= least, size)
-    size = size[size >= least]
+    good = size >= least
+    if least > 1 and len(k):
+        good &= np.maximum.reduceat(n, np.flatnonzero(first)) > 0
+    keep = np.repeat(good, size)
+    size = size[good]
     return k[keep], fp[keep], n[keep], np.cumsum(size) - size
 
 
@@ -430,8 +455,8 @@ def stars(entries: DataFrame) -> DataFrame:
         if not len(k):
             return CANDIDATES.empty_table()
         size = np.diff(np.append(start, len(k)))
-        lead = np.repeat(leaders(k, fp, start, 0), size)
-        good = (fp[lead] != fp) & similar_sizes(n[lead], n)
+        lead = np.repeat(leaders(k, fp, start, 0, n > 0), size)
+        good = (fp[lead] != fp) & may_meet(n[lead], n)
         out = [_told(distinct_pairs(fp[lead][good], fp[good]))]
         big = np.repeat(size > 2, size) | (key is not None)
         if big.any():
@@ -506,7 +531,7 @@ def across(lists: DataFrame, labels: DataFrame, salt: int) -> DataFrame:
             start = np.cumsum(size) - size
             main = main_component(comp, start)
             lead = np.repeat(leaders(k, fp, start, salt, main), size)
-            good = ~main & similar_sizes(n[lead], n)
+            good = ~main & may_meet(n[lead], n)
             out.append(_told(distinct_pairs(fp[lead][good], fp[good])))
         return pa.concat_tables(out) if out else CANDIDATES.empty_table()
 
@@ -543,20 +568,22 @@ def remaining(parts: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame
     Bits that differ between two bit maps are at most the shingles that differ between the sets, so
     that the signatures bound the overlap from above and no similar pair is left out.
     """
-    spec = pa.schema([("unit", pa.int64()), ("node", pa.int64()), ("own", pa.binary())])
+    spec = pa.schema([("unit", pa.int64()), ("node", pa.int64()), ("own", pa.binary()), ("short", pa.binary())])
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for unit, ks, fps in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                k, fp = np.frombuffer(ks, "<u8"), np.frombuffer(fps, "<i8")
+            for unit, ks, fps, ns in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                k, fp, n = np.frombuffer(ks, "<u8"), np.frombuffer(fps, "<i8"), np.frombuffer(ns, "<i4")
                 at = np.lexsort((k, fp))
-                k, fp = k[at], fp[at]
+                k, fp, n = k[at], fp[at], n[at]
                 cuts = [0, *(np.flatnonzero(fp[1:] != fp[:-1]) + 1).tolist(), len(fp)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cuts) - 1, unit), pa.int64()), pa.array(fp[cuts[:-1]]), pa.array([k[lo:hi].tobytes() for lo, hi in zip(cuts, cuts[1:], strict=False)], pa.binary())], schema=spec)
+                each = [slice(lo, hi) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+                own, short = ([x.tobytes() for x in xs] for xs in ([k[c] for c in each], [k[c][n[c] > 0] for c in each]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cuts) - 1, unit), pa.int64()), pa.array(fp[cuts[:-1]]), pa.array(own, pa.binary()), pa.array(short, pa.binary())], schema=spec)
 
-    need = save(parts.select("unit", "keys", "fps").mapInArrow(tidied(told), "unit long, node long, own binary"), "need")
-    own = need.groupBy("node").agg(F.array_distinct(F.collect_list("own")).alias("own"))
-    known = own.join(sets.select(F.col("fp").alias("node"), "signature"), "node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "signature", "own")
+    need = save(parts.select("unit", "keys", "fps", "ns").mapInArrow(tidied(told), "unit long, node long, own binary, short binary"), "need")
+    own = need.groupBy("node").agg(*(F.array_distinct(F.collect_list(c)).alias(c) for c in ("own", "short")))
+    known = own.join(sets.select(F.col("fp").alias("node"), "signature"), "node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "signature", "own", "short")
     need = need.select("unit", "node").distinct().join(known, "node")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -567,7 +594,8 @@ def remaining(parts: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame
         tables = [_lists(left.filter(pc.equal(left.column("side"), s)), 1) for s in sides]
         node = right.column("node").to_pylist()
         maps = dict(zip(node, right.column("signature").to_pylist(), strict=True))
-        own = {x: np.unique(np.concatenate([np.frombuffer(y, "<u8") for y in ys])) for x, ys in zip(node, right.column("own").to_pylist(), strict=True)}
+        whole = lambda c: {x: np.unique(np.concatenate([np.frombuffer(y, "<u8") for y in ys])) for x, ys in zip(node, right.column(c).to_pylist(), strict=True)}
+        own, short = whole("own"), whole("short")
         found: list[np.ndarray] = []
         if len(tables) == 1:
             k, fp, n, start = tables[0]
@@ -577,11 +605,11 @@ def remaining(parts: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame
             mixed = np.maximum.reduceat(comp, start) != np.minimum.reduceat(comp, start)
             for lo, m in zip(start[mixed], size[mixed], strict=True):
                 at = slice(lo, lo + m)
-                found += compared(int(k[lo]), fp[at], n[at], comp[at], main[at], None, maps, own)
+                found += compared(int(k[lo]), fp[at], n[at], comp[at], main[at], None, maps, own, short)
         elif sides == [1, 2]:  # two groups of one key
             (k, fp, n, _), (_, fp2, n2, _) = tables
             comp, comp2 = labelled(fp, right), labelled(fp2, right)
-            found += compared(int(k[0]), fp, n, comp, np.zeros(len(fp), bool), (fp2, n2, comp2), maps, own)
+            found += compared(int(k[0]), fp, n, comp, np.zeros(len(fp), bool), (fp2, n2, comp2), maps, own, short)
         if not found:
             return schema.empty_table()
         got = np.concatenate(found)
@@ -590,8 +618,8 @@ def remaining(parts: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame
     return parts.groupBy("unit").cogroup(need.groupBy("unit")).applyInArrow(run, "a long, b long")
 
 
-def compared(key: int, fp: np.ndarray, n: np.ndarray, comp: np.ndarray, main: np.ndarray, others: tuple | None, maps: dict, own: dict) -> list[np.ndarray]:
-    """The pairs of a list, or of a list with others, that differ in component, may be similar and share no key less than this one."""
+def compared(key: int, fp: np.ndarray, n: np.ndarray, comp: np.ndarray, main: np.ndarray, others: tuple | None, maps: dict, own: dict, short: dict) -> list[np.ndarray]:
+    """The pairs of a list, or of a list with others, that differ in component, may be similar and meet under no key less than this one."""
     words = folded([maps[x] for x in fp.tolist()])
     fp2, n2, comp2 = others or (fp, n, comp)
     words2 = folded([maps[x] for x in fp2.tolist()]) if others else words
@@ -603,22 +631,32 @@ def compared(key: int, fp: np.ndarray, n: np.ndarray, comp: np.ndarray, main: np
     out = []
     for cut in range(0, len(rest), 256):
         i = rest[cut : cut + 256, None]
-        ok = (comp[i] != comp2[None, :]) & similar_sizes(n[i], n2[None, :])
+        ok = (comp[i] != comp2[None, :]) & may_meet(n[i], n2[None, :])
         if not others:  # pairs with the largest component, and among the others each once
             ok &= main[None, :] | (at2[None, :] > i)
         x, y = np.nonzero(ok)
         one = i[x, 0]
         differ = np.concatenate([np.bitwise_count(words[one[q : q + 20_000]] ^ words2[y[q : q + 20_000]]).sum(axis=1, dtype=np.int64) for q in range(0, len(x), 20_000)] or [np.zeros(0, np.int64)])
-        total = n[one].astype(np.int64) + n2[y]
+        size, size2 = np.abs(n[one].astype(np.int64)), np.abs(n2[y].astype(np.int64))
+        total = size + size2
         near = (NUM + DEN) * ((total - differ) // 2) >= NUM * total
-        pairs = [(a, b) for a, b in zip(fp[one[near]].tolist(), fp2[y[near]].tolist(), strict=True) if least_shared(own[a], own[b]) == key]
+        pairs = [(a, b) for a, b, m, m2 in zip(fp[one[near]].tolist(), fp2[y[near]].tolist(), size[near].tolist(), size2[near].tolist(), strict=True) if first_meeting(a, m, b, m2, own, short) == key]
         if pairs:
             out.append(np.array(pairs, np.int64))
     return out
 
 
+def first_meeting(a: int, n: int, b: int, m: int, own: dict, short: dict) -> int:
+    """The least key under which two sets of n and m meet: it is of the smaller one's short prefix."""
+    found = [least_shared(short[a], own[b])] if n <= m else []
+    found += [least_shared(short[b], own[a])] if m <= n else []
+    return min((x for x in found if x >= 0), default=-1)
+
+
 def least_shared(a: np.ndarray, b: np.ndarray) -> int:
-    """The least number in both of two sorted arrays that share one."""
+    """The least number in both of two sorted arrays, -1 if there is none."""
+    if not len(a) or not len(b):
+        return -1
     if len(a) > len(b):
         a, b = b, a
     for lo in range(0, len(a), 64):

@@ -195,6 +195,26 @@ def test_spread_lists_are_exact(spark, documents, hot_from):
     assert (jaccard_join.keys(jaccard_join.shingles(rows[0][1]), order, hot_from)[1] == 1 << (7 - hot_from)).all()
 
 
+@pytest.mark.parametrize("common", [False, True])
+def test_near_misses_do_not_meet(spark, documents, monkeypatch, common):
+    """Texts that share 26 of 30 shingles do not link, and the pairs that are looked at grow at most with their number."""
+    if common:
+        monkeypatch.setattr(jaccard_join, "COMBINE_FROM", 2)
+    seen = []
+    plain = jaccard_join.verified
+    monkeypatch.setattr(jaccard_join, "verified", lambda pairs, sets: (seen.append(pairs.count()), plain(pairs, sets))[1])
+    passage = " ".join(f"p{i}" for i in range(30))
+    counts = []
+    for n in (100, 300):
+        seen.clear()
+        rows = [(i, f"{passage} q{i} r{i} s{i} t{i}") for i in range(n)]
+        rows += [(1000 + i, f"{passage} q0 r0 s0 u{i}") for i in range(5)]  # these link with one of them
+        got = jaccard_join.jaccard_join(documents(rows)).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
+        counts.append(sum(seen))
+    assert counts[1] <= 3 * counts[0] + 30
+
+
 def test_rows_without_id_carry_links(spark, documents):
     words = [f"w{i}" for i in range(104)]
     middle, right = words[10:], words[20:]  # neighbours link, the ends do not
@@ -220,13 +240,17 @@ def test_combinations_are_exact(spark, documents, monkeypatch):
     rows = near_copies(random.Random(77), 12, 40)
     order = jaccard_join.Order(np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.full(1 << 24, 255, np.uint8), 6)
     order.classes = lambda s: np.full(len(s), 7)
-    keys = {i: set(jaccard_join.keys(jaccard_join.shingles(t), order)[0].tolist()) for i, t in rows}
+    keys, short = {}, {}
+    for i, t in rows:
+        k, _, of_short = jaccard_join.keys(jaccard_join.shingles(t), order)
+        keys[i], short[i] = set(k.tolist()), set(k[of_short].tolist())
     sets = {i: shingle_set(t) for i, t in rows}
     n = 0
     for a in sets:
         for b in range(a):
             if sets[a] != sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
-                assert keys[a] & keys[b]
+                small, large = sorted((a, b), key=lambda i: len(sets[i]))
+                assert short[small] & keys[large]
                 n += 1
     assert n > 100
 
