@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 #: Names of months in calendar order, as dates spell them: fixed values.
 ENGLISH = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 RUSSIAN = ("января", "февраля", "марта", "апреля", "мая", "июня", "июля", "августа", "сентября", "октября", "ноября", "декабря")
@@ -111,9 +113,48 @@ def date_from_url(url: Column) -> Column:
     return F.when(url.rlike(p), _date(part(1), part(2), part(3))).otherwise(parse_date(F.translate(F.regexp_extract(url, r"://[^/]*([^?#]*)", 1), "_", "-")))
 
 
-def infer_published(published: Column, url: Column, text: Column, lead: int = 180) -> Column:
-    """What is known, else the url's date, else a date in the lead of the text."""
-    return F.coalesce(published, date_from_url(url), parse_date(F.substring(text, 1, lead)))
+#: Sources whose leads open with a date, whose pages carry one after their menu, and whose acts carry one in their heading: fixed values.
+NEWS_SOURCES, GOVERNMENT, ADMINISTRATION = ("zol.ru", "regulation.gov.ru"), ("government.ru", "правительство рф"), ("admkrai.krasnodar.ru", "нормативные акты краснодарского края")
+GOVERNMENT_PAGE = r"(?i)^[^:/?#]+://government\.ru/(?:news|docs)/[0-9]+/?(?:#.*)?$"
+PUBLISHED_BY = r"(?:дата\s+публикации|дата\s+опубликования|опубликовано|опубликован|размещено|размещен|размещён)[:\s,]+(.{0,120})"
+ACT_OF = r"(?:п\s*р\s*и\s*к\s*а\s*з|постановлени[ея]|распоряжени[ея])\s*(?:№\s*[\w./-]+\s*)?(?:от\s*)?"
+UNREAD = "requires ocr extraction"
+#: How far from the start of a text a menu, a publication note and the heading of an act may stand.
+MENU, NOTE, HEADING = 900, 1600, 700
+
+
+def flat(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
+
+
+def government_date(text: Column) -> Column:
+    """A page's date with a time of day behind it, after the menu."""
+    return let(F.regexp_extract(F.substring(flat(text), 1, MENU), WORDY.removesuffix(r"(?!\d)") + r"\s+\d{1,2}:\d{2}", 0), parse_date)
+
+
+def administration_date(text: Column) -> Column:
+    """The date near a note of publication, else that of the act in the heading; none for texts that are still to be recognised."""
+
+    def found(t: Column) -> Column:
+        notes = F.transform(F.regexp_extract_all(F.substring(t, 1, NOTE), F.lit("(?iuU)" + PUBLISHED_BY), F.lit(1)), parse_date)
+        heading = let(F.regexp_extract(F.substring(t, 1, HEADING), "(?iuU)" + ACT_OF + rf"({DMY}|{WORDY[5:]})", 1), parse_date)
+        return F.when(~F.contains(F.lower(t), F.lit(UNREAD)), F.coalesce(F.get(F.filter(notes, lambda d: d.isNotNull()), F.lit(0)), heading))
+
+    return let(flat(text), found)
+
+
+def infer_published(title: Column, text: Column, source: Column, url: Column) -> Column:
+    """When a document was published: by its kind of source first, then by its text, its title, and its address at last.
+
+    A government address that is no page of news or acts has no date.
+    """
+    key = F.lower(F.concat_ws(" ", F.coalesce(source, F.lit("")), F.coalesce(url, F.lit(""))))
+    of = lambda names: F.coalesce(key.rlike("|".join(n.replace(".", r"\.") for n in names)), F.lit(False))
+    news, government = of(NEWS_SOURCES), of(GOVERNMENT)
+    by_kind = F.coalesce(F.when(government, government_date(text)), F.when(of(ADMINISTRATION), administration_date(text)))
+    by_text = F.when(news, published_from_text(text, news=F.lit(True))).otherwise(published_from_text(text, leading=False))
+    found = F.coalesce(by_kind, by_text, published_from_text(title, leading=False), date_from_url(url))
+    return F.when(~government | F.coalesce(url.rlike(GOVERNMENT_PAGE), F.lit(False)), found)
 
 
 def event_ts(published: Column, collected: Column) -> Column:

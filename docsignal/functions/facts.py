@@ -9,44 +9,136 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import dates
-from .text import any_of, key_of, sentences, squash
+from .text import any_of, key_of, let, rx, sentences, squash
 
 
 @dataclass(frozen=True)
 class Marks:
-    """Markers of a language."""
+    """Marks of the rules' language: fixed values."""
 
-    deadline: tuple[str, ...] = ("until", "deadline", "applications", "срок", "прием заявок", "приём заявок", "до ")
-    not_deadline: tuple[str, ...] = ("order of", "dated", "приказ от", "постановление от")
-    closed: tuple[str, ...] = ("closed", "has ended", "завершен", "закрыт")
-    open: tuple[str, ...] = ("is open", "accepting applications", "открыт", "идет прием", "идёт приём")
-    inactive: tuple[str, ...] = ("not active", "не активн", "не действует")
-    active: tuple[str, ...] = ("active", "активн", "действует")
-    regular: tuple[str, ...] = ("all year", "no deadline", "постоянно", "круглогодично")
-    terms: tuple[str, ...] = ("percent", "per cent", "ставк", "процент", "million", "млн")
-    number: tuple[str, ...] = (r"(?:№|No\.?)\s*([0-9][0-9A-Za-zА-Яа-я/-]*)",)
+    #: what a deadline's sentence is about
+    deadline: tuple[str, ...] = (
+        "прием заявок", "приём заявок", "заявки принимаются", "подача заявок", "срок подачи", "конкурсный отбор", "отбор заявок", "прием документов", "приём документов",
+        "публичное обсуждение", "срок обсуждения", "конец обсуждения", "окончание обсуждения", "завершение обсуждения",
+    )
+    #: what says that applications are taken now
+    open: tuple[str, ...] = (
+        "прием открыт", "приём открыт", "прием заявок открыт", "приём заявок открыт", "идет прием заявок", "идёт прием заявок", "заявки принимаются", "объявлен конкурсный отбор",
+        "объявление о проведении конкурсного отбора", "возобновлен прием заявок", "возобновлён прием заявок",
+    )
+    closed: tuple[str, ...] = (
+        "прием завершен", "приём завершен", "прием окончен", "приём окончен", "отбор завершен", "прием заявок завершен", "приём заявок завершен", "заявки не принимаются",
+        "прием заявок приостановлен", "приём заявок приостановлен", "приостановить прием заявок",
+    )
+    #: words that a snippet begins with
+    lead: tuple[str, ...] = ("прием открыт", "приём открыт", "прием заявок открыт", "приём заявок открыт")
+    #: terms of loans and agreements, which are no deadlines
+    not_deadline: tuple[str, ...] = ("срок кредита", "срок займа", "срок действия соглашения", "до 12 месяцев", "до 5 лет")
+    programme: str = "до 2030 года"
+    programme_unless: tuple[str, ...] = ("прием", "подач", "обсужден")
+    #: (marks, points) of a sentence; and of the words before its date
+    points: tuple[tuple[tuple[str, ...], int], ...] = ((("срок подачи",), 4), (("прием заявок", "приём заявок"), 4), (("заявки принимаются",), 4))
+    until: tuple[tuple[str, int], ...] = (("до ", 3), ("по ", 2))
+    continued: str = "до "
+    inactive: tuple[str, ...] = ("не активная", "неактивная")
+    active: tuple[str, ...] = ("активная",)
+    regular: tuple[str, ...] = ("на регулярной основе",)
+    terms: tuple[str, ...] = ("срок кредита", "срок займа", "срок действия соглашения", "до 12 месяцев", "до 5 лет", "размер поддержки", "ставка:", "сумма:", "авансового платежа", "фактических понесенных затрат")
+    number: tuple[str, ...] = (r"\b\d{2}-\d{5}-\d{5}-[A-ZА-ЯЁ]\b", r"\bНПА\s*\d+[0-9A-ZА-Яа-я-]*\b", r"\bбывш\.\s*\d+\b")
 
 
 MARKS = Marks()
+#: Forms of a day in a deadline, and what stands around it.
+DAY = r"(?:\d{1,2}[./]\d{1,2}[./]\d{4}|\d{4}-\d{2}-\d{2}|\d{1,2}\s+(?:" + "|".join(dates.RUSSIAN + dates.RUSSIAN_ALONE) + r")\s+\d{4}(?:\s+г(?:ода|\.))?)"
+RANGE, UNTIL = rf"\bс\s+{DAY}\s+по\s+{DAY}", rf"\b(?:до|по)\s+{DAY}"
+ENDING = rf"(?:конец|окончание|завершение)\s+(?:публичного\s+)?обсуждени[яй]\s*[:\-]?\s*{DAY}"
+#: A snippet's longest, and how much of a sentence it takes before and after the date.
+SNIPPET, BEFORE, AFTER = 180, 40, 30
+EDGES = r"^[ ,.;:-]+|[ ,.;:-]+$"
+RISKS = (
+    ("inactive", True, "Срок найден в описании неактивной меры; не является текущим окном подачи."), ("inactive", False, "Мера помечена как неактивная."),
+    ("closed", True, "Срок найден в описании закрытой меры; не является текущим окном подачи."), ("closed", False, "Прием заявок или отбор завершены."), ("unknown", False, "Не найден явный статус приема заявок или срок."),
+)
+
+
+def shortened(c: Column, most: int = SNIPPET) -> Column:
+    """At most so many characters, dots instead of the rest."""
+    return F.when(F.length(c) <= most, c).otherwise(F.concat(F.regexp_replace(F.substring(c, 1, most - 3), "[ ,.;:-]+$", ""), F.lit("...")))
+
+
+def last_dated(s: Column) -> Column:
+    """The text of a sentence's last range, else `until`, else end of discussion, whose day is a calendar day; null if there is none."""
+
+    def last(pattern: str) -> Column:
+        found = F.transform(F.regexp_extract_all(s, F.lit(rx(pattern)), F.lit(0)), lambda m: F.struct(m.alias("m"), F.try_element_at(F.regexp_extract_all(m, F.lit(rx(DAY)), F.lit(0)), F.lit(-1)).alias("day")))
+        return F.try_element_at(F.filter(found, lambda x: dates.parse_date(x["day"]).isNotNull()), F.lit(-1))["m"]
+
+    return F.coalesce(last(RANGE), last(UNTIL), last(ENDING))
+
+
+def about_deadline(low: Column, marks: Marks = MARKS) -> Column:
+    """Whether lower-cased text speaks of applications or discussions."""
+    return F.coalesce(low.rlike("|".join(map(literal, (*marks.deadline, *marks.open)))), F.lit(False))
+
+
+def literal(marker: str) -> str:
+    return rf"\Q{marker}\E"
+
 
+def candidate(s: Column, marks: Marks = MARKS) -> Column:
+    """struct(points, snippet) of a sentence that may name the deadline, else null."""
+    holds = lambda c, ms: F.coalesce(c.rlike("|".join(map(literal, ms))), F.lit(False))
 
-def deadline_points(s: Column, marks: Marks) -> Column:
-    """How much a sentence looks like the one that names the deadline: a date 3, a marker 2, `until` before a date 2, a veto -4."""
-    dated = F.size(dates.all_dates(s)) > 0
-    before = s.rlike(r"(?iu)(?:until|till|by|до|по)\s+\d")
-    return F.when(dated, 3).otherwise(0) + F.when(any_of(s, list(marks.deadline)), 2).otherwise(0) + F.when(before, 2).otherwise(0) - F.when(any_of(s, list(marks.not_deadline)), 4).otherwise(0)
+    def judged(x: Column) -> Column:
+        low, dated = x["low"], x["dated"]
+        points = F.when(holds(low, marks.open), 5).otherwise(0)
+        for ms, n in marks.points:
+            points = points + F.when(holds(low, ms), n).otherwise(0)
+        for m, n in marks.until:
+            points = points + F.when(F.contains(F.lower(dated), F.lit(m)), n).otherwise(0)
+        # of equal texts the last stands where the reversed text comes first
+        at = F.length(low) - F.instr(F.reverse(low), F.reverse(F.lower(dated))) - F.length(dated) + 1
+        lead = F.regexp_instr(low, F.lit("|".join(map(literal, (*marks.deadline, *marks.lead))))) - 1
+        start = F.when(lead >= 0, lead).otherwise(F.greatest(at - BEFORE, F.lit(0)))
+        end = F.least(at + F.length(dated) + AFTER, F.length(low))
+        cut = F.regexp_replace(F.substr(x["s"], start + 1, F.greatest(end - start, F.lit(0))), EDGES, "")
+        return F.when(dated.isNotNull(), F.struct(points.alias("points"), let(cut, shortened).alias("snippet")))
 
+    def asked(x: Column) -> Column:
+        other = holds(x["low"], marks.not_deadline) | (F.contains(x["low"], F.lit(marks.programme)) & ~holds(x["low"], marks.programme_unless))
+        return F.struct(x["s"].alias("s"), x["low"].alias("low"), F.when(about_deadline(x["low"], marks) & ~other, last_dated(x["s"])).alias("dated"))
 
-def deadline_sentence(c: Column, marks: Marks = MARKS, most: int = 180) -> Column:
-    """The first sentence of the most points, at least 4, at most so many characters."""
-    scored = F.transform(sentences(c), lambda s, i: F.struct(deadline_points(s, marks).alias("p"), (-i).alias("i"), s.alias("s")))
-    best = F.array_max(F.filter(scored, lambda x: x["p"] >= 4))
-    return F.substring(best["s"], 1, most)
+    return let(F.struct(s.alias("s"), F.lower(s).alias("low")), lambda x: let(asked(x), judged))
 
 
-def application_status(c: Column, deadline: Column, as_of: Column, marks: Marks = MARKS) -> Column:
-    """closed marks beat dates; a past day is closed; open marks or a day to come open; then regular, unknown."""
-    return F.when(any_of(c, list(marks.closed)), "closed").when(deadline < as_of, "closed").when(any_of(c, list(marks.open)) | deadline.isNotNull(), "open").when(any_of(c, list(marks.regular)), "regular").otherwise("unknown")
+def deadline_sentence(c: Column, marks: Marks = MARKS) -> Column:
+    """The snippet of the sentence with the most points, the first of equals. A sentence that goes on with `until` and names none by itself counts with the one before."""
+
+    def pieces(parts: Column) -> Column:
+        before = lambda i: F.get(parts, i - 1)
+        goes_on = lambda s, i: (i > 0) & F.startswith(F.lower(s), F.lit(marks.continued)) & about_deadline(F.lower(before(i)), marks)
+        return F.transform(parts, lambda s, i: F.struct(i.alias("i"), F.array(s, F.when(goes_on(s, i), F.concat_ws(" ", before(i), s))).alias("ways")))
+
+    judged = F.transform(let(sentences(c), pieces), lambda x: F.struct(x["i"].alias("i"), F.get(F.array_compact(F.transform(x["ways"], lambda s: candidate(s, marks))), F.lit(0)).alias("found")))
+    best = F.array_max(F.transform(F.filter(judged, lambda x: x["found"].isNotNull()), lambda x: F.struct(x["found"]["points"].alias("points"), (-x["i"]).alias("i"), x["found"]["snippet"].alias("snippet"))))
+    return F.when(about_deadline(F.lower(c), marks), best["snippet"])
+
+
+def application_status(c: Column, deadline_text: Column, as_of: Column, marks: Marks = MARKS) -> Column:
+    """Closed marks beat dates; an inactive measure is regular or unknown; a past day is closed; open marks or a day to come open; then regular, unknown."""
+
+
+    def judged(day: Column) -> Column:
+        regular = F.when(any_of(c, list(marks.regular)) & deadline_text.isNull(), "regular").otherwise("unknown")
+        return (
+            F.when(any_of(c, list(marks.closed)), "closed")
+            .when(support_status(c, marks) == "inactive", regular)
+            .when(day < as_of, "closed")
+            .when(any_of(c, list(marks.open)) | day.isNotNull(), "open")
+            .otherwise(regular)
+        )
+
+    return let(dates.parse_deadline(deadline_text), judged)
 
 
 def support_status(c: Column, marks: Marks = MARKS) -> Column:
@@ -55,12 +147,21 @@ def support_status(c: Column, marks: Marks = MARKS) -> Column:
 
 
 def number(c: Column, marks: Marks = MARKS) -> Column:
-    """The first pattern that matches."""
-    return F.coalesce(*(F.nullif(F.regexp_extract(c, p, 1), F.lit("")) for p in marks.number))
+    """What the first pattern that matches finds."""
+    return F.coalesce(*(F.nullif(F.regexp_extract(c, rx(p), 0), F.lit("")) for p in marks.number))
 
 
-def terms(c: Column, marks: Marks = MARKS, most: int = 180) -> Column:
-    return F.substring(F.try_element_at(F.filter(sentences(c), lambda s: any_of(s, list(marks.terms))), F.lit(1)), 1, most)
+def terms(c: Column, marks: Marks = MARKS) -> Column:
+    return shortened(F.try_element_at(F.filter(sentences(c), lambda s: any_of(s, list(marks.terms))), F.lit(1)))
+
+
+def risk(support: Column, application: Column, deadline: Column) -> Column:
+    """What speaks against acting on a measure now, null if nothing does."""
+    out = None
+    for status, dated, note in RISKS:
+        hit = ((support if status == "inactive" else application) == status) & (deadline.isNotNull() if dated else F.lit(True) if status != "unknown" else deadline.isNull())
+        out = F.when(hit, note) if out is None else out.when(hit, note)
+    return out
 
 
 def quotes(c: Column, markers: list[str], most: int = 3) -> Column:
@@ -74,12 +175,18 @@ def quotes(c: Column, markers: list[str], most: int = 3) -> Column:
 
 def facts(text: Column, as_of: Column, marks: Marks = MARKS) -> Column:
     """A struct of all facts; fields in alphabetical order, as they are written to JSON."""
-    sentence = deadline_sentence(text, marks)
-    day = dates.parse_deadline(sentence)
-    return F.struct(
-        application_status(text, day, as_of, marks).alias("application_status"), sentence.alias("deadline_text"), (support_status(text, marks) == "active").alias("is_active"),
-        any_of(text, list(marks.regular)).alias("is_continuous"), number(text, marks).alias("npa_number"), support_status(text, marks).alias("support_status"), terms(text, marks).alias("terms_text"),
-    )
+
+
+    def told(x: Column) -> Column:
+        flat, sentence, application, support = x["flat"], x["sentence"], x["application"], x["support"]
+        return F.struct(
+            application.alias("application_status"), sentence.alias("deadline_text"), F.when(support != "unknown", support == "active").alias("is_active"),
+            F.when(any_of(flat, list(marks.regular)), True).alias("is_continuous"), number(flat, marks).alias("npa_number"), risk(support, application, sentence).alias("risk_notes"),
+            support.alias("support_status"), terms(flat, marks).alias("terms_text"),
+        )
+
+    statuses = lambda x: F.struct(x["flat"].alias("flat"), x["sentence"].alias("sentence"), application_status(x["flat"], x["sentence"], as_of, marks).alias("application"), support_status(x["flat"], marks).alias("support"))
+    return let(squash(text), lambda flat: let(F.struct(flat.alias("flat"), deadline_sentence(flat, marks).alias("sentence")), lambda x: let(statuses(x), told)))
 
 
 def merged(old: Column, new: Column) -> Column:

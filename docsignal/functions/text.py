@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ def rx(pattern: str) -> str:
     return "(?iuU)" + pattern
 
 
+def let(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c) with c worked out once, however often use names it."""
+    return F.get(F.transform(F.array(c), lambda x: use(x)), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at the ends; trim() takes spaces only."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

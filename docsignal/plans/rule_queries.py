@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import facts
 from ..rules import levels, topics
 from ..rules.decisions import layers
 from .registry import query
@@ -137,3 +138,53 @@ def topic_families(t, spark):
     """The topic of every document, by the families of the configuration, with the markers that speak for it."""
     got = topics.with_topic(t("documents").selectExpr(*dressed(True)), F.col("title"), F.col("raw_text"))
     return got.select("doc_id", "topic.family", "topic.confidence", F.array_join("topic.hits", "|").alias("hits"))
+
+
+#: Sentences about applications in awkward forms, put around the documents' texts.
+NOTICES = (
+    "", "Прием заявок до 15.03.2024 включительно. Иное", "Срок подачи с 1.3.2024 по 20.3.2024", "Заявки принимаются. До 7 марта 2024 года в отделе", "Прием заявок. Срок кредита до 1.1.2030", "Срок подачи заявок до 31.2.2024, прием документов по 4/4/2024",
+    "Конец обсуждения: 2024-05-06", "Публичное обсуждение программы до 2030 года", "До 1.1.2024 было рано", "Объявлен конкурсный отбор: заявки принимаются до 9 мая 2024 г. в центре", "Подача заявок до 1.4.2024. Подача заявок до 2.4.2024", "Приказ от 5.5.2023. Отбор заявок",
+    "Идет прием заявок " + "в районах края " * 14 + "до 1.4.2024", "Прием документов по 30 апрель 2024 и до 2024-04-01", "Прием завершен. Прием заявок до 1.5.2024", "Выдается на регулярной основе", "Мера не активная", "Мера активная, срок обсуждения до 10.10.2024!",
+)
+
+
+def facts_sql() -> str:
+    m, b = facts.MARKS, r"(?:^|[^\p{L}\p{N}_])"
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    one = lambda c, ms: "(" + " OR ".join(f"contains({c}, {quoted(x)})" for x in ms) + ")"
+    names = "[" + ", ".join(f"'{x}'" for x in facts.dates.RUSSIAN) + "]"
+    alone = "[" + ", ".join(f"'{x}'" for x in facts.dates.RUSSIAN_ALONE) + "]"
+    d = f"lower(regexp_extract_all(t, {quoted('(?i)' + facts.DAY)})[-1])"
+    month = f"coalesce(list_position({names}, regexp_extract({d}, '([а-я]+)', 1)), list_position({alone}, regexp_extract({d}, '([а-я]+)', 1)))"
+    day = f"""CASE WHEN regexp_matches({d}, '^[0-9]{{4}}-') THEN TRY_CAST({d} AS DATE) WHEN regexp_matches({d}, '^[0-9]+[./]') THEN CAST(try_strptime(replace({d}, '/', '.'), '%d.%m.%Y') AS DATE)
+      ELSE CAST(try_strptime(regexp_extract({d}, '^([0-9]+)', 1) || '.' || {month} || '.' || regexp_extract({d}, '([0-9]{{4}})', 1), '%d.%m.%Y') AS DATE) END"""
+    last = lambda p: f"list_filter(regexp_extract_all(s, {quoted('(?i)' + b + '(' + p.removeprefix(chr(92) + 'b') + ')')}, 1), lambda t: {day} IS NOT NULL)[-1]"
+    ending = last(facts.ENDING).replace("(?i)" + b, "(?i)")
+    points = f"CASE WHEN {one('low', m.open)} THEN 5 ELSE 0 END" + "".join(f" + CASE WHEN {one('low', ms)} THEN {n} ELSE 0 END" for ms, n in m.points) + "".join(f" + CASE WHEN contains(lower(dated), '{u}') THEN {n} ELSE 0 END" for u, n in m.until)
+    lead = f"strpos(low, regexp_extract(low, '{'|'.join((*m.deadline, *m.lead))}'))"
+    other = f"({one('low', m.not_deadline)} OR contains(low, '{m.programme}') AND NOT {one('low', m.programme_unless)})"
+    about = lambda c: one(c, (*m.deadline, *m.open))
+    at = "length(low) - strpos(reverse(low), reverse(lower(dated))) - length(dated) + 1"
+    trimmed = lambda c, p: f"regexp_replace({c}, '{p}', '', 'g')"
+    return rf"""
+    WITH src AS (SELECT doc_id, trim(regexp_replace({pick(NOTICES, 'doc_id * 11 + n_chars', False)} || '. ' || text || ' ' || {pick(NOTICES, 'doc_id * 13 + 5 * n_chars', False)} || '.', '\s+', ' ', 'g')) AS flat FROM documents),
+    parts AS (SELECT doc_id, list_filter(string_split(regexp_replace(flat, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS p FROM src),
+    each AS (SELECT doc_id, i, p[i] AS s, p[i - 1] AS before FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM parts)),
+    ways AS (SELECT doc_id, i, 0 AS k, s FROM each UNION ALL SELECT doc_id, i, 1, before || ' ' || s FROM each WHERE i > 1 AND starts_with(lower(s), '{m.continued}') AND {about('lower(before)')}),
+    lows AS (SELECT *, lower(s) AS low FROM ways WHERE {about('lower(s)')}),
+    dates AS (SELECT *, coalesce({last(facts.RANGE)}, {last(facts.UNTIL)}, {ending}) AS dated FROM lows WHERE NOT {other}),
+    scored AS (SELECT *, {points} AS points, CASE WHEN {lead} > 0 THEN {lead} - 1 ELSE greatest({at} - {facts.BEFORE}, 0) END AS start, least({at} + length(dated) + {facts.AFTER}, length(low)) AS stop FROM dates WHERE dated IS NOT NULL),
+    cut AS (SELECT doc_id, i, k, points, {trimmed('substr(s, start + 1, greatest(stop - start, 0))', facts.EDGES)} AS snippet FROM scored),
+    own AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY doc_id, i ORDER BY k) = 1),
+    best AS (SELECT * FROM own QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY points DESC, i) = 1)
+    SELECT doc_id, CASE WHEN length(snippet) <= {facts.SNIPPET} THEN snippet ELSE {trimmed(f'substr(snippet, 1, {facts.SNIPPET - 3})', '[ ,.;:-]+$')} || '...' END AS deadline_text,
+      CASE WHEN {one('lower(flat)', m.inactive)} THEN 'inactive' WHEN {one('lower(flat)', m.active)} THEN 'active' ELSE 'unknown' END AS support_status, {one('lower(flat)', m.closed)} AS closed FROM src LEFT JOIN best USING (doc_id)"""
+
+
+@query(facts_sql())
+def deadline_sentences(t, spark):
+    """The sentence that names the deadline, by points; sentences that go on, ranges, days that are none, loans."""
+    text = f"{pick(NOTICES, 'doc_id * 11 + n_chars', True)} || '. ' || text || ' ' || {pick(NOTICES, 'doc_id * 13 + 5 * n_chars', True)} || '.'"
+    df = t("documents").select("doc_id", F.expr(text).alias("t"))
+    df = df.select("doc_id", facts.facts(F.col("t"), F.to_date(F.lit(AS_OF))).alias("f"), facts.any_of(facts.squash(F.col("t")), list(facts.MARKS.closed)).alias("closed"))
+    return df.select("doc_id", "f.deadline_text", "f.support_status", "closed")

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from docsignal.functions import facts, shape
+from docsignal.functions import dates, facts, shape
 from docsignal.sources import html_dates
 
 D = dt.date
@@ -43,14 +43,61 @@ def value(spark, expression, t):
     return spark.createDataFrame([(t,)], "t string").select(expression.alias("v")).first().v
 
 
+SENTENCES = [
+    ("Приказ от 1.1.2020. Приём заявок до 15.03.2024 включительно. Иное.", "Приём заявок до 15.03.2024 включительно"),
+    ("Срок подачи с 1.3.2024 по 20.3.2024. Прием заявок до 5.3.2024.", "Прием заявок до 5.3.2024"),
+    ("Заявки принимаются. До 7 марта 2024 года в отделе.", "Заявки принимаются. До 7 марта 2024 года в отделе"),
+    ("Прием заявок. Срок кредита до 1.1.2030.", None),
+    ("Срок подачи заявок до 31.2.2024, прием документов по 4.4.2024", "Срок подачи заявок до 31.2.2024, прием документов по 4.4.2024"),
+    ("Конец обсуждения: 2024-05-06.", "Конец обсуждения: 2024-05-06"),
+    ("Публичное обсуждение программы до 2030 года, до 3.3.2024.", "Публичное обсуждение программы до 2030 года, до 3.3.2024"),
+    ("До 1.1.2024 было рано. Итоги.", None),
+    ("Подача заявок до 1.4.2024. Подача заявок до 2.4.2024.", "Подача заявок до 1.4.2024"),
+    ("Идет прием заявок " + "в районах края " * 20 + "до 1.4.2024", ("прием заявок " + "в районах края " * 20)[:177].rstrip(" ,.;:-") + "..."),
+    ("", None), (None, None),
+]
+
+
+@pytest.mark.parametrize(("t", "want"), SENTENCES)
+def test_deadline_sentences(spark, t, want):
+    df = spark.createDataFrame([(t,)], "t string")
+    assert df.select(facts.deadline_sentence(F.col("t")).alias("v")).first().v == want
+
+
 def test_facts(spark):
-    t = "Приказ от 1.1.2020. Приём заявок до 15.03.2024 включительно. Ставка 5 процентов. Программа действует. Решение № 12-п."
+    t = "Приказ от 1.1.2020. Приём заявок до 15.03.2024 включительно. Ставка: 5 процентов. Мера активная. НПА 12-п."
     f = value(spark, facts.facts(F.col("t"), F.lit(D(2024, 3, 1))), t)
-    assert f.deadline_text == "Приём заявок до 15.03.2024 включительно." and f.application_status == "open" and f.support_status == "active"
-    assert f.npa_number == "12-п" and f.terms_text == "Ставка 5 процентов."
-    assert value(spark, facts.facts(F.col("t"), F.lit(D(2024, 4, 1))), t).application_status == "closed"
-    assert value(spark, facts.support_status(F.col("t")), "Мера не активна, была активна") == "inactive"
-    assert value(spark, facts.deadline_sentence(F.col("t")), "Nothing here. Order of 1.2.2024 stands.") is None
+    assert (f.deadline_text, f.application_status, f.support_status, f.is_active) == ("Приём заявок до 15.03.2024 включительно", "open", "active", True)
+    assert (f.npa_number, f.terms_text, f.risk_notes, f.is_continuous) == ("НПА 12-п", "Ставка: 5 процентов.", None, None)
+    late = value(spark, facts.facts(F.col("t"), F.lit(D(2024, 4, 1))), t)
+    assert (late.application_status, late.risk_notes) == ("closed", facts.RISKS[2][2])
+    status = lambda t: value(spark, facts.facts(F.col("t"), F.lit(D(2024, 4, 1))), t)
+    assert status("Мера не активная, была активная").support_status == "inactive" and status("Мера не активная").risk_notes == facts.RISKS[1][2]
+    assert status("Прием завершен. Прием заявок до 1.5.2024.").application_status == "closed"
+    assert status("Выдается на регулярной основе").application_status == "regular" and status("Заявки принимаются").application_status == "open"
+    assert status("").application_status == "unknown" and status("").risk_notes == facts.RISKS[4][2]
+
+
+@pytest.mark.parametrize(
+    ("title", "text", "source", "url", "day"),
+    [
+        (None, "Опубликовано 8.3.2024", "Сайт", "http://x.org/2024/1/2/", D(2024, 3, 8)),
+        ("Размещено 9.3.2024", "текст", "Сайт", "http://x.org/2024/1/2/", D(2024, 3, 9)),
+        (None, "Опубликовано 8.3.2024, срок подачи 1.4.2024", "Сайт", "http://x.org/2024/1/2/", D(2024, 1, 2)),
+        (None, "8.3.2024 новости дня", "zol.ru", "http://zol.ru/1", D(2024, 3, 8)),
+        (None, "8.3.2024 новости дня", "Сайт", "http://x.org/1", None),
+        (None, "Меню Работа 7 марта 2024 12:30 Новости", "Правительство РФ", "http://government.ru/news/12/", D(2024, 3, 7)),
+        (None, "Меню Работа 7 марта 2024 12:30 Новости", "Правительство РФ", "http://government.ru/search/", None),
+        (None, "Опубликовано 8.3.2024", "Правительство РФ", "http://government.ru/docs/1?page=2", None),
+        (None, "П Р И К А З № 5-п от 3.2.2024 О мерах", "Край", "https://admkrai.krasnodar.ru/1", D(2024, 2, 3)),
+        (None, "приказ от 3.2.2024. Дата опубликования: 5 февраля 2024", "Край", "https://admkrai.krasnodar.ru/1", D(2024, 2, 5)),
+        (None, "requires OCR extraction приказ от 3.2.2024", "Край", "https://admkrai.krasnodar.ru/1", None),
+        (None, None, None, None, None),
+    ],
+)
+def test_inferred_publication(spark, title, text, source, url, day):
+    df = spark.createDataFrame([(title, text, source, url)], "title string, text string, source string, url string")
+    assert df.select(dates.infer_published(*map(F.col, df.columns)).alias("d")).first().d == day
 
 
 def test_text_choices(spark):

@@ -47,7 +47,6 @@ def test_dates_elsewhere(spark):
     assert value(spark, dates.date_from_url(F.col("u")), u="http://x.org/2024/3/7/a") == D(2024, 3, 7)
     assert value(spark, dates.date_from_url(F.col("u")), u="http://x.org/n/12_03_2024?x=1") is None
     assert value(spark, dates.date_from_url(F.col("u")), u="http://x.org/n/2024_03_12.html") == D(2024, 3, 12)
-    assert value(spark, dates.infer_published(F.lit(None).cast("date"), F.col("u"), F.col("t")), u="http://x.org/a", t="Published 1.2.2024.") == D(2024, 2, 1)
     assert value(spark, dates.from_array(F.col("a")), a=[2024, 2, 3]) == D(2024, 2, 3) and value(spark, dates.from_array(F.col("a")), a=[2024, 2, 31]) is None
     assert value(spark, dates.age(F.to_timestamp("t"), F.lit(dt.datetime(2024, 1, 3))), t="2024-01-02 20:00:00") == "4 h"
 
