@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import facts
-from ..rules import levels, topics
+from ..rules import levels, topics, visibility
 from ..rules.decisions import layers
 from .registry import query
 
@@ -88,7 +88,7 @@ def level_sql() -> str:
     p = levels.predicates(d, AS_OF)
     every = layers(p | {"page_type": "NULL"})
     late = {"page_type"}
-    while more := {n for n, e in p.items() if n not in late and late & levels._names(e)}:
+    while more := {n for n, e in p.items() if n not in late and late & levels.named(e)}:
         late |= more
     steps = [levels.base_columns(d), levels.views(d)]
     tests = lambda keep: [{n: f"coalesce({p[n]}, false)" for n in layer if n in p and keep(n)} for layer in every]
@@ -188,3 +188,34 @@ def deadline_sentences(t, spark):
     df = t("documents").select("doc_id", F.expr(text).alias("t"))
     df = df.select("doc_id", facts.facts(F.col("t"), F.to_date(F.lit(AS_OF))).alias("f"), facts.any_of(facts.squash(F.col("t")), list(facts.MARKS.closed)).alias("closed"))
     return df.select("doc_id", "f.deadline_text", "f.support_status", "closed")
+
+
+#: Columns of an analysis that visibility reads, beside the dressed ones.
+ANALYSED = [
+    "CASE doc_id % 3 WHEN 0 THEN 'watchlist' WHEN 1 THEN 'requires_attention' ELSE CASE n_chars % 2 WHEN 0 THEN 'background' ELSE 'irrelevant' END END AS action_level",
+    "CASE n_chars % 5 WHEN 0 THEN 'new_rule' WHEN 1 THEN 'news_background' WHEN 2 THEN 'reference_page' WHEN 3 THEN 'registry' ELSE 'measure_card' END AS page_type",
+    "CASE (doc_id + n_chars) % 7 WHEN 0 THEN 'background' WHEN 1 THEN 'watchlist' ELSE 'ok' END AS applicability", "source_url", "terms_text", "doc_id % 23 = 0 AS is_placeholder",
+]
+MORE = ("", "сохранено справочно, регион вне фокуса AHSTEP", "признание утратившим силу приказа о сельскохозяйственной переписи", "цифровая селекция", "мировой рынок, Казахстан", "памятка по декларациям о коррупции", "совещание по экономике", "Башкирия", "Ставрополь")
+
+
+def visibility_sql() -> str:
+    d = levels.Plain(levels.groups())
+    p = visibility.predicates(d)
+    start = f"SELECT * REPLACE (title || ' ' || {pick(MORE, 'doc_id + 7 * n_chars', False)} AS title), {', '.join(ANALYSED)} FROM (SELECT d.*, n_chars, url AS source_url, summary AS terms_text FROM ({DRESSED}) d JOIN (SELECT doc_id, n_chars FROM documents) USING (doc_id))"
+    tests = [{n: f"coalesce({p[n]}, false)" for n in layer} for layer in layers(p)]
+    lowered = visibility.GUARD.sql("action_level")
+    effective = "CASE " + " ".join(f"WHEN guarded IN ({', '.join(map(repr, at))}) AND ({when}) THEN {to[1:-1] if to.startswith('{') else repr(to)}" for _, at, when, to in visibility.EFFECTIVE.steps) + " ELSE guarded END"
+    scope = [{"geo_branch": visibility.GEO_SCOPE.branch_sql()}, {"geo_scope": visibility.GEO_SCOPE.value_sql("geo_branch")}]
+    whole = layered(start, [visibility.views(d), *tests, *scope, {"guarded": lowered}, {"seen_level": effective}])
+    after = f"SELECT * EXCLUDE (action_level) RENAME (seen_level AS action_level) FROM ({whole})"
+    named = [{"bucket_branch": visibility.BUCKET.branch_sql(), "section_branch": visibility.SECTION.branch_sql()}, {"bucket": visibility.BUCKET.value_sql("bucket_branch"), "section": visibility.SECTION.value_sql("section_branch")}]
+    return layered(after, [*named, {n: f"coalesce({e}, false)" for n, e in visibility.surfaces().items()}])
+
+
+@query(f"SELECT doc_id, action_level, geo_scope, bucket, section, on_report, on_digest, on_list FROM ({visibility_sql()})")
+def visible_documents(t, spark):
+    """Effective levels, scopes, buckets, sections, and the surfaces that show a document."""
+    df = t("documents").selectExpr("*", *(c for c in dressed(True) if c != "doc_id")).withColumns({"source_url": F.col("url"), "terms_text": F.col("summary"), "title": F.concat_ws(" ", "title", F.expr(pick(MORE, "doc_id + 7 * n_chars", True)))})
+    df = df.selectExpr("*", *(c for c in ANALYSED if " AS " in c))
+    return visibility.visible(df).select("doc_id", "action_level", "geo_scope", "bucket", "section", "on_report", "on_digest", "on_list")

@@ -11,10 +11,10 @@ from __future__ import annotations
 import functools
 import random
 import re
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NAME = re.compile(r"[a-z_][a-z_0-9]*")
@@ -40,6 +40,15 @@ def layers(predicates: Mapping[str, str]) -> list[list[str]]:
     return out
 
 
+def set_aside(df: DataFrame, made: Iterable[str]) -> tuple[list[Column], list[Column]]:
+    """Columns of df but those called as made ones, under names that no working column has; and the columns that give them their names back.
+
+    Flat columns and no struct, which the optimizer would copy into every place that reads it.
+    """
+    held = [c for c in df.columns if c not in set(made)]
+    return [F.col(f"`{c}`").alias(f"row_{i}") for i, c in enumerate(held)], [F.col(f"row_{i}").alias(c) for i, c in enumerate(held)]
+
+
 def with_predicates(df: DataFrame, predicates: Mapping[str, str]) -> DataFrame:
     """Adds every predicate as a column; null is no."""
     for layer in layers(predicates):

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, facts
 from .automaton import Markers
-from .decisions import Branch, Decision, Lowering, with_predicates
+from .decisions import Branch, Decision, Lowering, named, set_aside, with_predicates
 
 HERE = Path(__file__).parent
 REGULATION, KRASNODAR = "regulation.gov.ru", "минсельхоз краснодарского края - субсидирование и финансирование"
@@ -451,6 +451,14 @@ ACTION_LEVEL = Decision("action_level", tuple(Branch(*b) for b in (
 IMPORTANCE = {"requires_attention": "high", "watchlist": "medium", "background": "low", "irrelevant": "low"}
 
 
+def importance(level: Column) -> Column:
+    """M5."""
+    out = None
+    for name, value in IMPORTANCE.items():
+        out = F.when(level == name, value) if out is None else out.when(level == name, value)
+    return out
+
+
 def guard_views() -> dict[str, str]:
     """Views of the guard over news: title, summary, lead and the texts that an analysis wrote."""
     told = lambda *parts: "lower(concat_ws(' ', " + ", ".join(f"nullif({p}, '')" for p in parts) + "))"
@@ -526,39 +534,32 @@ def leveled(df: DataFrame, as_of: str, keywords: Mapping[str, Sequence[str]] | N
     d = Bits(groups(keywords), SINGLES)
     blank = {"string": F.lit(""), "boolean": F.lit(False)}
     given = {c: F.coalesce(F.col(c).cast(t), blank[t]) if t in blank else F.col(c).cast(t) for c, t in INPUTS.items()}
-    held = [c for c in df.columns if c not in ("page_type", "page_type_branch", "applicability", "applicability_branch", "action_level", "action_level_branch", "importance", "matched_keywords")]
-    out = df.select(F.struct(*held).alias("row_"), *(c.alias(n) for n, c in given.items()))
+    aside, back = set_aside(df, ("page_type", "page_type_branch", "applicability", "applicability_branch", "action_level", "action_level_branch", "importance", "matched_keywords"))
+    out = df.select(*aside, *(c.alias(n) for n, c in given.items()))
     out = out.withColumns({n: F.expr(e) for n, e in base_columns(d).items()})
     out = out.withColumns({n: F.expr(e) for n, e in views(d).items()})
     out = out.withColumn("seen_", d.markers.scan(**{v: F.col(v) for v in SEEN}))
     every = predicates(d, as_of)
     late = {n for n, e in every.items() if "page_type" in e}
-    while more := {n for n, e in every.items() if n not in late and set(late) & set(_names(e))}:
+    while more := {n for n, e in every.items() if n not in late and set(late) & set(named(e))}:
         late |= more
     out = PAGE_TYPE.decide(with_predicates(out, {n: e for n, e in every.items() if n not in late}))
     out = with_predicates(out, {n: e for n, e in every.items() if n in late})
     out = ACTION_LEVEL.decide(APPLICABILITY.decide(out))
     hits = d.markers.which(("seen_.title_", "seen_.body_"), list(d.groups["kw_hit"]))
-    importance = F.element_at(F.create_map(*(F.lit(x) for kv in IMPORTANCE.items() for x in kv)), F.col("action_level"))
-    return out.select("row_.*", "page_type", "page_type_branch", "applicability", "applicability_branch", "action_level", "action_level_branch", importance.alias("importance"), hits.alias("matched_keywords"))
-
-
-def _names(sql: str) -> set[str]:
-    from .decisions import named
-
-    return named(sql)
+    return out.select(*back, "page_type", "page_type_branch", "applicability", "applicability_branch", "action_level", "action_level_branch", importance(F.col("action_level")).alias("importance"), hits.alias("matched_keywords"))
 
 
 def guarded(df: DataFrame) -> DataFrame:
     """df (action_level, source_role, title, summary, reason, impact, signal, raw_text, page_type) with the level lowered where news is mere background, and guard_step."""
     d = Bits(groups(), SINGLES)
     texts = ("title", "summary", "reason", "impact", "signal", "raw_text", "source_role", "page_type")
-    held = [c for c in df.columns if c not in ("action_level", "guard_step")]
-    out = df.select(F.struct(*held).alias("row_"), "action_level", *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in texts))
+    aside, back = set_aside(df, ("action_level", "guard_step"))
+    out = df.select(*aside, "action_level", *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in texts))
     out = out.withColumns({n: F.expr(e) for n, e in guard_views().items()})
     out = out.withColumn("seen_", d.markers.scan(**{v: F.col(v) for v in GUARD_SEEN}))
     out = GUARD.apply(with_predicates(out, guard_predicates(d)), "action_level")
-    return out.select("row_.*", "action_level", "guard_step")
+    return out.select(*back, "action_level", "guard_step")
 
 
 def with_facts(df: DataFrame, as_of: Column) -> DataFrame:

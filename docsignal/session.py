@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -17,3 +19,11 @@ def session(name: str = "docsignal", **conf: str) -> SparkSession:
     for k, v in (CONF | conf).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a reliable checkpoint, in spark.checkpoint.dir; where that is unset, as in tests, in a temporary folder."""
+    spark = df.sparkSession
+    if not (spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="docsignal-"))
+    return df.checkpoint()
