@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import map_rows, n_words, save, table
 from .token_files import RANKS, encoder
 
-#: Lengths up to FINE count exactly; above, steps of at most 1/2048 bound the histogram at any size of corpus.
-FINE = 1 << 14
+#: Lengths up to FINE tokens, of texts of some megabytes, count exactly; above, steps of at most 1/2048 bound the histogram at any size of corpus.
+FINE = 1 << 20
 #: Rows that one task ranks, about.
 GROUP = 2000
 
@@ -82,7 +82,7 @@ def boundaries(histogram: dict[int, int], n_buckets: int) -> list[int]:
 
 def pack(rows: DataFrame, n_buckets: int = 16, budget: int = 65_536) -> DataFrame:
     """Columns doc_id and n_tokens (long) in; adds bucket, bucket_len, batch (from 0 in each bucket), slot and padding."""
-    rows = save(rows, "lengths")
+    rows = save(rows.withColumn("row_", F.monotonically_increasing_id()), "lengths")
     histogram = {r["at"]: r["n"] for r in rows.groupBy(resolved(F.col("n_tokens")).alias("at")).agg(F.count("*").alias("n")).collect()}
     ends = boundaries(histogram, n_buckets)
     if not ends:
@@ -97,7 +97,8 @@ def pack(rows: DataFrame, n_buckets: int = 16, budget: int = 65_536) -> DataFram
 
     dealt = rows.select(
         "doc_id", "n_tokens", of(list(range(len(ends)))).alias("bucket"), of(ends).alias("bucket_len"),
-        F.pmod(F.xxhash64("doc_id", "n_tokens"), of([-(-n // GROUP) or 1 for n in held])).alias("part"),
+        # rows without an id are spread by their places
+        F.pmod(F.xxhash64(F.coalesce("doc_id", "row_"), "n_tokens"), of([-(-n // GROUP) or 1 for n in held])).alias("part"),
     )
     counts = dealt.groupBy("bucket", "part").agg(F.count("*").alias("n"))
     before = counts.select("bucket", "part", (F.sum("n").over(Window.partitionBy("bucket").orderBy("part")) - F.col("n")).alias("before"))

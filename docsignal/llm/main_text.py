@@ -80,8 +80,8 @@ def zone_of(tag: str, attributes: str) -> str | None:
     if by_tag == "article":
         return "comment" if "comment" in noise else "article"
     if noise:
-        # an element named after both (article-body, post-content) is content unless it names a thing in it
-        return noise[-1]
+        # an element named after both is noise, unless its last name is content and the others say who wrote it or where it is shared (post-author-content)
+        return "article" if found[-1] == "article" and set(noise) == {"share"} else noise[-1]
     return "article" if found else None
 
 

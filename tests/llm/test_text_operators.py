@@ -94,6 +94,8 @@ def test_labelled_pages_come_out():
         ("<div class='topnav'>Go here or there</div><article><p>Six words are in this text.</p></article><div>Made by nobody</div>", "Six words are in this text."),
         ("<article><h1>T</h1><p>Text.</p><section id='comments'><p>a reader says hello</p></section></article>", "T Text."),
         ("<main><p>Alpha beta gamma.</p></main><section class='comment-list'><article class='comment'><p>Me too.</p></article></section>", "Alpha beta gamma."),
+        ("<div class='post-author-content'><p>The real body is here, in some words.</p></div><div class='x9'><p>Buy now cheap</p></div>", "The real body is here, in some words."),
+        ("<div class='post-content'><p>The real body is here, in some words.</p><div class='author-box'><p>Ann writes for us</p></div><div class='comment-content'>Me too</div></div>", "The real body is here, in some words."),
         ("<article><p>whole <!-- gone --> text<script>var a = '<p>no</p>';</script></p><style>p{}</style><p>ends &am", "whole text ends &am"),
         ("<html><body><div class='menu'><a href=x>Home</a></div><div class='article-body'><p>First one here, long enough to count as text.</p><form><label>Mail</label></form><p>Second <a href=z>linked</a> one.</p></div><div class='cookie-banner'>We use cookies</div>", "First one here, long enough to count as text. Second linked one."),
     ],
