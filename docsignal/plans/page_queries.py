@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..operators import aggregates, latest, monitor
-from ..sources import listing
+from ..sources import content, listing
 from .registry import query
 
 HOST_SQL = "lower(coalesce(regexp_extract(url, '^[^:]*://([^/?#]*)', 1), ''))"
@@ -99,3 +99,9 @@ def url_dates(t, spark):
     u = F.replace(urls.path(F.col("url")), F.lit("/en/"), F.concat(F.lit("/2024/"), (F.col("page_id") % 14).cast("string"), F.lit("/")))
     has = u.rlike(r"/(20\d{2})/(\d{1,2})/(\d{1,2})(/|$)")
     return t("pages").select("page_id", F.when(has, dates.date_from_url(u)).cast("string").alias("day"))
+
+
+@query(None)
+def page_content(t, spark):
+    """K9: the main content of every page by scored elements, and its quality. tests/test_content.py compares it with a walk over trees."""
+    return content.content(t("pages"), content.MARKET).select("page_id", "quality", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
