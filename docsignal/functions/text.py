@@ -208,9 +208,16 @@ def json_object(c: Column) -> Column:
     return F.coalesce(valid(whole), F.when(F.startswith(whole, F.lit("```")), valid(fenced)), valid(braces))
 
 
+def json_value(c: Column) -> Column:
+    """A scalar as JSON; null is null."""
+    written = F.to_json(F.struct(c.alias("v")))
+    return F.when(c.isNull(), "null").otherwise(F.substr(written, F.lit(6), F.length(written) - 6))
+
+
 def fields_hash(**fields: Column) -> Column:
-    """SHA-256 of named fields as JSON in the order of their names, nulls kept. The same only here, as separators differ elsewhere."""
-    return F.sha2(F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))), {"ignoreNullFields": "false"}), 256)
+    """SHA-256 of named scalars as JSON in the order of their names, nulls kept, with a space behind commas and colons."""
+    parts = [F.concat(F.lit(f'"{k}": '), json_value(fields[k])) for k in sorted(fields)]
+    return F.sha2(F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")), 256)
 
 
 def file_name(url: Column, suffix: str = ".pdf") -> Column:

@@ -18,11 +18,15 @@ def latest_row(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 
 
 def best_of(df: DataFrame, key: Column, scores: list[Column], ordinal: Column) -> DataFrame:
-    """One row per key: the greatest scores in order, ties to the smaller ordinal. `position` is the key's first ordinal. Rows without a key stay."""
-    keyed = df.withColumn("_k", F.coalesce(key, F.concat(F.lit("#"), ordinal.cast("string")))).withColumn("_o", ordinal)
-    w = Window.partitionBy("_k")
-    ranked = keyed.withColumn("_n", F.row_number().over(w.orderBy(*(s.desc() for s in scores), F.col("_o")))).withColumn("position", F.min("_o").over(w))
-    return ranked.filter("_n = 1").drop("_n", "_k", "_o")
+    """One row per key: the greatest scores in order, ties to the smaller ordinal, which is unique. `position` is the key's first ordinal. Rows without a key stay.
+
+    Keys, scores and ordinals are reduced by aggregates before whole rows move, so that a key with many rows meets in no task.
+    """
+    keyed = df.withColumn("_k", F.coalesce(key, F.concat(F.lit("#"), ordinal.cast("string")))).withColumns({"_o": ordinal, "_s": F.struct(*(s.alias(f"s{i}") for i, s in enumerate(scores)))})
+    best = keyed.groupBy("_k").agg(F.max("_s").alias("_best"), F.min("_o").alias("position"))
+    held = keyed.select("_k", "_o", "_s").join(best, "_k").filter(F.col("_s").eqNullSafe(F.col("_best")))
+    chosen = held.groupBy("_k").agg(F.min("_o").alias("_o"), F.min("position").alias("position"))
+    return keyed.drop("_s").join(chosen, ["_k", "_o"]).select(*df.columns, "position")
 
 
 def first_wins(df: DataFrame, key: Column, *order: Column) -> DataFrame:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql import functions as F
 
 from ..operators import joins
+from ..session import cut
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -92,9 +94,18 @@ def detected(stream: DataFrame) -> DataFrame:
 
 
 def notify_once(pending: DataFrame, send: Callable[[list], bool], suppressed: Column, key: str) -> DataFrame:
-    """Keys to mark as notified: suppressed ones without sending, others only if sending them succeeded. pending is a period's rows of the top level."""
-    rows = pending.withColumn("_quiet", suppressed)
-    loud = rows.filter("not _quiet").drop("_quiet")
-    sent = send(loud.collect())
-    quiet = rows.filter("_quiet").select(key)
-    return quiet.unionByName(loud.select(key)) if sent else quiet
+    """Keys to mark as notified: suppressed ones without sending, others only if sending them succeeded. pending is a period's rows of the top level.
+
+    Rows are sent from tasks, in batches of Arrow's size, and only batches that send() takes are marked; what was
+    taken is written, so that nothing is sent twice by planning again.
+    """
+    rows = pending.withColumn("_quiet", F.coalesce(suppressed, F.lit(False)))
+    kind = pending.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf) and send(list(pdf.itertuples(index=False))):
+                yield pdf[[key]]
+
+    sent = cut(rows.filter("not _quiet").drop("_quiet").mapInPandas(run, f"`{key}` {kind}"))
+    return rows.filter("_quiet").select(key).unionByName(sent)

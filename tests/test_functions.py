@@ -126,6 +126,16 @@ def test_texts_of_pages(spark):
     assert one != two and one == value(spark, text.fields_hash(url=F.lit(None).cast("string"), title=F.col("t")), t="a")
 
 
+def test_fields_hash_is_that_of_plain_json(spark):
+    import hashlib
+    import json
+
+    for t in ("a", 'q"uo\\te / é\n\t', "", None):
+        df = spark.createDataFrame([(t, 5, True, None)], "title string, n int, b boolean, url string")
+        want = hashlib.sha256(json.dumps({"title": t, "n": 5, "b": True, "url": None}, ensure_ascii=False, sort_keys=True).encode()).hexdigest()
+        assert df.select(text.fields_hash(**{c: F.col(c) for c in df.columns}).alias("h")).first().h == want
+
+
 def test_periods():
     assert periods.period("today", D(2024, 3, 5)).label() == "сегодня, 05.03.2024" and periods.period("1", D(2024, 3, 5)).label() == "сегодня, 05.03.2024"
     assert periods.period("9999", D(2024, 3, 5)).days == 365 and periods.period(None, D(2024, 3, 5), 14).label() == "последние 14 дней"

@@ -31,9 +31,17 @@ def test_change_detector(spark, tmp_path):
     assert [tuple(r) for r in spark.table("changes").collect()] == [(1, 3, "a", "b")]
 
 
-def test_notify_once(spark):
-    df = spark.createDataFrame([(1, True), (2, False), (3, False)], "id long, quiet boolean")
-    sent = []
-    assert sorted(r.id for r in ingest.notify_once(df, lambda rows: sent.extend(rows) or True, F.col("quiet"), "id").collect()) == [1, 2, 3]
-    assert sorted(r.id for r in sent) == [2, 3]
+def test_notify_once(spark, tmp_path):
+    df = spark.createDataFrame([(1, True), (2, False), (3, False), (4, None)], "id long, quiet boolean")
+    log = f"{tmp_path}/sent"
+
+    def send(rows):
+        with open(log, "a") as f:
+            f.writelines(f"{r.id}\n" for r in rows)
+        return True
+
+    got = ingest.notify_once(df, send, F.col("quiet"), "id")
+    assert sorted(r.id for r in got.collect()) == [1, 2, 3, 4] and got.count() == 4
+    with open(log) as f:
+        assert sorted(f.read().split()) == ["2", "3", "4"]
     assert [r.id for r in ingest.notify_once(df, lambda rows: False, F.col("quiet"), "id").collect()] == [1]
