@@ -183,7 +183,10 @@ def summaries(t, spark):
     return t("documents").select("doc_id", text.summary(c, ["the ", "der ", "que "]).alias("summary"), text.clip_words(c, 120).alias("clipped"))
 
 
-@query(None)
+@query("""
+SELECT doc_id, lang, facts::INT AS facts, quality_points::INT AS quality_points, urgent, (facts * 5 + quality_points + CASE WHEN urgent THEN 100 ELSE 0 END)::INT AS score FROM (SELECT d.doc_id, lang,
+3 * regexp_matches(text, 'password=|token')::INT + 2 * coalesce(quality = 1, false)::INT + coalesce(toxic = 1, false)::INT + contains(text, 'License')::INT AS facts, coalesce(toxic = 1, false) AS urgent,
+CASE WHEN n >= 5000 THEN 3 WHEN n >= 1000 THEN 2 WHEN n >= 100 THEN 1 ELSE 0 END AS quality_points FROM (SELECT *, length(trim(text, E' \\n\\t\\r')) AS n FROM documents) d LEFT JOIN labels l ON l.doc_id = d.doc_id)""")
 def display_priority(t, spark):
     """C8–C14, M20–M22 with neutral data: scores from facts, levels and text quality, ordered for display."""
     d = t("documents").join(t("labels"), "doc_id", "left")
