@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import facts
-from ..rules import levels, topics, visibility
+from ..operators import health, latest
+from ..rules import levels, priority, topics, visibility
 from ..rules.decisions import layers
 from .registry import query
 
@@ -219,3 +220,21 @@ def visible_documents(t, spark):
     df = t("documents").selectExpr("*", *(c for c in dressed(True) if c != "doc_id")).withColumns({"source_url": F.col("url"), "terms_text": F.col("summary"), "title": F.concat_ws(" ", "title", F.expr(pick(MORE, "doc_id + 7 * n_chars", True)))})
     df = df.selectExpr("*", *(c for c in ANALYSED if " AS " in c))
     return visibility.visible(df).select("doc_id", "action_level", "geo_scope", "bucket", "section", "on_report", "on_digest", "on_list")
+
+
+def priority_sql() -> str:
+    family = pick([*health.TOPIC_BOOST, "other", None], "doc_id + 11 * n_chars", False)
+    start = f"SELECT *, {pick(('new_rule', 'measure_card', 'news_background'), 'doc_id + 5 * n_chars', False)} AS page_type, {family} AS topic_family FROM (SELECT d.*, n_chars FROM ({DRESSED}) d JOIN (SELECT doc_id, n_chars FROM documents) USING (doc_id))"
+    tests = {n: f"coalesce({e}, false)" for n, e in priority.predicates(levels.Plain({}), AS_OF).items()}
+    whole = layered(start, [{"words": priority.WORDS}, tests, {"tier_branch": priority.TIER.branch_sql()}, {"tier": priority.TIER.value_sql("tier_branch")}])
+    points = "CASE tier " + " ".join(f"WHEN '{t}' THEN {n}" for t, n in priority.TIERS.items()) + " END"
+    boost = "CASE topic_family " + " ".join(f"WHEN '{f}' THEN {n}" for f, n in health.TOPIC_BOOST.items()) + " ELSE 0 END"
+    return f"SELECT doc_id, tier_branch, CAST({points} + {boost} AS INTEGER) AS priority, row_number() OVER (PARTITION BY source_role ORDER BY {points} + {boost} DESC, doc_id)::INT AS place FROM ({whole}) QUALIFY place <= 20"
+
+
+@query(priority_sql())
+def display_order(t, spark):
+    """C11: tiers of urgent documents with what their topics add, the first twenty of every role of sources."""
+    df = t("documents").selectExpr(*dressed(True), f"{pick(('new_rule', 'measure_card', 'news_background'), 'doc_id + 5 * n_chars', True)} AS page_type", f"{pick([*health.TOPIC_BOOST, 'other', None], 'doc_id + 11 * n_chars', True)} AS topic_family")
+    got = priority.prioritised(df, AS_OF).select("doc_id", "tier_branch", "priority", "source_role")
+    return latest.top_per_group(got, ["source_role"], 20, F.desc("priority"), F.col("doc_id")).select("doc_id", "tier_branch", "priority", "place")

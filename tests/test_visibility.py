@@ -1,7 +1,9 @@
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
-from docsignal.rules import analysis, levels, visibility
+from docsignal.rules import analysis, levels, priority, visibility
 
 COLUMNS = ", ".join(f"{c} {t}" for c, t in visibility.INPUTS.items())
 
@@ -84,3 +86,20 @@ def test_topics_by_stems(spark):
     df = spark.createDataFrame(rows, "label string, t string")
     assert [r[0] for r in df.select(analysis.topic_label(F.col("label"), F.col("t"))).collect()] == ["Метка", None, "Переработка сельхозпродукции", analysis.GENERAL, None, None]
     assert levels.IMPORTANCE["background"] == "low"
+
+
+ORDER = [
+    (("Отбор", None, "strategy", None, "open", 0, "dairy"), "today", 410), (("Квоты на импорт", "", "strategy", None, "closed", 0, None), "trade", 380), (("Ограничение приема", None, None, None, None, None, None), "default", 100),
+    (("Ограничение вывоза", None, None, None, None, None, None), "trade", 380), (("Терминал для экспорта", None, None, None, None, None, "other"), "trade", 380), (("Приказ", None, "regional_npa", "new_rule", "open", 3, None), "regional_act", 360),
+    (("Мера", None, "support_documents", "measure_card", None, None, "postanovlenie_1528"), "support_act", 378), (("Отбор", None, None, None, "open", 7, None), "near", 340), (("Отбор", None, None, None, "open", 8, None), "open", 260),
+    (("Отбор", "Условия обновлены", None, None, "open", -1, None), "change", 300), (("План", None, "strategy", None, None, None, None), "discussion", 200), (("Весть", None, "news_signals", None, None, None, None), "news", 180), ((None,) * 7, "default", 100),
+]
+
+
+def test_priorities(spark):
+    assert priority.TIER.unreached(5000) == set()
+    day = dt.date(2024, 3, 1)
+    rows = [(i, *r[:5], day + dt.timedelta(days=r[5]) if r[5] is not None else None, r[6], "kept") for i, (r, *_) in enumerate(ORDER)]
+    df = spark.createDataFrame(rows, "i int, title string, summary string, source_role string, page_type string, application_status string, deadline_date date, topic_family string, words string")
+    got = {r.i: r for r in priority.prioritised(df, "2024-03-01").collect()}
+    assert [(got[i].tier_branch, got[i].priority) for i in range(len(ORDER))] == [(b, n) for _, b, n in ORDER] and got[0].words == "kept"
