@@ -96,8 +96,8 @@ def level_sql() -> str:
     steps += tests(lambda n: n not in late)
     steps += [{"page_type_branch": levels.PAGE_TYPE.branch_sql()}, {"page_type": levels.PAGE_TYPE.value_sql("page_type_branch")}]
     steps += tests(lambda n: n in late)
-    for x in (levels.APPLICABILITY, levels.ACTION_LEVEL):
-        steps += [{f"{x.name}_branch": x.branch_sql()}, {x.name: x.value_sql(f"{x.name}_branch")}]
+    for x in (levels.APPLICABILITY, levels.ACTION_LEVEL, levels.SIGNAL):
+        steps += [{f"{x.name}_branch": x.branch_sql()}, {f"{x.name}_text" if x is levels.SIGNAL else x.name: x.value_sql(f"{x.name}_branch")}]
     return layered(DRESSED, [s for s in steps if s])
 
 
@@ -108,11 +108,11 @@ def guard_sql() -> str:
     return layered(start, [levels.guard_views(), *({n: f"coalesce({p[n]}, false)" for n in layer} for layer in layers(p)), {"lowered": levels.GUARD.sql("action_level")}])
 
 
-@query(f"SELECT doc_id, page_type, page_type_branch, applicability, applicability_branch, action_level, action_level_branch FROM ({level_sql()})")
+@query(f"SELECT doc_id, page_type, page_type_branch, applicability, applicability_branch, action_level, action_level_branch, signal_branch FROM ({level_sql()})")
 def action_levels(t, spark):
-    """Type, applicability and level of every document, with the branches that decided."""
+    """Type, applicability, level and signal of every document, with the branches that decided."""
     got = levels.leveled(t("documents").selectExpr(*dressed(True)), AS_OF, KEYWORDS)
-    return got.select("doc_id", "page_type", "page_type_branch", "applicability", "applicability_branch", "action_level", "action_level_branch")
+    return got.select("doc_id", "page_type", "page_type_branch", "applicability", "applicability_branch", "action_level", "action_level_branch", "signal_branch")
 
 
 @query(f"SELECT doc_id, action_level AS before, lowered AS action_level FROM ({guard_sql()})")

@@ -1,4 +1,4 @@
-"""The whole analysis of a document: facts, topic, type, level, guard and the texts that explain them."""
+"""The whole analysis of a document: facts, topic, type, level, guard and the texts that explain them."""
 
 from __future__ import annotations
 
@@ -96,7 +96,7 @@ def reason(level: Column, topic: Column, page_type: Column, service: Column, sup
 
 
 def analysed(df: DataFrame, as_of: str, keywords: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    """df (title, raw_text, source_name, source_role, url, level, region, content_quality, is_service_page, and signal if there is one) with the analysis' columns.
+    """df (title, raw_text, source_name, source_role, url, level, region, content_quality, is_service_page) with the analysis' columns.
 
     The order is the meaning: facts, topic, type and level, impact, the guard over that level, the impact of
     what it left, the reason. keywords: by group; the package's own if none are given. A null or empty text
@@ -104,7 +104,7 @@ def analysed(df: DataFrame, as_of: str, keywords: Mapping[str, Sequence[str]] |
     """
     keywords = topics.keyword_groups() if keywords is None else keywords
     lacks = [c for c in levels.INPUTS if c not in df.columns and c not in ("deadline_text", "deadline_date", "discussion_date", "application_status", "support_status")]
-    df = df.withColumns({c: F.lit(None).cast(levels.INPUTS[c]) for c in lacks} | ({} if "signal" in df.columns else {"signal": F.lit(None).cast("string")}))
+    df = df.withColumns({c: F.lit(None).cast(levels.INPUTS[c]) for c in lacks})
     told = facts.facts(F.concat_ws(" ", "title", "raw_text"), F.to_date(F.lit(as_of)))
     df = df.withColumn("facts", told).withColumns({c: F.col(f"facts.{c}") for c in ("deadline_text", "application_status", "support_status")})
     df = df.withColumns({"deadline_date": levels.dates.parse_deadline(F.col("deadline_text")), "discussion_date": levels.dates.regulation_deadline(F.col("deadline_text"))})
@@ -116,9 +116,9 @@ def analysed(df: DataFrame, as_of: str, keywords: Mapping[str, Sequence[str]] |
     df = df.withColumn("topic", label).withColumn("impact", of())
     # the guard reads what the analysis wrote, not the text
     known = {c: F.col(c) for c in ("title", "raw_text") if c in df.columns}
-    df = df.withColumns({f"_{c}": v for c, v in known.items()} | {c: F.lit("") for c in ("title", "raw_text", "summary", "reason")})
-    df = levels.guarded(df).withColumns({c: F.col(f"_{c}") for c in known}).drop(*(f"_{c}" for c in known), "summary")
+    df = df.withColumns({f"_{c}": v for c, v in known.items()} | {c: F.lit("") for c in ("title", "raw_text", "summary", "reason")} | {"signal": F.col("business_signal")})
+    df = levels.guarded(df).withColumns({c: F.col(f"_{c}") for c in known}).drop(*(f"_{c}" for c in known), "summary", "signal")
     df = df.withColumn("impact", of())
     service = F.coalesce(F.col("is_service_page"), F.lit(False)) | (F.coalesce(F.col("content_quality"), F.lit("")) == "navigation")
-    why = reason(F.col("action_level"), F.col("topic"), F.col("page_type"), service, F.col("support_status"), F.col("application_status"), F.col("matched_keywords"), F.col("signal"))
+    why = reason(F.col("action_level"), F.col("topic"), F.col("page_type"), service, F.col("support_status"), F.col("application_status"), F.col("matched_keywords"), F.col("business_signal"))
     return df.withColumns({"reason": why, "importance": levels.importance(F.col("action_level")), "is_relevant": F.col("action_level") != "irrelevant"})

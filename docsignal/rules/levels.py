@@ -1,4 +1,4 @@
-"""Page types, applicability, action levels and their lowering for documents about farm support.
+"""Page types, applicability, action levels and their lowering for documents about farm support.
 
 Words, titles and patterns are values in markers.toml. A document is seen through views: its title, leads of
 several lengths, the whole body, its address, and texts normalised for regions and for the sector. The
@@ -159,12 +159,12 @@ def views(d: Plain) -> dict[str, str]:
         "combo": "title_ || ' ' || substr(body_, 1, 1500) || ' ' || url_", "combo2": "title_ || ' ' || substr(body_, 1, 2000) || ' ' || url_", "opening": "title_ || ' ' || substr(body_, 1, 500)",
         "discussed": "title_ || ' ' || substr(body_, 1, 5000) || ' ' || lower(deadline_text)", "sector_text": squashed("title_ || ' ' || substr(body_, 1, 5000)"), 
         "source_key": "source_ || ' ' || url_", "where_": where, "place": "title_ || ' ' || source_ || ' ' || level", "site": "title_ || ' ' || source_ || ' ' || url_",
-        "region_text": "' ' || trim(" + d.replaced(region, "[^0-9a-zа-я]+", " ") + ") || ' '", "flat": squashed("body_"), "flat_start": "substr(" + squashed("body_") + ", 1, 80)",
+        "region_text": "' ' || trim(" + d.replaced(region, "[^0-9a-zа-я]+", " ") + ") || ' '", "title_url": "title_ || ' ' || url_", "title_twice": "title_ || ' ' || title_", "deadline_low": "lower(deadline_text)", "flat": squashed("body_"), "flat_start": "substr(" + squashed("body_") + ", 1, 80)",
     }
 
 
 #: Views that markers are looked for in.
-SEEN = ("title_", "body_", "url_", "lead", "lead2", "joint", "joint2", "combo", "combo2", "opening", "discussed", "sector_text", "source_key", "where_", "place", "site", "region_text", "flat_start")
+SEEN = ("title_", "body_", "url_", "lead", "lead2", "joint", "joint2", "combo", "combo2", "opening", "discussed", "sector_text", "source_key", "where_", "place", "site", "region_text", "title_url", "title_twice", "deadline_low", "flat_start")
 
 
 def predicates(d: Plain, as_of: str) -> dict[str, str]:
@@ -299,6 +299,20 @@ def predicates(d: Plain, as_of: str) -> dict[str, str]:
     p["news_strict"], p["news_generic"], p["news_agro_text"] = d.rx("rx_news_strict", "joint"), d.rx("rx_news_generic", "joint"), d.any("news_agro", "joint")
     p["news_signal"] = f"NOT news_muted AND (port_export OR news_agro_text AND (news_strict OR NOT news_generic AND (strict_keyword OR {d.any('kw_news', 'joint')})))"
     p["strict_keyword"] = d.any("kw_strict", "joint")
+    # signals
+    p["low_call_title"] = d.any("low_value_call", "title_url")
+    p["low_title_page"] = (
+        f"source_role IN ('support_documents', 'regional_npa') AND ({d.any('low_value_title', 'title_')} OR low_call_title AND low_soft AND NOT {d.any('low_value_exception', 'title_url')}"
+        f" OR NOT low_call_title AND (low_soft OR {d.any('low_value_body', 'title_url')} OR {d.any('url_low_value', 'url_')}))"
+    )
+    p["order_title"] = d.one("приказ", "title_")
+    p["public_words"], p["consulting_words"] = d.one("публич", "title_url"), d.one("консультац", "title_url")
+    p["deadline_of_discussion"] = d.any("discussion_stage", "deadline_low")
+    p["suspended"] = d.one("приостановлен", "joint")
+    p["generic_section_title"] = f"orders_title OR {d.titled('titles_generic')}"
+    muted = f"{d.rx('rx_no_signals', 'title_twice')} OR {d.rx('rx_news_negated', 'title_twice')} OR NOT title_port AND NOT {title_strong} AND ({d.rx('rx_news_background_title', 'title_')} OR {d.rx('rx_news_market_title', 'title_')})"
+    p["title_port"] = f"{d.rx('rx_news_port', 'title_twice')} AND {d.any('news_export', 'title_twice')}"
+    p["title_signal"] = f"NOT ({muted}) AND (title_port OR {d.any('news_agro', 'title_twice')} AND ({d.rx('rx_news_strict', 'title_twice')} OR NOT {d.rx('rx_news_generic', 'title_twice')} AND {d.any('kw_news', 'title_twice')}))"
     return p
 
 
@@ -448,6 +462,89 @@ ACTION_LEVEL = Decision("action_level", tuple(Branch(*b) for b in (
     ("mentioned", "action_words OR keywords", "background"),
 )), "irrelevant")
 
+LISTED = "('reference_page', 'section_page', 'category_page', 'year_archive')"
+SIGNAL = Decision("signal", tuple(Branch(*b) for b in (
+    ("not_applicable", "applicability <> 'ok'", "not_applicable"),
+    ("corruption", "corruption", "corruption"),
+    ("foreign_sector", "action_level IN ('background', 'irrelevant') AND support_status <> 'inactive' AND application_status <> 'closed' AND gated AND NOT agro AND page_type IN ('selection_announcement', 'measure_card', 'new_rule', 'deadline_update', 'news_background', 'unknown')", "foreign_sector"),
+    ("results", "page_type IN ('results_protocol', 'registry')", "results"),
+    ("low_page", "low_title_page", "low_page"),
+    ("orders", "page_type = 'reference_page' AND order_title", "orders"),
+    ("project", f"source_role = 'strategy' AND domain = '{REGULATION}' AND deadline_of_discussion", "project"),
+    ("strategy_dated", "source_role = 'strategy' AND (has_deadline OR public_words)", "strategy_dated"),
+    ("strategy", "source_role = 'strategy'", "strategy"),
+    ("regional_public", "source_role = 'regional_npa' AND (public_words OR consulting_words)", "regional_public"),
+    ("regional_listed", f"source_role = 'regional_npa' AND page_type IN {LISTED}", "regional_listed"),
+    ("regional_urgent", "source_role = 'regional_npa' AND action_level = 'requires_attention'", "regional_urgent"),
+    ("regional", "source_role = 'regional_npa'", "regional"),
+    ("documents_listed", "source_role = 'support_documents' AND page_type IN ('reference_page', 'section_page', 'category_page')", "listed"),
+    ("krasnodar_open", "krasnodar_order AND application_status = 'open' AND has_deadline", "krasnodar_open"),
+    ("krasnodar_suspended", "krasnodar_order AND application_status = 'closed' AND suspended", "krasnodar_suspended"),
+    ("krasnodar", "krasnodar_order", "krasnodar"),
+    ("ministry", "source_role = 'news_signals' AND ministry_news", "ministry"),
+    ("news", "source_role = 'news_signals' AND title_signal", "news"),
+    ("market", "source_role = 'news_signals'", "market"),
+    ("section", "page_type IN ('reference_page', 'section_page') AND generic_section_title AND regional", "listed"),
+    ("measure_listing", "page_type = 'reference_page' AND support_context", "measure_listing"),
+    ("measure_elsewhere", "support_context AND NOT target_region AND NOT federal_measure AND support_status = 'active'", "measure_elsewhere"),
+    ("inactive", "support_status = 'inactive'", "inactive"),
+    ("closed", "application_status = 'closed'", "closed"),
+    ("regular", "support_status = 'active' AND application_status = 'regular' AND NOT permanent", "regular"),
+    ("permanent", "support_status = 'active' AND application_status = 'regular'", "permanent"),
+    ("open", "application_status = 'open'", "open"),
+    ("new_rule", "action_level = 'requires_attention' AND page_type = 'new_rule'", "new_rule"),
+    ("measure", "support_context", "measure"),
+)), "default")
+#: Texts of signals; {why} and {deadline} are put in: fixed values.
+SIGNALS = {
+    "not_applicable": "{why}",
+    "corruption": "Внутренний административный/антикоррупционный приказ; прямой GR-сигнал для АПК не выявлен.",
+    "foreign_sector": "Непрофильный документ: контекст АПК или сельского хозяйства не подтвержден.",
+    "results": "Результаты/протокол отбора: не требует срочной реакции",
+    "low_page": "Общий раздел/служебная страница; прямой GR-сигнал не выявлен.",
+    "orders": "Общий раздел документов/приказов; прямой GR-сигнал не выявлен.",
+    "project": "Проект НПА на публичном обсуждении со сроком; проверить влияние и необходимость GR-позиции.",
+    "strategy_dated": "Стратегический федеральный документ с обсуждением или сроком; держать на контроле.",
+    "strategy": "Стратегический федеральный сигнал по господдержке или порядку регулирования.",
+    "regional_public": "Региональный НПА / публичные консультации по профильной теме; держать на наблюдении.",
+    "regional_listed": "Общий раздел/архив НПА; прямой GR-сигнал не выявлен.",
+    "regional_urgent": "Региональный НПА с прямым действием: проверить порядок, условия вступления в силу и сроки.",
+    "regional": "Региональный НПА по профильной теме: держать на наблюдении.",
+    "listed": "Общий раздел/список документов; прямой GR-сигнал не выявлен.",
+    "krasnodar_open": "Открыт конкурсный отбор или приём заявок Минсельхоза Краснодарского края (срок подачи: {deadline}): проверить условия участия.",
+    "krasnodar_suspended": "Приём заявок по данной мере поддержки приостановлен. Отслеживать возобновление или новый конкурсный отбор.",
+    "krasnodar": "Региональный приказ Минсельхоза Краснодарского края по субсидии, гранту или порядку поддержки; держать на наблюдении.",
+    "ministry": "Официальная новость Минсельхоза с GR-сигналом по господдержке, регулированию, экспорту, логистике или цифровизации АПК.",
+    "news": "Новостной предвестник возможных изменений господдержки, экспорта или регулирования.",
+    "market": "Рыночный или отраслевой фон без прямого регуляторного сигнала.",
+    "measure_listing": "Страница похожа на раздел/листинг мер поддержки, не на конкретную карточку меры.",
+    "measure_elsewhere": "Активная мера поддержки вне целевой географии; оставлена для справки.",
+    "inactive": "Неактивная мера поддержки: оставить в справочном блоке",
+    "closed": "Прием заявок или отбор завершены: срочная реакция не требуется",
+    "regular": "Постоянная федеральная мера поддержки; срочное окно подачи не выявлено.",
+    "permanent": "Активная федеральная мера поддержки, действует на регулярной основе",
+    "open": "Найден признак приема заявок",
+    "new_rule": "Найдено изменение порядка или новый регуляторный акт",
+    "measure": "Справочная мера поддержки без срочного действия",
+    "default": "Отраслевой фон без прямого действия",
+}
+#: Why a measure does not concern us, by branch of applicability: fixed values.
+WHY_TOPIC, WHY_REGION = "Непрофильная для AHSTEP тема; документ сохранён только для архива.", "Регион вне фокуса AHSTEP; документ сохранён справочно."
+WHY = {
+    "hard_topic": WHY_TOPIC, "excluded_topic": WHY_TOPIC, "news_low": WHY_REGION, "news_national": WHY_REGION, "news_elsewhere": WHY_REGION, "market_elsewhere": WHY_REGION, "elsewhere": WHY_REGION,
+    "local_moscow": "Локальная мера Московской области без федеральной, корпоративной, логистической или финансовой привязки; документ сохранён справочно.",
+    "measure_market": SIGNALS["measure_elsewhere"], "measure_elsewhere": SIGNALS["measure_elsewhere"],
+}
+
+
+def by_name(texts: Mapping[str, str], name: Column) -> Column:
+    """The text of a name."""
+    out = None
+    for n, t in texts.items():
+        out = F.when(name == n, t) if out is None else out.when(name == n, t)
+    return out
+
+
 IMPORTANCE = {"requires_attention": "high", "watchlist": "medium", "background": "low", "irrelevant": "low"}
 
 
@@ -516,7 +613,7 @@ def groups(keywords: Mapping[str, Sequence[str]] | None = None) -> dict[str, tup
 SINGLES = (
     "/content/", "/documents/", "приказ", "апк", "субсид", "министерств", "сельского хозяйства", "сельхоз", "агропромышлен", "гисп", "реестр", "получател", "список", "/doc/view/", "/gospodderzhka/obyavleniya-20",
     "/public/minfin/selection/view/", "/projects/", "/measure/", "/nmp/main/", "навига", " нао ", "promote.budget.gov.ru", "господдерж", "порядок предоставления субсид", "изменени", "mcx.gov.ru", "gisp", "меры поддержки",
-    "subsid", "федерал", "экспорт", "сельск", "минсельхоз", "пошлин", KRASNODAR, MINISTRY_NEWS, MARKET_BACKGROUND,
+    "subsid", "публич", "консультац", "приостановлен", "федерал", "экспорт", "сельск", "минсельхоз", "пошлин", KRASNODAR, MINISTRY_NEWS, MARKET_BACKGROUND,
 )
 
 
@@ -527,14 +624,14 @@ def base_columns(d: Plain) -> dict[str, str]:
 
 
 def leveled(df: DataFrame, as_of: str, keywords: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    """df with page_type, applicability, action_level, their branches, importance, and matched_keywords.
+    """df with page_type, applicability, action_level, their branches, importance, matched_keywords, and business_signal with its branch (M9).
 
     Columns of df that are called as working ones come back unharmed.
     """
     d = Bits(groups(keywords), SINGLES)
     blank = {"string": F.lit(""), "boolean": F.lit(False)}
     given = {c: F.coalesce(F.col(c).cast(t), blank[t]) if t in blank else F.col(c).cast(t) for c, t in INPUTS.items()}
-    aside, back = set_aside(df, ("page_type", "page_type_branch", "applicability", "applicability_branch", "action_level", "action_level_branch", "importance", "matched_keywords"))
+    aside, back = set_aside(df, ("page_type", "page_type_branch", "applicability", "applicability_branch", "action_level", "action_level_branch", "importance", "matched_keywords", "signal_branch", "business_signal"))
     out = df.select(*aside, *(c.alias(n) for n, c in given.items()))
     out = out.withColumns({n: F.expr(e) for n, e in base_columns(d).items()})
     out = out.withColumns({n: F.expr(e) for n, e in views(d).items()})
@@ -545,9 +642,11 @@ def leveled(df: DataFrame, as_of: str, keywords: Mapping[str, Sequence[str]] | N
         late |= more
     out = PAGE_TYPE.decide(with_predicates(out, {n: e for n, e in every.items() if n not in late}))
     out = with_predicates(out, {n: e for n, e in every.items() if n in late})
-    out = ACTION_LEVEL.decide(APPLICABILITY.decide(out))
+    out = SIGNAL.decide(ACTION_LEVEL.decide(APPLICABILITY.decide(out)))
+    why = F.coalesce(by_name(WHY, F.col("applicability_branch")), F.lit(""))
+    told = F.replace(F.replace(by_name(SIGNALS, F.col("signal")), F.lit("{why}"), why), F.lit("{deadline}"), F.col("deadline_text"))
     hits = d.markers.which(("seen_.title_", "seen_.body_"), list(d.groups["kw_hit"]))
-    return out.select(*back, "page_type", "page_type_branch", "applicability", "applicability_branch", "action_level", "action_level_branch", importance(F.col("action_level")).alias("importance"), hits.alias("matched_keywords"))
+    return out.select(*back, "page_type", "page_type_branch", "applicability", "applicability_branch", "action_level", "action_level_branch", importance(F.col("action_level")).alias("importance"), hits.alias("matched_keywords"), "signal_branch", told.alias("business_signal"))
 
 
 def guarded(df: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ def rows_of(decision, n, seed):
     return [{k: rng.choice(v) if rng.random() < 0.3 else v[0] for k, v in domains.items()} for _ in range(n)]
 
 
-@pytest.mark.parametrize("decision", [levels.PAGE_TYPE, levels.APPLICABILITY, levels.ACTION_LEVEL], ids=lambda d: d.name)
+@pytest.mark.parametrize("decision", [levels.PAGE_TYPE, levels.APPLICABILITY, levels.ACTION_LEVEL, levels.SIGNAL], ids=lambda d: d.name)
 def test_every_branch_decides_something(spark, decision):
     assert decision.unreached(40_000) == set()
     rows = rows_of(decision, 300, 2)
@@ -130,6 +130,10 @@ def test_documents_get_their_branches(spark):
         r = got[i]
         assert [r.page_type, r.page_type_branch, r.action_level, r.action_level_branch] == want, d
         assert (r.domain, r.agro, r.title) == ("a", "b", d[0])
+    signal = lambda i: (got[i].signal_branch, got[i].business_signal)
+    assert signal(19) == ("not_applicable", levels.SIGNALS["measure_elsewhere"]) and signal(20) == ("not_applicable", levels.WHY_TOPIC)
+    assert signal(6) == ("krasnodar_open", "Открыт конкурсный отбор или приём заявок Минсельхоза Краснодарского края (срок подачи: до 2024-03-10): проверить условия участия.")
+    assert [signal(i)[0] for i in (11, 13, 14, 21, 23, 24, 27)] == ["results", "strategy_dated", "regional", "market", "market", "default", "default"]
 
 
 def test_levels_of_nulls_and_nothing(spark):

@@ -74,7 +74,7 @@ def test_analysis(spark):
     assert (one.page_type, one.action_level, one.importance, one.is_relevant) == ("measure_card", "requires_attention", "high", True)
     assert one.deadline_text == "Прием заявок до 15.03.2024 для молочного животноводства" and one.application_status == "open"
     assert one.impact == analysis.IMPACT["open_dated"].replace("{deadline}", one.deadline_text) and one.title == rows[0][1]
-    assert one.reason.startswith("Документ требует внимания GR") and one.reason.endswith("Бизнес-сигнал: не выделен.") and f"Тема: {one.topic}." in one.reason
+    assert one.reason.startswith("Документ требует внимания GR") and one.business_signal == levels.SIGNALS["open"] and one.reason.endswith(f"Бизнес-сигнал: {one.business_signal}.") and f"Тема: {one.topic}." in one.reason
     assert (got[2].action_level, got[2].reason, got[2].impact) == ("irrelevant", analysis.REASON["irrelevant"], analysis.IMPACT["default"])
     assert got[4].action_level == "irrelevant" and got[4].topic is None and got[4].reason == analysis.REASON["service"]
     assert got[5].topic == analysis.GENERAL and got[5].reason == analysis.REASON["listing"]
