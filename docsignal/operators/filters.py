@@ -85,3 +85,28 @@ def backfill_reason(old: Column, new: Column, title: Column, share: float = 0.5)
     titled = ((whole != "") & F.contains(flat(new), whole)) | ((F.size(words) >= 4) & F.contains(flat(new), start))
     short = (length(old) > 0) & (length(new) < F.floor(length(old) * share)) & ~titled
     return F.when(length(new) == 0, "skipped_empty_text").when(short, "skipped_low_quality")
+
+
+#: Levels that are worth an enrichment, states of one that may be shown, and what its words of confidence count: fixed values.
+ENRICHED_LEVELS, SHOWN_STATES = ("requires_attention", "watchlist"), ("success", "fallback")
+CONFIDENCE, LEAST_CONFIDENCE = {"high": 0.9, "medium": 0.75, "low": 0.45}, 0.5
+
+
+def enrichment_eligible(level: Column) -> Column:
+    """Whether a document of the level is enriched."""
+    return F.coalesce(F.trim(level).isin(*ENRICHED_LEVELS), F.lit(False))
+
+
+def enrichment_shown(status: Column, error: Column, version: Column, confidence: Column, words: Column, has_facts: Column, current: str, least: float = LEAST_CONFIDENCE) -> Column:
+    """Whether a stored enrichment is shown: a good state (a missing one is good), no error unless it is a fallback, facts of the current version, and confidence enough.
+
+    confidence: a number, which counts before words; without both, and for rows without facts, nothing is asked of it.
+    """
+    state = F.lower(F.trim(F.coalesce(F.nullif(status, F.lit("")), F.lit("success"))))
+    failed = (F.trim(F.coalesce(error, F.lit(""))) != "") & (state != "fallback")
+    own = F.trim(F.coalesce(version, F.lit("")))
+    spoken = F.lit(0.0)
+    for word, n in CONFIDENCE.items():
+        spoken = F.when(F.lower(F.trim(words)) == word, n).otherwise(spoken)
+    score = F.coalesce(confidence.cast("double"), F.when(has_facts, spoken))
+    return state.isin("", *SHOWN_STATES) & ~failed & ~(has_facts & (own != "") & (own != current)) & F.coalesce(score >= least, F.lit(True))

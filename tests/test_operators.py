@@ -165,3 +165,16 @@ def test_latest_file(spark, tmp_path):
         (tmp_path / name).write_text("x")
         os.utime(tmp_path / name, (1_000_000 + i, 1_000_000 + i))
     assert health.latest_file(spark, str(tmp_path), "gr_*.md").endswith("gr_2.md")
+
+
+def test_enrichments_that_are_shown(spark):
+    rows = [
+        (("success", None, "v5", 0.5, None, True), True), ((None, "", "v5", None, "high", True), True), (("failed", None, "v5", 0.9, None, True), False), (("success", "boom", "v5", 0.9, None, True), False),
+        (("Fallback ", "boom", "v5", 0.9, None, True), True), (("success", None, "v4", 0.9, None, True), False), (("success", None, "v4", 0.9, None, False), True), (("success", None, "", None, "low", True), False),
+        (("success", None, None, None, "odd", True), False), (("success", None, None, None, None, False), True), (("success", None, None, 0.49, "high", True), False),
+    ]
+    df = spark.createDataFrame([r for r, _ in rows], "status string, error string, version string, confidence double, words string, has_facts boolean")
+    got = df.select(filters.enrichment_shown(*map(F.col, df.columns), "v5").alias("v")).collect()
+    assert [r.v for r in got] == [v for _, v in rows]
+    levels = spark.createDataFrame([("watchlist ",), ("background",), (None,)], "l string").select(filters.enrichment_eligible(F.col("l")).alias("v"))
+    assert [r.v for r in levels.collect()] == [True, False, False]
