@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -11,9 +12,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Titles that meet in one task, on each side. A block of more is compared in pairs of tiles.
-TILE = 512
+TILE = 4096
 #: Characters are counted by their code modulo this; counts that fall together only weaken the bound.
 BINS = 64
+#: Bins that every pair is compared in, the most telling ones first, before the pairs that are left are compared in all.
+FIRST_BINS = 24
+#: From this length of the second text on, difflib passes over its frequent characters.
+FREQUENT_FROM = 200
+#: (length of a shared piece, length of the gram that stands for it), the longest first.
+PIECES = ((16, 12), (13, 9), (10, 6))
+#: Counts of grams by hash, which say which gram of a piece is the rarest; they have no influence on what is found.
+BUCKETS = 1 << 18
+#: Titles whose grams are written together.
+AT_ONCE = 200
 
 
 def similar_titles(df: DataFrame, key: str, title_key: str, url_key: str | None, ordinal: str, ratio: float = 0.92, least: int = 24) -> DataFrame:
@@ -24,10 +35,11 @@ def similar_titles(df: DataFrame, key: str, title_key: str, url_key: str | None,
     it, one of at least `ratio`, where both have at least `least` characters; else it leads a new group.
     Null titles are empty ones, null and empty urls are none. Repeated rows join the first of them.
 
-    Which titles can be similar shows without a loss: their numbers agree, their lengths lie in one band
-    or in neighbouring ones, and the characters they share suffice. Blocks of equal numbers and band are
-    compared in tiles of fixed size, so that no block has to fit into a task; the work still grows with
-    the square of a block. Leaders are found in rounds, as many as the longest chain that needs them.
+    Which titles can be similar shows without a loss: their numbers agree, their lengths are near, and
+    either they share a rare piece (_by_pieces), which holds for a long leader, or the characters they share
+    suffice. For the latter, blocks of equal numbers and lengths in one band or in neighbouring ones are
+    compared in tiles of fixed size, so that no block has to fit into a task; that work still grows with the
+    square of a block of short titles. Leaders are found in rounds, as many as the longest chain that needs them.
     """
     spark = df.sparkSession
     if not (spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)):
@@ -53,31 +65,120 @@ def similar_titles(df: DataFrame, key: str, title_key: str, url_key: str | None,
     return out.select(F.col("id.k").alias(key), F.col("leader.k").alias("leader"))
 
 
-def _tiles(classes: DataFrame, ratio: float) -> DataFrame:
-    """Columns unit, side, id, t: the tiles that meet. A unit has one side 0, or a side 1 and a side 2."""
+def _piece(title: str, ratio: float) -> tuple[int, int, int]:
+    """Of a leader: the characters that must agree, in how many blocks at most, and how long the longest is at least (0: not known).
+
+    difflib starts a block at a character of the second text that is not frequent in it, or at both starts, so
+    that there are no more blocks than such characters and one.
+    """
+    n = len(title)
+    if n < FREQUENT_FROM:
+        return 0, 0, 0
+    blocks = 1 + sum(c for c in Counter(title).values() if c <= n // 100 + 1)
+    agree = math.ceil(ratio / (2 - ratio) * n - 1e-6)
+    return agree, blocks, -(-agree // blocks)
+
+
+def _grams(title: str, size: int) -> np.ndarray:
+    """Hashes of 53 bits."""
+    codes = np.frombuffer(title.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    n = max(len(codes) - size + 1, 0)
+    h = np.full(n, size, np.uint64)
+    for i in range(size if n else 0):
+        h = h * np.uint64(1000003) + codes[i : i + n]
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ (h >> np.uint64(32))) >> np.uint64(11)
+
+
+def _rarity(classes: DataFrame) -> np.ndarray:
+    """Per size of grams and bucket of their hashes how frequent they are, on a logarithmic scale below 1024."""
+
+    def run(batches):
+        out = np.zeros((len(PIECES), BUCKETS), np.int64)
+        for rows in batches:
+            for t in rows["t"]:
+                for k, (_, size) in enumerate(PIECES):
+                    np.add.at(out[k], _grams(t, size) % np.uint64(BUCKETS), 1)
+        k, bucket = np.nonzero(out)
+        yield pd.DataFrame({"k": k, "bucket": bucket, "n": out[k, bucket]})
+
+    got = classes.select("t").mapInPandas(run, "k long, bucket long, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros((len(PIECES), BUCKETS))
+    out[got["k"], got["bucket"]] = got["n"]
+    return np.minimum(np.log2(out + 1) * 24, 1023).astype(np.uint64)
+
+
+def _keys(title: str, kind: int, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rarest gram of each piece of a title, the rarest first, and of how many pieces it is that. Equal pieces have equal ones."""
+    size, gram = PIECES[kind]
+    h = _grams(title, gram)
+    if len(h) < size - gram + 1:
+        return h[:0], np.zeros(0, np.int64)
+    h |= rarity[kind][h % np.uint64(BUCKETS)] << np.uint64(53)
+    return np.unique(np.lib.stride_tricks.sliding_window_view(h, size - gram + 1).min(axis=1), return_counts=True)
+
+
+def _by_pieces(rows: DataFrame, ratio: float) -> DataFrame:
+    """Pairs n, leader of rows that share a piece which shows that they can be similar, for all leaders that have a kind.
+
+    A leader's longest block is at least as long as its kind of pieces, so that both titles hold a piece, and
+    hence its rarest gram. All pieces inside blocks agree, so that their number has a least; a leader
+    gives away its most frequent grams as long as they stand for less than half of it, and the rest must be found.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(_rarity(rows))
+
+    def run(batches, leads: bool):
+        for part in batches:
+            for at in range(0, len(part), AT_ONCE):
+                some = part.iloc[at : at + AT_ONCE]
+                found, times, of = [], [], []
+                for row, t, numbers, kind in zip(some["n"], some["t"], some["hn"], some["kind"]):
+                    for k in [kind] if leads else range(len(PIECES)):
+                        keys, pieces = _keys(t, k, shared.value)
+                        least = 0
+                        if leads:
+                            agree, blocks, _ = _piece(t, ratio)
+                            agree -= (PIECES[k][0] - 1) * blocks
+                            kept = np.cumsum(pieces[::-1])[::-1] > (agree - 1) // 2
+                            least = agree - pieces[~kept].sum()
+                            keys, pieces = keys[kept], pieces[kept]
+                        found.append(keys.astype(np.int64) ^ numbers)
+                        times.append(pieces)
+                        of.append((row, len(t), least, len(keys)))
+                n, size, least, many = np.array(of).T
+                yield pd.DataFrame({"key": np.concatenate(found), "n": np.repeat(n, many), "size": np.repeat(size, many), "pieces": np.concatenate(times), "least": np.repeat(least, many)})
+
+    schema = "key long, n long, size int, pieces int, least int"
+    given = rows.select("n", "t", "hn", "kind")
+    leaders = given.filter("kind >= 0").mapInPandas(lambda b: run(b, True), schema).withColumnsRenamed({"n": "leader", "size": "of"})
+    least = FREQUENT_FROM * ratio / (2 - ratio) - 1
+    others = given.filter(F.length("t") >= least).mapInPandas(lambda b: run(b, False), schema).select("key", "n", "size")
+    small, large = F.least("size", "of"), F.greatest("size", "of")
+    near = (F.col("n") != F.col("leader")) & (2 * small >= ratio * (small + large) - 1e-6)
+    met = others.join(leaders, "key").filter(near).groupBy("n", "leader").agg(F.sum("pieces").alias("pieces"), F.first("least").alias("least"))
+    return met.filter("pieces >= least").select("n", "leader")
+
+
+def _tiles(rows: DataFrame, ratio: float) -> DataFrame:
+    """Columns unit, side, id, t, plain: the tiles that meet, of plain rows with each other and with the rest. A unit has one side 0, or a side 1 and a side 2."""
     # 2 min >= ratio (a + b), so that the longer one has at most this many times the length of the shorter
     step = math.log((2 - ratio) / ratio * (1 + 1e-9))
-    rows = classes.withColumn("numbers", F.concat_ws(" ", F.regexp_extract_all("t", F.lit(r"(?U)\d+"), F.lit(0))))
-    rows = rows.withColumn("band", F.floor(F.log(F.length("t")) / step))
-    n = rows.groupBy("numbers", "band").agg(F.ceil(F.count("*") / TILE).alias("parts"))
-    for name, shift in (("parts", 0), ("above", 1), ("below", -1)):
-        rows = rows.join(n.select("numbers", (F.col("band") - shift).alias("band"), F.col("parts").alias(name)), ["numbers", "band"], "left")
-    rows = rows.withColumn("p", F.pmod(F.xxhash64("t"), "parts"))
-
-    def meets(count: str, unit) -> Column:
-        """Units with each part of the other block."""
-        return F.when(F.col(count) > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col(count) - 1), unit))
+    rows = rows.withColumns({"band": F.floor(F.log(F.length("t")) / step), "plain": F.col("kind") < 0})
+    at = ["numbers", "band", "plain"]
+    n = rows.groupBy(*at).agg(F.ceil(F.count("*") / TILE).alias("parts")).checkpoint()
+    rows = rows.join(n, at).withColumn("p", F.pmod(F.xxhash64("t"), "parts"))
+    parts = n.select("numbers", "band", "plain", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("p"))
+    one = parts.filter("plain").select("numbers", F.col("band").alias("b1"), F.col("p").alias("p1"), F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("b2"))
+    two = parts.select("numbers", F.col("band").alias("b2"), F.col("plain").alias("plain2"), F.col("p").alias("p2"))
+    met = one.join(two, ["numbers", "b2"]).filter(~F.col("plain2") | (F.struct("b1", "p1") <= F.struct("b2", "p2")))
+    same = F.col("plain2") & (F.col("b1") == F.col("b2")) & (F.col("p1") == F.col("p2"))
 
-    def unit(band: Column, kind: int, first: Column, second: Column, side: Column) -> Column:
-        return F.struct(F.struct(F.col("numbers"), band.alias("band"), F.lit(kind).alias("kind"), first.alias("p"), second.alias("q")).alias("unit"), side.cast("int").alias("side"))
+    def side(band: str, plain: Column, p: str, k: int) -> Column:
+        return F.struct(F.col(band).alias("band"), plain.alias("plain"), F.col(p).alias("p"), F.when(same, 0).otherwise(k).alias("side"))
 
-    p, band = F.col("p"), F.col("band")
-    own = meets("parts", lambda q: unit(band, 0, F.least(p, q), F.greatest(p, q), F.when(p == q, 0).when(p < q, 1).otherwise(2)))
-    up = meets("above", lambda q: unit(band, 1, p, q, F.lit(1)))
-    down = meets("below", lambda q: unit(band - 1, 1, q, p, F.lit(2)))
-    none = F.array().cast("array<struct<unit:struct<numbers:string,band:bigint,kind:int,p:bigint,q:bigint>,side:int>>")
-    met = F.concat(own, F.coalesce(up, none), F.coalesce(down, none))
-    return rows.select("id", "t", F.explode(met).alias("m")).select("m.unit", "m.side", "id", "t")
+    first, second = side("b1", F.lit(True), "p1", 1), side("b2", F.col("plain2"), "p2", 2)
+    met = met.select("numbers", F.struct("numbers", "b1", "p1", "b2", "plain2", "p2").alias("unit"), F.explode(F.when(same, F.array(first)).otherwise(F.array(first, second))).alias("s"))
+    return rows.join(met.select("numbers", "unit", "s.*"), [*at, "p"]).select("unit", "side", "id", "t", "plain")
 
 
 def _counts(titles: list[str]) -> np.ndarray:
@@ -87,35 +188,128 @@ def _counts(titles: list[str]) -> np.ndarray:
     return out
 
 
+def _near(counts: np.ndarray, leads: np.ndarray, ratio: float, high: int = 32, wide: int = 8192):
+    """Pairs i, j in arrays, i before j and leading, of rows that share characters enough."""
+    size = counts.sum(axis=1)
+    least, span = counts.min(axis=0), np.ptp(counts, axis=0)
+    bins = np.argsort(-counts.std(axis=0))[:FIRST_BINS]
+    bins = bins[span[bins] > 0]
+    kind = np.uint8 if len(bins) == 0 or span[bins].max() <= 255 else np.int32
+    few = np.ascontiguousarray((counts - least)[:, bins].T.astype(kind))
+    # sums of bytes that cannot overflow
+    groups, room = [], -1
+    for g, b in enumerate(bins.tolist()):
+        room -= span[b]
+        if room < 0 and kind is np.uint8 or not groups:
+            groups.append([])
+            room = 255 - span[b]
+        groups[-1].append(g)
+    sums = np.uint16 if kind is np.uint8 else np.int32
+    most = np.floor((1 - ratio) * size * (1 + (2 - ratio) / ratio) + 1e-6)
+    most = np.minimum(most, np.iinfo(sums).max).astype(sums)
+    who = np.flatnonzero(leads)
+    for at in range(0, len(who), high):
+        a = who[at : at + high]
+        for x in range(int(a[0]) + 1, len(counts), wide):
+            y = min(x + wide, len(counts))
+            whole = np.zeros((len(a), y - x), sums)
+            up, down = np.empty(whole.shape, kind), np.empty(whole.shape, kind)
+            for group in groups:
+                part = np.zeros(whole.shape, kind)
+                for g in group:
+                    np.maximum(few[g, a][:, None], few[g, x:y][None], out=up)
+                    np.minimum(few[g, a][:, None], few[g, x:y][None], out=down)
+                    np.subtract(up, down, out=up)
+                    np.add(part, up, out=part)
+                np.add(whole, part, out=whole)
+            i, j = np.nonzero(whole <= most[a][:, None])
+            i, j = a[i], j + x
+            i, j = i[j > i], j[j > i]
+            for z in range(0, len(i), 1 << 16):
+                u, v = i[z : z + (1 << 16)], j[z : z + (1 << 16)]
+                both = size[u] + size[v]
+                fits = both - np.abs(counts[u] - counts[v]).sum(axis=1) >= ratio * both - 1e-6
+                yield u[fits], v[fits]
+
+
+class _Leader:
+    """Compares titles with one that leads."""
+
+    def __init__(self, title: str, ratio: float):
+        from difflib import SequenceMatcher
+
+        self.title, self.ratio = title, ratio
+        self.matcher = SequenceMatcher(None, "", title)  # the leader is the second one
+        self.at: dict[str, int] = {}
+        for i, c in enumerate(title):
+            self.at[c] = self.at.get(c, 0) | 1 << i
+
+    def common(self, title: str) -> int:
+        """Length of the longest common subsequence, by bits."""
+        whole = (1 << len(self.title)) - 1
+        v = whole
+        for c in title:
+            u = v & self.at.get(c, 0)
+            v = ((v + u) | (v - u)) & whole
+        return len(self.title) - v.bit_count()
+
+    def similar(self, title: str) -> bool:
+        # what difflib matches is a common subsequence
+        if 2 * self.common(title) < self.ratio * (len(title) + len(self.title)) - 1e-6:
+            return False
+        self.matcher.set_seq1(title)
+        return self.matcher.ratio() >= self.ratio
+
+
 def _links(classes: DataFrame, ratio: float) -> DataFrame:
     """Pairs a, b of ids whose titles are similar, a before b."""
     of_id = classes.schema["id"].dataType.simpleString()
-    named = _tiles(classes, ratio).select("unit", "side", F.col("id.*"), "t")
+    kinds = {f.name: f.dataType.simpleString() for f in classes.schema["id"].dataType.fields}
+    schema = ", ".join(f"{s}{c} {kind}" for s in "ab" for c, kind in kinds.items())
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        from difflib import SequenceMatcher
+    @F.pandas_udf("int")
+    def kind(titles: pd.Series) -> pd.Series:
+        longest = (_piece(t, ratio)[2] for t in titles)
+        return pd.Series([next((k for k, (size, _) in enumerate(PIECES) if size <= n), -1) for n in longest], dtype="int32")
+
+    # work by the row is long and its bytes are few, so that Spark would put it into too few tasks
+    tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = classes.repartition(tasks, "t").withColumn("numbers", F.concat_ws(" ", F.regexp_extract_all("t", F.lit(r"(?U)\d+"), F.lit(0))))
+    rows = rows.withColumns({"hn": F.xxhash64("numbers"), "kind": kind("t"), "n": F.monotonically_increasing_id()}).checkpoint()
 
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["o", "k", "h"], ignore_index=True)
         titles, side = rows["t"].tolist(), rows["side"].to_numpy()
-        counts = _counts(titles)
-        size = counts.sum(axis=1)
-        found = []
-        for i in range(len(titles) - 1):
-            both = size[i] + size[i + 1 :]
-            fits = both - np.abs(counts[i + 1 :] - counts[i]).sum(axis=1) >= ratio * both - 1e-6
-            fits &= (side[i + 1 :] != side[i]) | (side[i] == 0)
-            matcher = SequenceMatcher(None, "", titles[i]) if fits.any() else None  # the leader is the second one
-            for j in (np.flatnonzero(fits) + i + 1).tolist():
-                matcher.set_seq1(titles[j])
-                if matcher.ratio() >= ratio:
-                    found.append((i, j))
+        found, leader, who = [], None, -1
+        for i, j in _near(_counts(titles), rows["plain"].to_numpy(), ratio):
+            met = (side[i] != side[j]) | (side[i] == 0)
+            for a, b in zip(i[met].tolist(), j[met].tolist()):
+                if a != who:
+                    leader, who = _Leader(titles[a], ratio), a
+                if leader.similar(titles[b]):
+                    found.append((a, b))
         a, b = (rows.iloc[[x[s] for x in found]][["o", "k", "h"]].reset_index(drop=True) for s in (0, 1))
         return pd.concat([a.add_prefix("a"), b.add_prefix("b")], axis=1)
 
-    kinds = {f.name: f.dataType.simpleString() for f in classes.schema["id"].dataType.fields}
-    schema = ", ".join(f"{s}{c} {kind}" for s in "ab" for c, kind in kinds.items())
-    got = named.groupBy("unit").applyInPandas(lambda rows: run(rows), schema)
-    return got.select(*(F.struct(*(F.col(f"{s}{c}").alias(c) for c in kinds)).cast(of_id).alias(s) for s in "ab")).checkpoint()
+    @F.pandas_udf("boolean")
+    def similar(leaders: pd.Series, titles: pd.Series) -> pd.Series:
+        out, leader = [], None
+        for a, b in zip(leaders, titles):
+            na, nb = _counts([a, b])
+            both = len(a) + len(b)
+            ok = both - np.abs(na - nb).sum() >= ratio * both - 1e-6
+            if ok and (leader is None or leader.title != a):
+                leader = _Leader(a, ratio)
+            out.append(bool(ok and leader.similar(b)))
+        return pd.Series(out, dtype=bool)
+
+    by_tiles = _tiles(rows, ratio).select("unit", "side", F.col("id.*"), "t", "plain").repartition(tasks, "unit").groupBy("unit").applyInPandas(run, schema)
+    by_tiles = by_tiles.select(*(F.struct(*(F.col(f"{s}{c}").alias(c) for c in kinds)).cast(of_id).alias(s) for s in "ab"))
+    of = lambda n, s: rows.select(F.col("n").alias(n), F.col("id").alias(s), F.col("t").alias(f"t{s}"), F.col("numbers").alias(f"numbers{s}"))
+    pairs = _by_pieces(rows, ratio).join(of("leader", "a"), "leader").join(of("n", "b"), "n").filter("a < b AND numbersa = numbersb")
+    # pairs of a leader lie together
+    by_pieces = pairs.repartition(tasks, "leader").filter(similar("ta", "tb")).select("a", "b")
+    return by_tiles.unionByName(by_pieces).checkpoint()
 
 
 def _followers(links: DataFrame) -> DataFrame:

@@ -97,6 +97,39 @@ def test_similar_titles_is_greedy(spark, monkeypatch, tile, urls):
     assert got == greedy_titles([(i, t, u if urls else None) for i, t, u in rows])
 
 
+def long_titles(n, seed):
+    rng = random.Random(seed)
+    syllables = ["the ", "and", "tion ", "er", "in", "re ", "on ", "sh", "ea", "st ", "of ", "qu", "jo ", "x", "z ", "k"]
+    base = ["".join(rng.choices(syllables, k=rng.randint(90, 220))).strip() for _ in range(n)]
+    near = []
+    for t in base[:40]:
+        t = list(t)
+        for _ in range(rng.choice([1, 5, 12, 20])):
+            x = rng.randrange(len(t))
+            t[x : x + rng.randint(0, 3)] = rng.choices("abe xq", k=rng.randint(0, 3))
+        near.append("".join(t))
+    return base, near
+
+
+def test_similar_long_titles_are_greedy(spark):
+    base, near = long_titles(60, 2)
+    rows = [(i, t, None) for i, t in enumerate(base + near + [t[:180] for t in base] + ["é" + t[3:] for t in base])]
+    want = greedy_titles(rows)
+    assert sum(k != v for k, v in want.items()) > 20
+    got = titles.similar_titles(spark.createDataFrame(rows, "id long, t string, u string"), "id", "t", None, "id")
+    assert {r.id: r.leader for r in got.collect()} == want
+
+
+def test_unlike_long_titles_do_not_meet(spark):
+    base, near = long_titles(200, 3)
+    kind = lambda t: next(k for k, (size, _) in enumerate(titles.PIECES) if size <= titles._piece(t, 0.92)[2])
+    base = [t for t in base if titles._piece(t, 0.92)[2] >= titles.PIECES[-1][0]]
+    rows = spark.createDataFrame([(i, t, 7, kind(t)) for i, t in enumerate(base)], "n long, t string, hn long, kind int")
+    assert len(base) > 100 and titles._by_pieces(rows, 0.92).count() < len(base)
+    tiles = rows.select("kind", "t", F.lit("").alias("numbers"), F.col("n").alias("id"))
+    assert titles._tiles(tiles, 0.92).count() == 0
+
+
 def test_similar_titles_of_no_and_of_repeated_rows(spark):
     none = spark.createDataFrame([], "id long, t string, u string")
     assert titles.similar_titles(none, "id", "t", "u", "id").collect() == []
