@@ -191,9 +191,8 @@ def order_core(title: Column) -> Column:
     pieces = F.split(plain, '"')
     quoted = F.filter(F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0))), lambda q: F.lower(q).rlike(f"(?s){ORDER_STEMS[0]}.*{ORDER_STEMS[1]}"))
     core = F.coalesce(F.try_element_at(quoted, F.lit(-1)), plain)
-    ends = F.array(*(F.regexp_instr(core, F.lit(rx(r"\b" + e.replace(" ", r"\s+") + r"\b"))) for e in ORDER_ENDS))
-    first = F.array_min(F.filter(ends, lambda i: i > 0))
-    core = F.when(first.isNotNull(), F.substr(core, F.lit(1), first - 1)).otherwise(core)
+    # one pass that names the core once: an expression that names it again works it out again
+    core = F.regexp_replace(core, "(?s)" + rx(r"\b(?:" + "|".join(e.replace(" ", r"\s+") for e in ORDER_ENDS) + r")\b.*"), "")
     for drop in (r"^№\s*[\d-]+\s*", r"\bот\s*\d+[./]\d+[./]\d{2,4}\b", r"\b(?:" + "|".join(ORDER_DEEDS) + r")\b"):
         core = F.regexp_replace(core, rx(drop), "")
     return F.regexp_replace(squash(F.translate(core, '"', " ")), r"""^[ '.,;:-]+|[ '.,;:-]+$""", "")

@@ -139,3 +139,21 @@ def test_fields_hash_is_that_of_plain_json(spark):
 def test_periods():
     assert periods.period("today", D(2024, 3, 5)).label() == "сегодня, 05.03.2024" and periods.period("1", D(2024, 3, 5)).label() == "сегодня, 05.03.2024"
     assert periods.period("9999", D(2024, 3, 5)).days == 365 and periods.period(None, D(2024, 3, 5), 14).label() == "последние 14 дней"
+
+
+@pytest.mark.parametrize(
+    ("title", "core"),
+    [
+        ("№ 5 от 1.2.2024 Об утверждении правил В  СООТВЕТСТВИИ со статьей 3 на основании закона", "правил"),
+        ("Порядок\nвыплаты постановляю: дело\nнастоящим", "Порядок выплаты"),
+        ("на основании закона", ""), ("настоящимение статьях", "настоящимение статьях"),
+        ("«Порядок субсидий» и «порядок\nиных субсидий, приказываю» конец", "порядок иных субсидий"), (None, None),
+    ],
+)
+def test_order_core_ends_at_the_first_phrase(spark, title, core):
+    assert value(spark, text.order_core(F.col("t")), t=title) == core
+
+
+def test_order_core_works_its_text_out_a_few_times(spark):
+    df = spark.createDataFrame([("a",)], "t string").select(text.order_core(F.col("t")))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("translate(t") <= 8
