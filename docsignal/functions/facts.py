@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import pandas as pd
@@ -78,72 +79,88 @@ def last_dated(s: Column) -> Column:
 
 def about_deadline(low: Column, marks: Marks = MARKS) -> Column:
     """Whether lower-cased text speaks of applications or discussions."""
-    return F.coalesce(low.rlike("|".join(map(literal, (*marks.deadline, *marks.open)))), F.lit(False))
+    return said(low, (*marks.deadline, *marks.open))
 
 
-def literal(marker: str) -> str:
-    return rf"\Q{marker}\E"
+def one_of(markers: tuple[str, ...]) -> str:
+    """A pattern of literal markers. Where none of them begins, it looks at one character only."""
+    return f"(?=[{''.join(sorted({re.escape(m[0]) for m in markers}))}])(?:" + "|".join(rf"\Q{m}\E" for m in markers) + ")"
+
+
+def said(low: Column, markers: tuple[str, ...]) -> Column:
+    """Whether lower-cased text holds a marker, in one pass; text that is worked out for it is not worked out for each marker."""
+    return F.coalesce(low.rlike(one_of(markers)), F.lit(False))
 
 
 def candidate(s: Column, marks: Marks = MARKS) -> Column:
     """struct(points, snippet) of a sentence that may name the deadline, else null."""
-    holds = lambda c, ms: F.coalesce(c.rlike("|".join(map(literal, ms))), F.lit(False))
-
     def judged(x: Column) -> Column:
         low, dated = x["low"], x["dated"]
-        points = F.when(holds(low, marks.open), 5).otherwise(0)
+        points = F.when(said(low, marks.open), 5).otherwise(0)
         for ms, n in marks.points:
-            points = points + F.when(holds(low, ms), n).otherwise(0)
+            points = points + F.when(said(low, ms), n).otherwise(0)
         for m, n in marks.until:
             points = points + F.when(F.contains(F.lower(dated), F.lit(m)), n).otherwise(0)
         # of equal texts the last stands where the reversed text comes first
         at = F.length(low) - F.instr(F.reverse(low), F.reverse(F.lower(dated))) - F.length(dated) + 1
-        lead = F.regexp_instr(low, F.lit("|".join(map(literal, (*marks.deadline, *marks.lead))))) - 1
+        lead = F.regexp_instr(low, F.lit(one_of((*marks.deadline, *marks.lead)))) - 1
         start = F.when(lead >= 0, lead).otherwise(F.greatest(at - BEFORE, F.lit(0)))
         end = F.least(at + F.length(dated) + AFTER, F.length(low))
         cut = F.regexp_replace(F.substr(x["s"], start + 1, F.greatest(end - start, F.lit(0))), EDGES, "")
         return F.when(dated.isNotNull(), F.struct(points.alias("points"), let(cut, shortened).alias("snippet")))
 
     def asked(x: Column) -> Column:
-        other = holds(x["low"], marks.not_deadline) | (F.contains(x["low"], F.lit(marks.programme)) & ~holds(x["low"], marks.programme_unless))
+        other = said(x["low"], marks.not_deadline) | (F.contains(x["low"], F.lit(marks.programme)) & ~said(x["low"], marks.programme_unless))
         return F.struct(x["s"].alias("s"), x["low"].alias("low"), F.when(about_deadline(x["low"], marks) & ~other, last_dated(x["s"])).alias("dated"))
 
     return let(F.struct(s.alias("s"), F.lower(s).alias("low")), lambda x: let(asked(x), judged))
 
 
+def split_flat(c: Column) -> Column:
+    """Sentences of squashed text."""
+    return F.filter(F.split(c, r"(?<=[.!?])\s+"), lambda s: s != "")
+
+
 def deadline_sentence(c: Column, marks: Marks = MARKS) -> Column:
     """The snippet of the sentence with the most points, the first of equals. A sentence that goes on with `until` and names none by itself counts with the one before."""
+    return deadline_of(sentences(c), F.lower(c), marks)
+
+
+def deadline_of(parts: Column, low: Column, marks: Marks = MARKS) -> Column:
+    """The same of a text's sentences and its lower-cased whole."""
 
     def pieces(parts: Column) -> Column:
         before = lambda i: F.get(parts, i - 1)
         goes_on = lambda s, i: (i > 0) & F.startswith(F.lower(s), F.lit(marks.continued)) & about_deadline(F.lower(before(i)), marks)
         return F.transform(parts, lambda s, i: F.struct(i.alias("i"), F.array(s, F.when(goes_on(s, i), F.concat_ws(" ", before(i), s))).alias("ways")))
 
-    judged = F.transform(let(sentences(c), pieces), lambda x: F.struct(x["i"].alias("i"), F.get(F.array_compact(F.transform(x["ways"], lambda s: candidate(s, marks))), F.lit(0)).alias("found")))
+    judged = F.transform(let(parts, pieces), lambda x: F.struct(x["i"].alias("i"), F.get(F.array_compact(F.transform(x["ways"], lambda s: candidate(s, marks))), F.lit(0)).alias("found")))
     best = F.array_max(F.transform(F.filter(judged, lambda x: x["found"].isNotNull()), lambda x: F.struct(x["found"]["points"].alias("points"), (-x["i"]).alias("i"), x["found"]["snippet"].alias("snippet"))))
-    return F.when(about_deadline(F.lower(c), marks), best["snippet"])
+    return F.when(about_deadline(low, marks), best["snippet"])
 
 
 def application_status(c: Column, deadline_text: Column, as_of: Column, marks: Marks = MARKS) -> Column:
     """Closed marks beat dates; an inactive measure is regular or unknown; a past day is closed; open marks or a day to come open; then regular, unknown."""
+    return let(F.lower(c), lambda low: status_of(low, support_of(low, marks), deadline_text, as_of, marks))
+
 
+def status_of(low: Column, support: Column, deadline_text: Column, as_of: Column, marks: Marks = MARKS) -> Column:
+    """The same of lower-cased text."""
 
     def judged(day: Column) -> Column:
-        regular = F.when(any_of(c, list(marks.regular)) & deadline_text.isNull(), "regular").otherwise("unknown")
-        return (
-            F.when(any_of(c, list(marks.closed)), "closed")
-            .when(support_status(c, marks) == "inactive", regular)
-            .when(day < as_of, "closed")
-            .when(any_of(c, list(marks.open)) | day.isNotNull(), "open")
-            .otherwise(regular)
-        )
+        regular = F.when(said(low, marks.regular) & deadline_text.isNull(), "regular").otherwise("unknown")
+        return F.when(said(low, marks.closed), "closed").when(support == "inactive", regular).when(day < as_of, "closed").when(day.isNotNull() | said(low, marks.open), "open").otherwise(regular)
 
     return let(dates.parse_deadline(deadline_text), judged)
 
 
 def support_status(c: Column, marks: Marks = MARKS) -> Column:
     """inactive is asked first, as its words hold those of active."""
-    return F.when(any_of(c, list(marks.inactive)), "inactive").when(any_of(c, list(marks.active)), "active").otherwise("unknown")
+    return let(F.lower(c), lambda low: support_of(low, marks))
+
+
+def support_of(low: Column, marks: Marks = MARKS) -> Column:
+    return F.when(said(low, marks.inactive), "inactive").when(said(low, marks.active), "active").otherwise("unknown")
 
 
 def number(c: Column, marks: Marks = MARKS) -> Column:
@@ -152,7 +169,13 @@ def number(c: Column, marks: Marks = MARKS) -> Column:
 
 
 def terms(c: Column, marks: Marks = MARKS) -> Column:
-    return shortened(F.try_element_at(F.filter(sentences(c), lambda s: any_of(s, list(marks.terms))), F.lit(1)))
+    return terms_of(sentences(c), F.lower(c), marks)
+
+
+def terms_of(parts: Column, low: Column, marks: Marks = MARKS) -> Column:
+    """The first sentence with a term, looked for in texts that have one."""
+    first = F.try_element_at(F.filter(parts, lambda s: said(F.lower(s), marks.terms)), F.lit(1))
+    return F.when(said(low, marks.terms), let(first, shortened))
 
 
 def risk(support: Column, application: Column, deadline: Column) -> Column:
@@ -178,15 +201,18 @@ def facts(text: Column, as_of: Column, marks: Marks = MARKS) -> Column:
 
 
     def told(x: Column) -> Column:
-        flat, sentence, application, support = x["flat"], x["sentence"], x["application"], x["support"]
+        flat, low, sentence, application, support = x["flat"], x["low"], x["sentence"], x["application"], x["support"]
         return F.struct(
             application.alias("application_status"), sentence.alias("deadline_text"), F.when(support != "unknown", support == "active").alias("is_active"),
-            F.when(any_of(flat, list(marks.regular)), True).alias("is_continuous"), number(flat, marks).alias("npa_number"), risk(support, application, sentence).alias("risk_notes"),
-            support.alias("support_status"), terms(flat, marks).alias("terms_text"),
+            F.when(said(low, marks.regular), True).alias("is_continuous"), number(flat, marks).alias("npa_number"), risk(support, application, sentence).alias("risk_notes"),
+            support.alias("support_status"), terms_of(x["parts"], low, marks).alias("terms_text"),
         )
 
-    statuses = lambda x: F.struct(x["flat"].alias("flat"), x["sentence"].alias("sentence"), application_status(x["flat"], x["sentence"], as_of, marks).alias("application"), support_status(x["flat"], marks).alias("support"))
-    return let(squash(text), lambda flat: let(F.struct(flat.alias("flat"), deadline_sentence(flat, marks).alias("sentence")), lambda x: let(statuses(x), told)))
+    kept = lambda x: [x[n].alias(n) for n in ("flat", "low", "parts")]
+    read = lambda flat: F.struct(flat.alias("flat"), F.lower(flat).alias("low"), split_flat(flat).alias("parts"))
+    dated = lambda x: F.struct(*kept(x), deadline_of(x["parts"], x["low"], marks).alias("sentence"), support_of(x["low"], marks).alias("support"))
+    statuses = lambda x: F.struct(*kept(x), x["sentence"].alias("sentence"), x["support"].alias("support"), status_of(x["low"], x["support"], x["sentence"], as_of, marks).alias("application"))
+    return let(let(let(let(squash(text), read), dated), statuses), told)
 
 
 def merged(old: Column, new: Column) -> Column:

@@ -132,3 +132,15 @@ def test_debris_of_recognition(spark):
     assert value(spark, shape.without_debris(t), "АПК: субсидия выдана") == "АПК: субсидия выдана"
     assert value(spark, shape.without_debris(t), "ПРИКАЗ № 5 О мерах") == "О мерах"
     assert value(spark, shape.without_debris(t), None) is None
+
+
+def test_facts_lower_texts_a_few_times(spark):
+    df = spark.createDataFrame([("a",)], "t string").select(facts.facts(F.col("t"), F.lit(D(2024, 3, 1))))
+    # the rest are of single sentences and what was found in them
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("lower(") <= 24
+
+
+def test_facts_mark_by_any_first_letter(spark):
+    marks = (*facts.MARKS.deadline, *facts.MARKS.open, "[x", "-y", "^z", "]")
+    df = spark.createDataFrame([(m, f"a {m} b") for m in marks] + [(None, None), ("", "прием заяв]ок"[:9])], "m string, t string")
+    assert [r.v for r in df.select(facts.said(F.col("t"), marks).alias("v")).collect()] == [True] * len(marks) + [False, False]
