@@ -277,3 +277,12 @@ def test_pipeline(spark, tmp_path):
     assert ids[2] == ids[1] and not stages[2].filter(F.contains("text", F.lit("@"))).count()
     assert max(ids[3].values()) <= 2 and ids[4] == ids[3]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == stages[-1].count()
+
+
+def test_url_rules_read_whole_urls(spark):
+    labels = [(f"http://h{i}.org/a/b/c/d/{'bad' if i % 2 else 'good'}", "block" if i % 2 else "allow") for i in range(100)]
+    labels += [(f"http://a.b.{'dark' if i % 2 else 'light-side'}.h{i}.org/", "block" if i % 2 else "allow") for i in range(100)]
+    pages = [(1, "http://x.org/e/f/g/h/bad"), (2, "http://x.org/e/f/g/h/good"), (3, "http://p.q.dark.x.org/"), (4, "http://p.q.light-side.x.org/")]
+    labels = spark.createDataFrame(labels, "url string, verdict string")
+    got = url_rules.url_rules(spark.createDataFrame(pages, "page_id long, url string"), labels=labels).collect()
+    assert {r.page_id: (r.verdict, r.mined) for r in got} == {1: ("block", "p:bad"), 2: ("allow", "p:good"), 3: ("block", "s:dark"), 4: ("allow", "s:light-side")}
