@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import tempfile
 from collections import Counter
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -12,9 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Titles that meet in one task, on each side. A block of more is compared in pairs of tiles.
-TILE = 4096
+TILE = 16384
 #: Characters are counted by their code modulo this; counts that fall together only weaken the bound.
 BINS = 64
+#: Pairs of characters are counted likewise.
+PAIR_BINS = 256
 #: Bins that every pair is compared in, the most telling ones first, before the pairs that are left are compared in all.
 FIRST_BINS = 24
 #: From this length of the second text on, difflib passes over its frequent characters.
@@ -23,6 +26,8 @@ FREQUENT_FROM = 200
 PIECES = ((16, 12), (13, 9), (10, 6))
 #: Counts of grams by hash, which say which gram of a piece is the rarest; they have no influence on what is found.
 BUCKETS = 1 << 18
+#: Bits that say which keys leaders have: one for each character of theirs (some eight a key), at least and at most so many; keys that fall together are only written in vain.
+FEWEST_SLOTS, MOST_SLOTS = 1 << 20, 1 << 29
 #: Titles whose grams are written together.
 AT_ONCE = 200
 
@@ -108,53 +113,117 @@ def _rarity(classes: DataFrame) -> np.ndarray:
     return np.minimum(np.log2(out + 1) * 24, 1023).astype(np.uint64)
 
 
-def _keys(title: str, kind: int, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The rarest gram of each piece of a title, the rarest first, and of how many pieces it is that. Equal pieces have equal ones."""
+def _keys(title: str, kind: int, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The rarest gram of each piece of a title, the rarest first, of how many pieces it is that, and its first and last place as such. Equal pieces have equal ones at equal places in them."""
     size, gram = PIECES[kind]
     h = _grams(title, gram)
-    if len(h) < size - gram + 1:
-        return h[:0], np.zeros(0, np.int64)
+    n = len(h) - (size - gram)
+    if n <= 0:
+        none = np.zeros(0, np.int64)
+        return h[:0], none, none, none
     h |= rarity[kind][h % np.uint64(BUCKETS)] << np.uint64(53)
-    return np.unique(np.lib.stride_tricks.sliding_window_view(h, size - gram + 1).min(axis=1), return_counts=True)
+    best, at = h[:n].copy(), np.arange(n)
+    for i in range(1, size - gram + 1):
+        less = np.flatnonzero(h[i : i + n] < best)
+        best[less], at[less] = h[i + less], i + less
+    order = np.argsort(best, kind="stable")
+    best, at = best[order], at[order]  # places of equal grams rise
+    first = np.flatnonzero(np.r_[True, best[1:] != best[:-1]])
+    last = np.r_[first[1:], n] - 1
+    return best[first], last - first + 1, at[first], at[last]
+
+
+def _sought(title: str, kind: int, pieces: np.ndarray, ratio: float) -> tuple[np.ndarray, int]:
+    """Which keys of a leader are looked for, the rarest, and for how many pieces those that are found must stand."""
+    agree, blocks, _ = _piece(title, ratio)
+    agree -= (PIECES[kind][0] - 1) * blocks
+    sought = np.cumsum(pieces[::-1])[::-1] > (agree - 1) // 2
+    return sought, agree - pieces[~sought].sum()
+
+
+def _leaders_keys(leaders: DataFrame, rarity, ratio: float) -> np.ndarray:
+    """Two rows of bits by slot: keys that are looked for by a leader at least, and by two."""
+    chars = leaders.agg(F.sum(F.length("t"))).first()[0] or 0
+    slots = min(max(FEWEST_SLOTS, 1 << (chars - 1).bit_length() if chars else 0), MOST_SLOTS)
+
+    def run(batches):
+        def pack(held):
+            at = np.sort(np.concatenate(held))
+            chunks, first = np.unique(at >> 20, return_index=True)
+            return pd.DataFrame({"chunk": chunks, "slots": [x.astype("<u4").tobytes() for x in np.split(at & 0xFFFFF, first[1:])]})
+
+        held, n = [], 0
+        for part in batches:
+            for t, numbers, kind in zip(part["t"], part["hn"], part["kind"]):
+                keys, pieces, _, _ = _keys(t, kind, rarity.value)
+                held.append((keys[_sought(t, kind, pieces, ratio)[0]].astype(np.int64) ^ numbers) & (slots - 1))
+                n += len(held[-1])
+                if n >= 1 << 22:
+                    yield pack(held)
+                    held, n = [], 0
+        if n:
+            yield pack(held)
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        n = np.zeros(1 << 20, np.uint8)
+        for x in rows["slots"]:
+            n = np.minimum(n + np.minimum(np.bincount(np.frombuffer(x, "<u4"), minlength=1 << 20), 2), 2)
+        return pd.DataFrame({"chunk": rows["chunk"][:1], "once": [np.packbits(n > 0, bitorder="little").tobytes()], "twice": [np.packbits(n > 1, bitorder="little").tobytes()]})
+
+    got = leaders.mapInPandas(run, "chunk long, slots binary").groupBy("chunk").applyInPandas(merge, "chunk long, once binary, twice binary").toPandas()
+    out = np.zeros((2, slots >> 20, 1 << 17), np.uint8)
+    for chunk, *bits in zip(got["chunk"], got["once"], got["twice"]):
+        for k in (0, 1):
+            out[k, chunk] = np.frombuffer(bits[k], np.uint8)
+    return out.reshape(2, -1)
 
 
 def _by_pieces(rows: DataFrame, ratio: float) -> DataFrame:
-    """Pairs n, leader of rows that share a piece which shows that they can be similar, for all leaders that have a kind.
+    """Pairs n, leader of rows that share a piece which shows that they can be similar, leader before n, for all leaders that have a kind.
 
     A leader's longest block is at least as long as its kind of pieces, so that both titles hold a piece, and
     hence its rarest gram. All pieces inside blocks agree, so that their number has a least; a leader
     gives away its most frequent grams as long as they stand for less than half of it, and the rest must be found.
+    A block shifts a piece by no more characters than are left unmatched before it, and the rest of both titles by
+    no more than after it, so that grams at far places do not count: most that agree by chance are. Keys
+    that no other leader looks for are not written.
     """
+    given = rows.select("n", "t", "hn", "kind")
     shared = rows.sparkSession.sparkContext.broadcast(_rarity(rows))
+    wanted = rows.sparkSession.sparkContext.broadcast(_leaders_keys(given.filter("kind >= 0"), shared, ratio))
 
     def run(batches, leads: bool):
         for part in batches:
             for at in range(0, len(part), AT_ONCE):
                 some = part.iloc[at : at + AT_ONCE]
-                found, times, of = [], [], []
+                found, times, places, of = [], [], [], []
                 for row, t, numbers, kind in zip(some["n"], some["t"], some["hn"], some["kind"]):
                     for k in [kind] if leads else range(len(PIECES)):
-                        keys, pieces = _keys(t, k, shared.value)
-                        least = 0
-                        if leads:
-                            agree, blocks, _ = _piece(t, ratio)
-                            agree -= (PIECES[k][0] - 1) * blocks
-                            kept = np.cumsum(pieces[::-1])[::-1] > (agree - 1) // 2
-                            least = agree - pieces[~kept].sum()
-                            keys, pieces = keys[kept], pieces[kept]
-                        found.append(keys.astype(np.int64) ^ numbers)
+                        keys, pieces, first, last = _keys(t, k, shared.value)
+                        sought, least = _sought(t, k, pieces, ratio) if k == kind else (np.zeros(len(keys), bool), 0)
+                        keys = keys.astype(np.int64) ^ numbers
+                        if not leads:
+                            slots = keys & (8 * wanted.value.shape[1] - 1)
+                            # one's own does not count
+                            sought = (wanted.value[sought.astype(np.int64), slots >> 3] >> (slots & 7)) & 1 > 0
+                        keys, pieces, first, last = keys[sought], pieces[sought], first[sought], last[sought]
+                        found.append(keys)
                         times.append(pieces)
+                        places.append((first, last - first))
                         of.append((row, len(t), least, len(keys)))
                 n, size, least, many = np.array(of).T
-                yield pd.DataFrame({"key": np.concatenate(found), "n": np.repeat(n, many), "size": np.repeat(size, many), "pieces": np.concatenate(times), "least": np.repeat(least, many)})
+                first, more = np.concatenate(places, axis=1)
+                yield pd.DataFrame({"key": np.concatenate(found), "n": np.repeat(n, many), "size": np.repeat(size, many), "first": first, "more": more, "pieces": np.concatenate(times), "least": np.repeat(least, many)})
 
-    schema = "key long, n long, size int, pieces int, least int"
-    given = rows.select("n", "t", "hn", "kind")
-    leaders = given.filter("kind >= 0").mapInPandas(lambda b: run(b, True), schema).withColumnsRenamed({"n": "leader", "size": "of"})
+    schema = "key long, n long, size int, first int, more int, pieces int, least int"
+    leaders = given.filter("kind >= 0").mapInPandas(lambda b: run(b, True), schema).withColumnsRenamed({"n": "leader", "size": "of", "first": "first_of", "more": "more_of"})
     least = FREQUENT_FROM * ratio / (2 - ratio) - 1
-    others = given.filter(F.length("t") >= least).mapInPandas(lambda b: run(b, False), schema).select("key", "n", "size")
-    small, large = F.least("size", "of"), F.greatest("size", "of")
-    near = (F.col("n") != F.col("leader")) & (2 * small >= ratio * (small + large) - 1e-6)
+    others = given.filter(F.length("t") >= least).mapInPandas(lambda b: run(b, False), schema).select("key", "n", "size", "first", "more")
+    # by how much a place in the leader lies beyond that in the other: from low to high; without unmatched characters besides the longer one's: from 0 to longer
+    longer, zero = F.col("of") - F.col("size"), F.lit(0)
+    low, high = F.col("first_of") - F.col("first") - F.col("more"), F.col("first_of") + F.col("more_of") - F.col("first")
+    unmatched = F.abs(longer) + 2 * F.greatest(zero, low - F.greatest(zero, longer), F.least(zero, longer) - high)
+    near = (F.col("leader") < F.col("n")) & (unmatched <= (1 - ratio) * (F.col("of") + F.col("size")) + 1e-6)
     met = others.join(leaders, "key").filter(near).groupBy("n", "leader").agg(F.sum("pieces").alias("pieces"), F.first("least").alias("least"))
     return met.filter("pieces >= least").select("n", "leader")
 
@@ -188,8 +257,17 @@ def _counts(titles: list[str]) -> np.ndarray:
     return out
 
 
-def _near(counts: np.ndarray, leads: np.ndarray, ratio: float, high: int = 32, wide: int = 8192):
-    """Pairs i, j in arrays, i before j and leading, of rows that share characters enough."""
+def _pair_counts(titles: list[str]) -> np.ndarray:
+    """Pairs of neighbouring characters; more than 255 count as 255, which only weakens the bound."""
+    out = np.zeros((len(titles), PAIR_BINS), np.uint8)
+    for i, t in enumerate(titles):
+        codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        out[i] = np.minimum(np.bincount((codes[:-1] * 31 + codes[1:]) % PAIR_BINS, minlength=PAIR_BINS), 255)
+    return out
+
+
+def _near(counts: np.ndarray, pairs: np.ndarray, leads: np.ndarray, ratio: float, high: int = 32, wide: int = 8192):
+    """Pairs i, j in arrays, i before j and leading, of rows that share characters, and pairs of them, enough."""
     size = counts.sum(axis=1)
     least, span = counts.min(axis=0), np.ptp(counts, axis=0)
     bins = np.argsort(-counts.std(axis=0))[:FIRST_BINS]
@@ -229,6 +307,10 @@ def _near(counts: np.ndarray, leads: np.ndarray, ratio: float, high: int = 32, w
                 u, v = i[z : z + (1 << 16)], j[z : z + (1 << 16)]
                 both = size[u] + size[v]
                 fits = both - np.abs(counts[u] - counts[v]).sum(axis=1) >= ratio * both - 1e-6
+                u, v, both = u[fits], v[fits], both[fits]
+                # putting in a character takes away one pair and adds two
+                unlike = np.concatenate([(np.maximum(pairs[s], pairs[r]) - np.minimum(pairs[s], pairs[r])).sum(axis=1, dtype=np.int64) for s, r in ((u[w : w + 4096], v[w : w + 4096]) for w in range(0, len(u) or 1, 4096))])
+                fits = unlike <= 3 * (1 - ratio) * both + 1e-6
                 yield u[fits], v[fits]
 
 
@@ -257,8 +339,26 @@ class _Leader:
         # what difflib matches is a common subsequence
         if 2 * self.common(title) < self.ratio * (len(title) + len(self.title)) - 1e-6:
             return False
+        # what difflib's ratio() does, the widest gaps first, until the rest cannot change the answer
         self.matcher.set_seq1(title)
-        return self.matcher.ratio() >= self.ratio
+        both = len(title) + len(self.title)
+        gaps = [(-min(len(title), len(self.title)), 0, len(title), 0, len(self.title))]
+        matched, open_ = 0, -gaps[0][0]
+        while 2.0 * (matched + open_) / both >= self.ratio:
+            if 2.0 * matched / both >= self.ratio:
+                return True
+            if not gaps:
+                break
+            least, alo, ahi, blo, bhi = heappop(gaps)
+            open_ += least
+            i, j, n = self.matcher.find_longest_match(alo, ahi, blo, bhi)
+            if n:
+                matched += n
+                for a0, a1, b0, b1 in ((alo, i, blo, j), (i + n, ahi, j + n, bhi)):
+                    if a0 < a1 and b0 < b1:
+                        heappush(gaps, (-min(a1 - a0, b1 - b0), a0, a1, b0, b1))
+                        open_ += min(a1 - a0, b1 - b0)
+        return False
 
 
 def _links(classes: DataFrame, ratio: float) -> DataFrame:
@@ -272,16 +372,16 @@ def _links(classes: DataFrame, ratio: float) -> DataFrame:
         longest = (_piece(t, ratio)[2] for t in titles)
         return pd.Series([next((k for k, (size, _) in enumerate(PIECES) if size <= n), -1) for n in longest], dtype="int32")
 
-    # work by the row is long and its bytes are few, so that Spark would put it into too few tasks
+    # n orders as ids do; work by the row is long and its bytes are few, so that Spark would put it into too few tasks
     tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = classes.repartition(tasks, "t").withColumn("numbers", F.concat_ws(" ", F.regexp_extract_all("t", F.lit(r"(?U)\d+"), F.lit(0))))
+    rows = classes.repartitionByRange(tasks, "id").sortWithinPartitions("id").withColumn("numbers", F.concat_ws(" ", F.regexp_extract_all("t", F.lit(r"(?U)\d+"), F.lit(0))))
     rows = rows.withColumns({"hn": F.xxhash64("numbers"), "kind": kind("t"), "n": F.monotonically_increasing_id()}).checkpoint()
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["o", "k", "h"], ignore_index=True)
         titles, side = rows["t"].tolist(), rows["side"].to_numpy()
         found, leader, who = [], None, -1
-        for i, j in _near(_counts(titles), rows["plain"].to_numpy(), ratio):
+        for i, j in _near(_counts(titles), _pair_counts(titles), rows["plain"].to_numpy(), ratio):
             met = (side[i] != side[j]) | (side[i] == 0)
             for a, b in zip(i[met].tolist(), j[met].tolist()):
                 if a != who:
@@ -303,12 +403,13 @@ def _links(classes: DataFrame, ratio: float) -> DataFrame:
             out.append(bool(ok and leader.similar(b)))
         return pd.Series(out, dtype=bool)
 
-    by_tiles = _tiles(rows, ratio).select("unit", "side", F.col("id.*"), "t", "plain").repartition(tasks, "unit").groupBy("unit").applyInPandas(run, schema)
+    by_tiles = _tiles(rows, ratio).select("unit", "side", F.col("id.*"), "t", "plain").repartition(2 * tasks, "unit").groupBy("unit").applyInPandas(run, schema)
     by_tiles = by_tiles.select(*(F.struct(*(F.col(f"{s}{c}").alias(c) for c in kinds)).cast(of_id).alias(s) for s in "ab"))
     of = lambda n, s: rows.select(F.col("n").alias(n), F.col("id").alias(s), F.col("t").alias(f"t{s}"), F.col("numbers").alias(f"numbers{s}"))
-    pairs = _by_pieces(rows, ratio).join(of("leader", "a"), "leader").join(of("n", "b"), "n").filter("a < b AND numbersa = numbersb")
-    # pairs of a leader lie together
-    by_pieces = pairs.repartition(tasks, "leader").filter(similar("ta", "tb")).select("a", "b")
+    # pairs of a leader lie together, in its task one after the other
+    pairs = _by_pieces(rows, ratio).join(of("n", "b"), "n").repartition(tasks, "leader")
+    pairs = pairs.join(of("leader", "a").repartition(tasks, "leader").hint("merge"), "leader").filter("a < b AND numbersa = numbersb")
+    by_pieces = pairs.filter(similar("ta", "tb")).select("a", "b")
     return by_tiles.unionByName(by_pieces).checkpoint()
 
 

@@ -3,6 +3,7 @@ import difflib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +131,52 @@ def test_unlike_long_titles_do_not_meet(spark):
     assert titles._tiles(tiles, 0.92).count() == 0
 
 
+def test_titles_of_equal_pieces_at_far_places_do_not_meet(spark):
+    base, near = long_titles(80, 5)
+    halves = [t[len(t) // 2 :] + t[: len(t) // 2] for t in base]
+    kind = lambda t: next((k for k, (size, _) in enumerate(titles.PIECES) if size <= titles._piece(t, 0.92)[2]), -1)
+    rows = spark.createDataFrame([(i, t, 7, kind(t)) for i, t in enumerate(base + halves + near)], "n long, t string, hn long, kind int")
+    met = {(r.leader, r.n) for r in titles._by_pieces(rows, 0.92).collect()}
+    assert all(a < b for a, b in met) and not any(b == a + len(base) for a, b in met)
+    leads = [i for i, t in enumerate(base[:40]) if kind(t) >= 0 and difflib.SequenceMatcher(None, near[i], t).ratio() >= 0.92]
+    assert len(leads) > 3 and all((i, 2 * len(base) + i) in met for i in leads)
+
+
+def test_rare_grams_of_equal_pieces_lie_at_equal_places_in_them():
+    rng = np.random.default_rng(1)
+    rarity = rng.integers(0, 3, (len(titles.PIECES), titles.BUCKETS)).astype(np.uint64)
+    piece = "".join(rng.choice(list("abcd"), 40))
+    for k in range(len(titles.PIECES)):
+        one, two = ({int(x): (n, a, b) for x, n, a, b in zip(*titles._keys(t, k, rarity))} for t in (piece, "zyx" * 11 + piece))
+        # pieces across the joint may have such a gram too
+        assert all(two[x][0] >= n and two[x][1] <= a + 33 and b + 33 <= two[x][2] for x, (n, a, b) in one.items())
+        assert sum(two[x] == (n, a + 33, b + 33) for x, (n, a, b) in one.items()) >= len(one) - 1
+        assert sum(n for n, _, _ in one.values()) == 40 - titles.PIECES[k][0] + 1
+
+
+def test_keys_that_only_one_leader_looks_for_are_not_wanted(spark):
+    base, _ = long_titles(12, 6)
+    base = [t for t in base if titles._piece(t, 0.92)[2] >= titles.PIECES[0][0]]
+    rarity = spark.sparkContext.broadcast(np.zeros((len(titles.PIECES), titles.BUCKETS), np.uint64))
+    rows = spark.createDataFrame([(t, 0, 0) for t in base + base[:1]], "t string, hn long, kind int")
+    once, twice = titles._leaders_keys(rows, rarity, 0.92)
+    for t, want in zip(base[:2], (1, 0)):
+        keys, pieces, _, _ = titles._keys(t, 0, rarity.value)
+        slots = keys[titles._sought(t, 0, pieces, 0.92)[0]].astype(np.int64) & (8 * len(once) - 1)
+        assert len(slots) and (once[slots >> 3] >> (slots & 7) & 1).all()
+        assert (twice[slots >> 3] >> (slots & 7) & 1).mean() == pytest.approx(want, abs=0.1)
+
+
+def test_similarity_is_that_of_difflib():
+    base, near = long_titles(40, 7)
+    got = []
+    for a, b in [*zip(base, near), *zip(near, base), *((t, t[: len(t) * 6 // 7]) for t in base), *((t[:90], t[:100]) for t in near), *((t, t) for t in base)]:
+        want = difflib.SequenceMatcher(None, a, b).ratio() >= 0.92
+        assert titles._Leader(b, 0.92).similar(a) == want
+        got.append(want)
+    assert 20 < sum(got) < len(got) - 20
+
+
 def test_similar_titles_of_no_and_of_repeated_rows(spark):
     none = spark.createDataFrame([], "id long, t string, u string")
     assert titles.similar_titles(none, "id", "t", "u", "id").collect() == []
