@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import tempfile
 from collections import Counter
+from functools import lru_cache
 from heapq import heappop, heappush
 
 import numpy as np
@@ -84,19 +85,32 @@ def _piece(title: str, ratio: float) -> tuple[int, int, int]:
     return agree, blocks, -(-agree // blocks)
 
 
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of an odd number and of its inverse modulo 2 ** 64."""
+    up, down = np.full(n, 1000003, np.uint64), np.full(n, pow(1000003, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
 def _grams(title: str, size: int) -> np.ndarray:
     """Hashes of 53 bits."""
     codes = np.frombuffer(title.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     n = max(len(codes) - size + 1, 0)
-    h = np.full(n, size, np.uint64)
-    for i in range(size if n else 0):
-        h = h * np.uint64(1000003) + codes[i : i + n]
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    if not n:
+        return np.zeros(0, np.uint64)
+    up, down = _powers(1 << max(len(codes), 1 << 12).bit_length())
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * down[: len(codes)], out=sums[1:])
+    h = (sums[size:] - sums[:n]) * up[size - 1 : size - 1 + n] + np.uint64(size)
+    for shift, by in ((29, 0xBF58476D1CE4E5B9), (32, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(by)
     return (h ^ (h >> np.uint64(32))) >> np.uint64(11)
 
 
 def _rarity(classes: DataFrame) -> np.ndarray:
     """Per size of grams and bucket of their hashes how frequent they are, on a logarithmic scale below 1024."""
+    wide = 1 << 14
 
     def run(batches):
         out = np.zeros((len(PIECES), BUCKETS), np.int64)
@@ -104,13 +118,22 @@ def _rarity(classes: DataFrame) -> np.ndarray:
             for t in rows["t"]:
                 for k, (_, size) in enumerate(PIECES):
                     np.add.at(out[k], _grams(t, size) % np.uint64(BUCKETS), 1)
-        k, bucket = np.nonzero(out)
-        yield pd.DataFrame({"k": k, "bucket": bucket, "n": out[k, bucket]})
+        if out.any():
+            chunks = np.minimum(out, (1 << 32) - 1).astype("<u4").reshape(-1, wide)
+            yield pd.DataFrame({"chunk": np.arange(len(chunks)), "n": [x.tobytes() for x in chunks]})
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        n = np.zeros(wide)
+        for x in rows["n"]:
+            n += np.frombuffer(x, "<u4")
+        return pd.DataFrame({"chunk": rows["chunk"][:1], "n": [np.minimum(np.log2(n + 1) * 24, 1023).astype("<u2").tobytes()]})
 
-    got = classes.select("t").mapInPandas(run, "k long, bucket long, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros((len(PIECES), BUCKETS))
-    out[got["k"], got["bucket"]] = got["n"]
-    return np.minimum(np.log2(out + 1) * 24, 1023).astype(np.uint64)
+    schema = "chunk long, n binary"
+    got = classes.select("t").mapInPandas(run, schema).groupBy("chunk").applyInPandas(merge, schema).toPandas()
+    out = np.zeros((len(PIECES) * BUCKETS // wide, wide), np.uint64)
+    for chunk, x in zip(got["chunk"], got["n"]):
+        out[chunk] = np.frombuffer(x, "<u2")
+    return out.reshape(len(PIECES), BUCKETS)
 
 
 def _keys(title: str, kind: int, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -137,7 +160,7 @@ def _sought(title: str, kind: int, pieces: np.ndarray, ratio: float) -> tuple[np
     """Which keys of a leader are looked for, the rarest, and for how many pieces those that are found must stand."""
     agree, blocks, _ = _piece(title, ratio)
     agree -= (PIECES[kind][0] - 1) * blocks
-    sought = np.cumsum(pieces[::-1])[::-1] > (agree - 1) // 2
+    sought = np.cumsum(pieces[::-1])[::-1] > (agree - 1) * 3 // 4
     return sought, agree - pieces[~sought].sum()
 
 
@@ -183,7 +206,7 @@ def _by_pieces(rows: DataFrame, ratio: float) -> DataFrame:
 
     A leader's longest block is at least as long as its kind of pieces, so that both titles hold a piece, and
     hence its rarest gram. All pieces inside blocks agree, so that their number has a least; a leader
-    gives away its most frequent grams as long as they stand for less than half of it, and the rest must be found.
+    gives away its most frequent grams as long as they stand for less than three quarters of it, and the rest must be found.
     A block shifts a piece by no more characters than are left unmatched before it, and the rest of both titles by
     no more than after it, so that grams at far places do not count: most that agree by chance are. Keys
     that no other leader looks for are not written.
@@ -201,7 +224,7 @@ def _by_pieces(rows: DataFrame, ratio: float) -> DataFrame:
                     for k in [kind] if leads else range(len(PIECES)):
                         keys, pieces, first, last = _keys(t, k, shared.value)
                         sought, least = _sought(t, k, pieces, ratio) if k == kind else (np.zeros(len(keys), bool), 0)
-                        keys = keys.astype(np.int64) ^ numbers
+                        keys = (keys.astype(np.int64) ^ numbers) & ((1 << 48) - 1)  # shorter to write
                         if not leads:
                             slots = keys & (8 * wanted.value.shape[1] - 1)
                             # one's own does not count

@@ -145,24 +145,25 @@ def test_titles_of_equal_pieces_at_far_places_do_not_meet(spark):
 def test_rare_grams_of_equal_pieces_lie_at_equal_places_in_them():
     rng = np.random.default_rng(1)
     rarity = rng.integers(0, 3, (len(titles.PIECES), titles.BUCKETS)).astype(np.uint64)
-    piece = "".join(rng.choice(list("abcd"), 40))
+    piece = "".join(rng.choice(list("abcd"), 90))
     for k in range(len(titles.PIECES)):
         one, two = ({int(x): (n, a, b) for x, n, a, b in zip(*titles._keys(t, k, rarity))} for t in (piece, "zyx" * 11 + piece))
         # pieces across the joint may have such a gram too
         assert all(two[x][0] >= n and two[x][1] <= a + 33 and b + 33 <= two[x][2] for x, (n, a, b) in one.items())
         assert sum(two[x] == (n, a + 33, b + 33) for x, (n, a, b) in one.items()) >= len(one) - 1
-        assert sum(n for n, _, _ in one.values()) == 40 - titles.PIECES[k][0] + 1
+        assert sum(n for n, _, _ in one.values()) == 90 - titles.PIECES[k][0] + 1
 
 
 def test_keys_that_only_one_leader_looks_for_are_not_wanted(spark):
     base, _ = long_titles(12, 6)
-    base = [t for t in base if titles._piece(t, 0.92)[2] >= titles.PIECES[0][0]]
+    kind = 0
+    base = [t for t in base if titles._piece(t, 0.92)[2] >= titles.PIECES[kind][0]]
     rarity = spark.sparkContext.broadcast(np.zeros((len(titles.PIECES), titles.BUCKETS), np.uint64))
-    rows = spark.createDataFrame([(t, 0, 0) for t in base + base[:1]], "t string, hn long, kind int")
+    rows = spark.createDataFrame([(t, 0, kind) for t in base + base[:1]], "t string, hn long, kind int")
     once, twice = titles._leaders_keys(rows, rarity, 0.92)
     for t, want in zip(base[:2], (1, 0)):
-        keys, pieces, _, _ = titles._keys(t, 0, rarity.value)
-        slots = keys[titles._sought(t, 0, pieces, 0.92)[0]].astype(np.int64) & (8 * len(once) - 1)
+        keys, pieces, _, _ = titles._keys(t, kind, rarity.value)
+        slots = keys[titles._sought(t, kind, pieces, 0.92)[0]].astype(np.int64) & (8 * len(once) - 1)
         assert len(slots) and (once[slots >> 3] >> (slots & 7) & 1).all()
         assert (twice[slots >> 3] >> (slots & 7) & 1).mean() == pytest.approx(want, abs=0.1)
 
